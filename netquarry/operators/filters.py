@@ -53,15 +53,13 @@ def by_prefix(df: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     equality, so there is no pairwise comparison of values and prefixes.
     """
     wanted = _member_keys(prefixes, "__prefix").where(F.col("__prefix").isNotNull())
-    lengths = wanted.agg(F.collect_set(F.length("__prefix")).alias("lengths"))
-    cut = F.transform(
-        lengths.scalar(), lambda n: F.substring(F.col(f"`{column}`"), F.lit(1), n)
-    )
+    lengths = wanted.agg(F.collect_set(F.length("__prefix")).alias("lengths")).scalar()
     matching = (
         df.select(column)
         .where(F.col(column).isNotNull())
         .distinct()
-        .select(column, F.explode(cut).alias("__prefix"))
+        .select(column, F.explode(lengths).alias("__length"))
+        .select(column, F.substring(F.col(column), F.lit(1), F.col("__length")).alias("__prefix"))
         .join(wanted, on="__prefix", how="left_semi")
         .select(column)
     )

@@ -122,22 +122,20 @@ def assign_site(
     known = sites.select(
         F.col(item).alias("__item"), F.col(position).alias("__pos")
     ).where(F.col("__item").isNotNull())
+    names = df.select(dn).where(F.col(dn).isNotNull()).distinct()
     if literal:
         lengths = known.agg(F.collect_set(F.length("__item")).alias("lengths")).scalar()
-        name = F.col(f"`{dn}`")
-        pieces = F.flatten(
-            F.transform(
-                F.filter(lengths, lambda n: (n > 0) & (n <= F.length(name))),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(name) - n + 1),
-                    lambda start: F.substring(name, start, n),
-                ),
-            )
+        last_start = F.length(dn) - F.col("__length") + 1
+        pieces = F.transform(
+            F.sequence(F.lit(1), last_start),
+            lambda start: F.substring(F.col(dn), start, F.col("__length")),
+        )
+        candidates = (
+            names.select(dn, F.explode(lengths).alias("__length"))
+            .where((F.col("__length") > 0) & (last_start >= 1))
+            .select(dn, F.explode(F.array_distinct(pieces)).alias("__item"))
         )
-        names = df.select(dn).where(F.col(dn).isNotNull()).distinct()
-        candidates = names.select(dn, F.explode(F.array_distinct(pieces)).alias("__item"))
     else:
-        names = df.select(dn).where(F.col(dn).isNotNull()).distinct()
         candidates = names.select(dn, site_part(dn, depth).alias("__item"))
     chosen = (
         candidates.join(known, on="__item")
