@@ -1,0 +1,345 @@
+"""The configuration, neighbour, area-code, power and tilt audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from checks import standins as s
+from checks.registry import check
+from netquarry import plans as P
+
+TODAY = "2001-11-05"
+AS_OF = "2001-12-31"
+_SITE_OF = "array_to_string(string_split({}, '/')[1:3], '/')"
+# The LTE cell a DN belongs to, without its last part.
+_PARENT = "regexp_replace({}, '/LNCEL-.*$', '')"
+
+
+def _sites(spark: SparkSession, d: str, segment: str | None = None) -> DataFrame:
+    return s.site_set(spark, d, segment).select("item")
+
+
+@check(
+    "C01_site_list",
+    f"""WITH {s.cm_sql("LNBTS")} SELECT name, mo_distname FROM cm_lnbts WHERE name IS NOT NULL""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return P.site_list(s.cm(spark, d))
+
+
+@check(
+    "C02_audit_sw_version",
+    f"""WITH {s.cm_sql("LNBTS")}, {s.site_set_sql()}
+SELECT name AS "LNBTS_Name", mo_distname, mo_version, CASE WHEN mo_version = 'V1' THEN 'OK' ELSE 'NO-OK' END AS "Version_OK"
+FROM cm_lnbts WHERE mo_distname IN (SELECT item FROM site_set)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return P.audit_sw_version(s.cm(spark, d), _sites(spark, d), "V1")
+
+
+# Golden values come from the data: per class and parameter the smallest value in use.
+_TEMPLATE_PARAMETERS = {
+    "LNBTS": ["timer", "operationalState", "absent"],
+    "LNCEL": ["phyCellId", "pMax", "tac"],
+    "LNCEL_FDD": ["earfcnDL"],
+}
+
+
+def _template(spark: SparkSession, d: str) -> DataFrame:
+    wanted = F.create_map(
+        *[
+            p
+            for c, names in _TEMPLATE_PARAMETERS.items()
+            for p in (F.lit(c), F.array(*[F.lit(n) for n in names]))
+        ]
+    )
+    return (
+        s.cm(spark, d, list(_TEMPLATE_PARAMETERS))
+        .select(
+            F.col("mo_class").alias("Object"),
+            F.explode(F.element_at(wanted, F.col("mo_class"))).alias("Parameter"),
+            "parameters",
+        )
+        .groupBy("Object", "Parameter")
+        .agg(F.coalesce(F.min(F.element_at("parameters", F.col("Parameter"))), F.lit("1")).alias("Value"))
+    )
+
+
+_MELTED = " UNION ALL ".join(
+    f"""SELECT mo_distname, '{c}' AS "Object", '{p}' AS "Parameter", {'NULL' if p == 'absent' else f'"{p}"'} AS "Cur_Value" FROM cm_{c.lower()}"""
+    for c, names in _TEMPLATE_PARAMETERS.items()
+    for p in names
+)
+_PARAMETERS_SQL = f"""WITH {s.cm_sql(*_TEMPLATE_PARAMETERS)}, {s.site_set_sql()},
+melted AS ({_MELTED}),
+template AS (SELECT "Object", "Parameter", coalesce(min("Cur_Value"), '1') AS "Value" FROM melted GROUP BY 1, 2),
+compared AS (SELECT m.*, t."Value", {_SITE_OF.format("m.mo_distname")} AS site_id FROM melted m JOIN template t
+  ON m."Object" = t."Object" AND m."Parameter" = t."Parameter" WHERE {_SITE_OF.format("m.mo_distname")} IN (SELECT item FROM site_set)),
+deviated AS (SELECT * FROM compared WHERE "Cur_Value" IS NULL OR "Cur_Value" <> "Value")"""
+
+
+@check(
+    "C03_audit_parameters_detail",
+    f"""{_PARAMETERS_SQL} SELECT mo_distname, '2024-03-02' AS raml_date, "Parameter", "Cur_Value", "Object", "Value", site_id FROM deviated""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    _, detail = P.audit_parameters(s.cm(spark, d), _template(spark, d), _sites(spark, d))
+    return detail.withColumn("raml_date", F.col("raml_date").cast("string"))
+
+
+@check(
+    "C03_audit_parameters_summary",
+    f"""{_PARAMETERS_SQL},
+total AS (SELECT site_id, "Object", count(*) AS n FROM (SELECT DISTINCT site_id, "Object", mo_distname, "Parameter" FROM compared) GROUP BY 1, 2),
+dev AS (SELECT site_id, "Object", count(*) AS n FROM deviated GROUP BY 1, 2)
+SELECT t.site_id, t."Object", t.n AS "mo_distname_total", d.n AS "mo_distname_dev", round(100.0::DOUBLE * d.n / t.n, 2) AS "Deviation"
+FROM total t JOIN dev d ON t.site_id = d.site_id AND t."Object" = d."Object" """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    summary, _ = P.audit_parameters(s.cm(spark, d), _template(spark, d), _sites(spark, d))
+    return summary
+
+
+_SHARE_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.counters_sql()}, {s.site_set_sql()},
+{s.cm_sql("LNCEL", "LNCEL_FDD", "LNADJ")},
+ho AS (SELECT sector_name, "distName", regexp_extract("extendedDistName", 'ECI-([0-9]+)/PLMN', 1) AS eci, sum("M8015C8")::BIGINT AS att
+  FROM pm JOIN cur_lte ON "distName" = "moDistName" WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL 3650 DAY AND "M8015C8" > 0
+  AND {_SITE_OF.format('"distName"')} IN (SELECT item FROM site_set) GROUP BY 1, 2, 3),
+tot AS (SELECT sector_name, sum(att)::BIGINT AS total FROM ho GROUP BY 1),
+share AS (SELECT ho.sector_name AS "LNCEL_Name", c.name AS "LNCEL_Name_tgt", att AS "INTER_HO_ATT_NB", total AS "Total_ATT", (100 * att // total)::BIGINT AS "Share"
+  FROM ho JOIN tot ON ho.sector_name = tot.sector_name JOIN cm_lncel c ON ho.eci = c."eutraCelId")"""
+
+
+def _share(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
+    return P.handover_share(
+        s.counters(spark, d), s.site_history(spark, d, "LTE"), cells, TODAY, 3650, _sites(spark, d)
+    )
+
+
+@check("C04_handover_share", f"{_SHARE_SQL} SELECT * FROM share")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _share(spark, d, P.lte_cells(s.cm(spark, d)))
+
+
+def _conflict_sql(code: str) -> str:
+    return f"""{_SHARE_SQL},
+cells AS (SELECT a.mo_distname, a."id_LNBTS" AS bts, a.name, a."phyCellId", f."rootSeqIndex", f."earfcnDL" FROM cm_lncel a JOIN cm_lncel_fdd f
+  ON a."id_LNCEL" = f."id_LNCEL" AND a."id_LNBTS" = f."id_LNBTS"),
+placed AS (SELECT c.*, h.site_name, h.latitud, h.longitud FROM cells c JOIN cur_lte h ON c.mo_distname = h."moDistName")
+SELECT o.site_name AS "site_name_Orig", s."LNCEL_Name" AS "LNCEL_Name_Orig", s."LNCEL_Name_tgt" AS "LNCEL_Name_Dest", o."{code}" AS "{code}", s."Share"
+FROM placed o JOIN cm_lnadj j ON o.bts = j."id_LNBTS" JOIN placed t ON t.bts = j."adjEnbId" AND t."earfcnDL" = o."earfcnDL" AND t."{code}" = o."{code}"
+JOIN share s ON s."LNCEL_Name" = o.name AND s."LNCEL_Name_tgt" = t.name WHERE s."Share" >= 10"""
+
+
+def _conflicts(spark: SparkSession, d: str, code: str) -> DataFrame:
+    cm = s.cm(spark, d)
+    cells = P.lte_cells(cm)
+    found = P.audit_code_conflicts(
+        cells,
+        s.site_history(spark, d, "LTE"),
+        P.site_adjacency(cm, _sites(spark, d)),
+        _share(spark, d, cells),
+        code,
+        min_share=10,
+        as_of=AS_OF,
+    )
+    return found.drop("distance_m")
+
+
+@check("C05_audit_code_conflicts", _conflict_sql("phyCellId"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _conflicts(spark, d, "phyCellId")
+
+
+@check("C06_audit_root_conflicts", _conflict_sql("rootSeqIndex"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _conflicts(spark, d, "rootSeqIndex")
+
+
+@check(
+    "C07_audit_rssi",
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()},
+low AS (SELECT concat('S', o_custkey, '_', o_orderkey) AS "Cell", min(-l_quantity) AS pucch, min(-l_quantity * 2) AS pusch FROM obs GROUP BY 1),
+ev AS (SELECT DISTINCT site_name FROM cur_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
+r AS (SELECT "Cell", pucch AS "Avg RSSI for PUCCH", pusch AS "Avg RSSI for PUSCH", site_type,
+  CASE WHEN site_type = 'Indoor' THEN -60.0 ELSE -80.0 END::DOUBLE AS "Threshold"
+  FROM low JOIN cur_lte ON "Cell" = sector_name WHERE site_name IN (SELECT site_name FROM ev))
+SELECT * FROM r WHERE "Avg RSSI for PUSCH" > "Threshold" """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    kpis = s.observations(spark, d).select(
+        F.col("l_shipdate").cast("string").alias("Date"),
+        F.expr("concat('S', o_custkey, '_', o_orderkey)").alias("Cell"),
+        (-F.col("l_quantity")).alias("LTE_5441b"),
+        (-F.col("l_quantity") * 2).alias("LTE_5444b"),
+    )
+    return P.audit_rssi(
+        kpis, s.site_history(spark, d, "LTE"), -60.0, -80.0, _sites(spark, d), AS_OF
+    )
+
+
+_RTWP_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.counters_sql()}, {s.site_set_sql()},
+avgs AS (SELECT sector_name, "distName", {", ".join(
+    f'coalesce(round(avg("M8005C30{c}") / 10, 2), -120) AS "AVG_RTWP_RX_ANT_{i}"' for i, c in enumerate((6, 7, 8, 9), 1)
+)} FROM pm JOIN (SELECT DISTINCT sector_name, "moDistName" FROM cur_lte) ON "distName" = "moDistName"
+  WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL 3650 DAY AND {_SITE_OF.format('"distName"')} IN (SELECT item FROM site_set) GROUP BY 1, 2),
+ports AS (SELECT *, list_filter(["AVG_RTWP_RX_ANT_1", "AVG_RTWP_RX_ANT_2", "AVG_RTWP_RX_ANT_3", "AVG_RTWP_RX_ANT_4"], lambda x: x <> 0) AS p FROM avgs),
+lv AS (SELECT * EXCLUDE (p), round(list_max(p) - list_min(p), 6) AS "Max_RTWP_Diff", round(list_sum(p) / len(p), 6) AS "Avg_RTWP" FROM ports)
+SELECT 'diff' AS kind, * FROM lv WHERE "Max_RTWP_Diff" >= 90 UNION ALL SELECT 'level', * FROM lv WHERE "Avg_RTWP" >= -85"""
+
+
+@check("C08_audit_rtwp", _RTWP_SQL)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    unequal, level = P.audit_rtwp(
+        s.counters(spark, d), s.site_history(spark, d, "LTE"), 90, -85, TODAY, 3650, _sites(spark, d)
+    )
+    both = unequal.select(F.lit("diff").alias("kind"), "*").unionByName(
+        level.select(F.lit("level").alias("kind"), "*")
+    )
+    return both.withColumns(
+        {c: F.round(c, 6) for c in ("Max_RTWP_Diff", "Avg_RTWP")}
+    )
+
+
+@check(
+    "C09_audit_multi_tac",
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()}, {s.cm_sql("LNCEL")}
+SELECT site_name, count(tac) AS "TAC_count", count(DISTINCT tac) AS "TAC_nunique" FROM cur_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name
+WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set) GROUP BY 1 HAVING count(DISTINCT tac) > 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return P.audit_multi_tac(
+        s.site_history(spark, d, "LTE"), s.cm(spark, d), _sites(spark, d), AS_OF
+    )
+
+
+@check(
+    "C10_audit_tac_lac",
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.history_sql("UMTS")}, {s.site_set_sql("BUILDING")}, {s.cm_sql("LNCEL", "WCEL")},
+ev AS (SELECT DISTINCT site_name FROM cur_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
+t AS (SELECT site_name, longitud, latitud, tac FROM cur_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name),
+l AS (SELECT DISTINCT site_name, "LAC" FROM cur_umts JOIN cm_wcel ON mo_distname = "moDistName" AND name = sector_name),
+net AS (SELECT DISTINCT t.site_name, tac, "LAC" FROM t JOIN l ON t.site_name = l.site_name),
+ok AS (SELECT DISTINCT tac, "LAC" FROM net WHERE site_name NOT IN (SELECT site_name FROM ev)),
+pos AS (SELECT DISTINCT site_name, longitud, latitud FROM t)
+SELECT n.site_name, n.tac AS "TAC", n."LAC", CASE WHEN ok.tac IS NULL THEN 'NO-OK' ELSE 'OK' END AS "Status" FROM net n
+LEFT JOIN ok ON n.tac = ok.tac AND n."LAC" = ok."LAC" JOIN pos ON n.site_name = pos.site_name WHERE n.site_name IN (SELECT site_name FROM ev)""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return P.audit_tac_lac(
+        s.site_history(spark, d, "LTE"),
+        s.site_history(spark, d, "UMTS"),
+        s.cm(spark, d),
+        _sites(spark, d, "BUILDING"),
+        AS_OF,
+    )
+
+
+_MISSING_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.history_sql("UMTS")}, {s.site_set_sql()}, {s.cm_sql("LNRELW")},
+exp AS (SELECT a."moDistName" AS mo_distname_src, a.sector_name AS sector_name_src, a.site_name, a.azimuth AS azimuth_src,
+  b."moDistName" AS mo_distname_tgt, b.sector_name AS sector_name_tgt, b.azimuth AS azimuth_tgt,
+  abs(((a.azimuth - b.azimuth + 180) % 360 + 360) % 360 - 180) AS dif_az FROM cur_lte a JOIN cur_umts b ON a.site_name = b.site_name
+  WHERE {_SITE_OF.format('a."moDistName"')} IN (SELECT item FROM site_set)),
+missing AS (SELECT * FROM exp WHERE dif_az <= 20 AND NOT EXISTS (SELECT 1 FROM cm_lnrelw r
+  WHERE regexp_replace(r.mo_distname, '/LNRELW-.*$', '') = mo_distname_src AND r."targetCellDn" = mo_distname_tgt))"""
+
+
+def _missing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return P.audit_missing_relations(
+        s.site_history(spark, d, "LTE"),
+        s.site_history(spark, d, "UMTS"),
+        s.cm(spark, d),
+        _sites(spark, d),
+        as_of=AS_OF,
+    )
+
+
+@check("C11_audit_missing_relations_detail", f"{_MISSING_SQL} SELECT * FROM missing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _missing(spark, d)[1]
+
+
+@check(
+    "C11_audit_missing_relations_summary",
+    f"{_MISSING_SQL} SELECT site_name, count(sector_name_tgt) AS sector_name_tgt FROM missing GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _missing(spark, d)[0]
+
+
+_TILT_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()}, {s.cm_sql("CHANNEL", "LNCEL")},
+unit AS (SELECT cast(o_custkey AS VARCHAR) AS site, cast(l_quantity AS INT) % 12 * 10 AS angle,
+  unnest([concat('ANT-', o_orderkey, '-', l_linenumber), concat('ANT-', o_orderkey, '-', l_linenumber + 1)]) AS ant FROM obs),
+ret AS (SELECT DISTINCT l.name, l.mo_distname, c."antlDN", u.angle / 10.0::DOUBLE AS tilt FROM cm_channel c JOIN cm_lncel l
+  ON c."id_MRBTS" = l."id_MRBTS" AND c."id_LCELL" = l."lcrId" JOIN unit u ON u.site = l."id_MRBTS" AND u.ant = c."antlDN"
+  WHERE {_SITE_OF.format("l.mo_distname")} IN (SELECT item FROM site_set)),
+plan AS (SELECT site_name, sector_name, electrical_tilt FROM cur_lte WHERE {_SITE_OF.format('"moDistName"')} IN (SELECT item FROM site_set))"""
+
+
+@check(
+    "C12_audit_tilt_same_sector",
+    f"""{_TILT_SQL}, t AS (SELECT name, tilt, count(*) AS n FROM ret GROUP BY 1, 2),
+m AS (SELECT name, string_agg(tilt::VARCHAR, '|' ORDER BY tilt) AS "Angles", string_agg(n::VARCHAR, '|' ORDER BY tilt) AS "Angle_Units" FROM t GROUP BY 1 HAVING count(*) > 1)
+SELECT sector_name, "Angles", "Angle_Units", electrical_tilt FROM m JOIN plan ON name = sector_name""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    tilts = P.antenna_tilts(s.cm(spark, d), _sites(spark, d))
+    mixed = P.audit_tilt_same_sector(
+        tilts, s.site_history(spark, d, "LTE"), _sites(spark, d), AS_OF
+    )
+    return mixed.withColumns(
+        {c: F.array_join(F.col(c).cast("array<string>"), "|") for c in ("Angles", "Angle_Units")}
+    )
+
+
+@check(
+    "C13_audit_tilt_vs_baseline",
+    f"""{_TILT_SQL} SELECT DISTINCT site_name, sector_name, mo_distname, tilt AS "RET_electrical_tilt", electrical_tilt
+FROM ret JOIN plan ON name = sector_name WHERE tilt <> electrical_tilt""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    tilts = P.antenna_tilts(s.cm(spark, d), _sites(spark, d))
+    return P.audit_tilt_vs_baseline(
+        tilts, s.site_history(spark, d, "LTE"), _sites(spark, d), AS_OF
+    )
+
+
+_HISTORY_DAYS = [f"1998-06-{day:02d}" for day in range(1, 21)]
+_HISTORY_ROWS = {
+    "Week": "strftime(day, '%W')",
+    "Date": "strftime(day, '%Y-%m-%d')",
+    "Day": "upper(dayname(day))",
+    "Dummy": "''",
+    "LTE_5218g": "cast(n AS VARCHAR)",
+    "Acc RRC All  * Acc S1  * Acc ERAB ": "cast(n * q * 40 / 10000.0::DOUBLE AS VARCHAR)",
+    "RAB_Traffic All RAB": "cast(q AS VARCHAR)",
+    "LTE_9999z": "'0.0'",
+}
+
+
+@check(
+    "C14_kpi_history",
+    "WITH d AS (SELECT l_shipdate AS day, count(*)::DOUBLE AS n, max(l_quantity) AS q FROM lineitem GROUP BY 1) "
+    + " UNION ALL ".join(
+        f"SELECT {i} AS item_position, '{name}' AS item, "
+        + ", ".join(
+            f"""coalesce(max({text}) FILTER (day = TIMESTAMP '{day}'), '-9999') AS "{day}" """ for day in _HISTORY_DAYS
+        )
+        + " FROM d"
+        for i, (name, text) in enumerate(_HISTORY_ROWS.items())
+    ),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    daily = s.table(spark, d, "lineitem").groupBy(
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("Date")
+    ).agg(
+        F.count("*").cast("double").alias("LTE_5218g"),
+        F.max("l_quantity").alias("LTE_5526a"),
+        F.lit(40.0).alias("LTE_5017a"),
+        F.max("l_quantity").alias("LTE_5800e"),
+        F.min("l_quantity").alias("LTE_5801e"),
+    )
+    wanted = ["LTE_5218g", "LTE_5526a", "LTE_5017a", "LTE_5800e", "LTE_5801e", "LTE_9999z"]
+    order = ["LTE_5218g", "Acc RRC All  * Acc S1  * Acc ERAB ", "RAB_Traffic All RAB", "LTE_9999z"]
+    return P.kpi_history(daily, wanted, order, "1998-06-21")

@@ -88,6 +88,7 @@ def main() -> int:
             ok, message = compare(name, spark, con, arguments.folder)
         except Exception as error:
             ok, message = False, f"{type(error).__name__}: {str(error)[:1500]}"
+        print(flush=True)
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - started:.1f}s {message}", flush=True)
         if not ok:
             failed.append(name)

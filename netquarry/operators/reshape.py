@@ -26,7 +26,7 @@ def pivot_values(
 ) -> DataFrame:
     """One column per entry of ``values``.  Raises at run time if a cell has more than one row."""
     repeated = F.raise_error(F.lit("pivot: more than one row for a key and column"))
-    cell = F.when(F.count("*") > 1, repeated).otherwise(F.first(value))
+    cell = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(value))
     return long.groupBy(*keys).pivot(name, list(values)).agg(cell)
 
 
