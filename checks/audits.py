@@ -25,7 +25,7 @@ def _sites(spark: SparkSession, d: str, segment: str | None = None) -> DataFrame
     f"""WITH {s.cm_sql("LNBTS")} SELECT name, mo_distname FROM cm_lnbts WHERE name IS NOT NULL""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return P.site_list(s.cm(spark, d))
+    return P.site_list(s.cm(spark, d, ["LNBTS"]))
 
 
 @check(
@@ -35,7 +35,7 @@ SELECT name AS "LNBTS_Name", mo_distname, mo_version, CASE WHEN mo_version = 'V1
 FROM cm_lnbts WHERE mo_distname IN (SELECT item FROM site_set)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return P.audit_sw_version(s.cm(spark, d), _sites(spark, d), "V1")
+    return P.audit_sw_version(s.cm(spark, d, ["LNBTS"]), _sites(spark, d), "V1")
 
 
 # Golden values come from the data: per class and parameter the smallest value in use.
@@ -84,7 +84,7 @@ deviated AS (SELECT * FROM compared WHERE "Cur_Value" IS NULL OR "Cur_Value" <>
     f"""{_PARAMETERS_SQL} SELECT mo_distname, '2024-03-02' AS raml_date, "Parameter", "Cur_Value", "Object", "Value", site_id FROM deviated""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    _, detail = P.audit_parameters(s.cm(spark, d), _template(spark, d), _sites(spark, d))
+    _, detail = P.audit_parameters(s.cm(spark, d, list(_TEMPLATE_PARAMETERS)), _template(spark, d), _sites(spark, d))
     return detail.withColumn("raml_date", F.col("raml_date").cast("string"))
 
 
@@ -97,7 +97,7 @@ SELECT t.site_id, t."Object", t.n AS "mo_distname_total", d.n AS "mo_distname_de
 FROM total t JOIN dev d ON t.site_id = d.site_id AND t."Object" = d."Object" """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    summary, _ = P.audit_parameters(s.cm(spark, d), _template(spark, d), _sites(spark, d))
+    summary, _ = P.audit_parameters(s.cm(spark, d, list(_TEMPLATE_PARAMETERS)), _template(spark, d), _sites(spark, d))
     return summary
 
 
@@ -111,6 +111,9 @@ share AS (SELECT ho.sector_name AS "LNCEL_Name", c.name AS "LNCEL_Name_tgt", att
   FROM ho JOIN tot ON ho.sector_name = tot.sector_name JOIN cm_lncel c ON ho.eci = c."eutraCelId")"""
 
 
+_CELL_CLASSES = ["LNCEL", "LNCEL_FDD", "LNADJ"]
+
+
 def _share(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
     return P.handover_share(
         s.counters(spark, d), s.site_history(spark, d, "LTE"), cells, TODAY, 3650, _sites(spark, d)
@@ -119,7 +122,7 @@ def _share(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
 
 @check("C04_handover_share", f"{_SHARE_SQL} SELECT * FROM share")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _share(spark, d, P.lte_cells(s.cm(spark, d)))
+    return _share(spark, d, P.lte_cells(s.cm(spark, d, _CELL_CLASSES)))
 
 
 def _conflict_sql(code: str) -> str:
@@ -133,7 +136,7 @@ JOIN share s ON s."LNCEL_Name" = o.name AND s."LNCEL_Name_tgt" = t.name WHERE s.
 
 
 def _conflicts(spark: SparkSession, d: str, code: str) -> DataFrame:
-    cm = s.cm(spark, d)
+    cm = s.cm(spark, d, _CELL_CLASSES)
     cells = P.lte_cells(cm)
     found = P.audit_code_conflicts(
         cells,
@@ -210,7 +213,7 @@ WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set) GROUP BY 1
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.audit_multi_tac(
-        s.site_history(spark, d, "LTE"), s.cm(spark, d), _sites(spark, d), AS_OF
+        s.site_history(spark, d, "LTE"), s.cm(spark, d, ["LNCEL"]), _sites(spark, d), AS_OF
     )
 
 
@@ -230,7 +233,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return P.audit_tac_lac(
         s.site_history(spark, d, "LTE"),
         s.site_history(spark, d, "UMTS"),
-        s.cm(spark, d),
+        s.cm(spark, d, ["LNCEL", "WCEL"]),
         _sites(spark, d, "BUILDING"),
         AS_OF,
     )
@@ -249,7 +252,7 @@ def _missing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return P.audit_missing_relations(
         s.site_history(spark, d, "LTE"),
         s.site_history(spark, d, "UMTS"),
-        s.cm(spark, d),
+        s.cm(spark, d, ["LNRELW"]),
         _sites(spark, d),
         as_of=AS_OF,
     )
@@ -277,6 +280,9 @@ ret AS (SELECT DISTINCT l.name, l.mo_distname, c."antlDN", u.angle / 10.0::DOUBL
 plan AS (SELECT site_name, sector_name, electrical_tilt FROM cur_lte WHERE {_SITE_OF.format('"moDistName"')} IN (SELECT item FROM site_set))"""
 
 
+_TILT_CLASSES = ["CHANNEL", "LNCEL", "RETU", "ALD"]
+
+
 @check(
     "C12_audit_tilt_same_sector",
     f"""{_TILT_SQL}, t AS (SELECT name, tilt, count(*) AS n FROM ret GROUP BY 1, 2),
@@ -284,7 +290,7 @@ m AS (SELECT name, string_agg(tilt::VARCHAR, '|' ORDER BY tilt) AS "Angles", str
 SELECT sector_name, "Angles", "Angle_Units", electrical_tilt FROM m JOIN plan ON name = sector_name""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    tilts = P.antenna_tilts(s.cm(spark, d), _sites(spark, d))
+    tilts = P.antenna_tilts(s.cm(spark, d, _TILT_CLASSES), _sites(spark, d))
     mixed = P.audit_tilt_same_sector(
         tilts, s.site_history(spark, d, "LTE"), _sites(spark, d), AS_OF
     )
@@ -299,7 +305,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 FROM ret JOIN plan ON name = sector_name WHERE tilt <> electrical_tilt""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    tilts = P.antenna_tilts(s.cm(spark, d), _sites(spark, d))
+    tilts = P.antenna_tilts(s.cm(spark, d, _TILT_CLASSES), _sites(spark, d))
     return P.audit_tilt_vs_baseline(
         tilts, s.site_history(spark, d, "LTE"), _sites(spark, d), AS_OF
     )

@@ -40,7 +40,7 @@ UNION ALL SELECT 'RETU', '2024-03-02', mo_distname, mo_version FROM cm_retu
 UNION ALL SELECT 'RETU', '2024-03-03', mo_distname, mo_version FROM cm_retu""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    cm = s.cm(spark, d)
+    cm = s.cm(spark, d, ["WCEL", "RETU", "ALD"])
     own = Sn.latest_snapshot(cm, "WCEL").unionByName(Sn.latest_snapshot(cm, "RETU"))
     by_other = Sn.latest_snapshot(cm, "RETU", dated_by="ALD")
     return own.unionByName(by_other).select(
@@ -475,7 +475,7 @@ JOIN c t ON t.site = j."adjEnbId" AND t.code = o.code AND t.carrier = o.carrier"
 def _(spark: SparkSession, d: str) -> DataFrame:
     from netquarry.plans import lte_cells, site_adjacency
 
-    cm = s.cm(spark, d)
+    cm = s.cm(spark, d, ["LNCEL", "LNCEL_FDD", "LNADJ"])
     cells = lte_cells(cm).select("LNBTS_id", "LNCEL_Name", "phyCellId", "earfcnDL")
     return J.neighbour_pairs(cells, site_adjacency(cm), "phyCellId").select(
         F.col("LNCEL_Name_Orig").alias("origin"),

@@ -7,6 +7,8 @@ the same tables for the oracle.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,9 @@ _COUNTERS = {
 }
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A driver table; kept, since every read looks into the file for its schema."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
