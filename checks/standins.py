@@ -64,20 +64,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with the nation and region of their customer."""
-    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
-    nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+@lru_cache(maxsize=64)
+def spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table, spread over the cores if it comes in fewer files than there are cores.
+
+    Larger tables are left as they are scanned.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def cells(spark: SparkSession, folder: str, *, region: bool = False) -> DataFrame:
+    """Orders with the nation of their customer, and its names on request."""
+    customer = table(spark, folder, "customer")
+    found = table(spark, folder, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    if not region:
+        return found
+    nation, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    return found.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+        regions, F.col("n_regionkey") == F.col("r_regionkey")
     )
 
 
-def observations(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    return lines.join(cells(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
+def observations(
+    spark: SparkSession, folder: str, *, customer: bool = True, region: bool = False
+) -> DataFrame:
+    """Order lines with their order, and no further tables than asked for."""
+    lines = spread(spark, folder, "lineitem", "l_orderkey")
+    orders = (
+        cells(spark, folder, region=region)
+        if customer or region
+        else table(spark, folder, "orders")
+    )
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 OBSERVATIONS_SQL = """obs AS (
@@ -98,7 +118,8 @@ def _history_columns(technology: str) -> dict[str, str]:
 
 
 def site_history(spark: SparkSession, folder: str, technology: str) -> DataFrame:
-    return observations(spark, folder).select(*_columns(_history_columns(technology)))
+    lines = observations(spark, folder, region=True)
+    return lines.select(*_columns(_history_columns(technology)))
 
 
 def history_sql(technology: str) -> str:
@@ -118,7 +139,8 @@ def _counter_columns(technology: str, site_level: bool) -> dict[str, str]:
 def counters(
     spark: SparkSession, folder: str, technology: str = "LTE", site_level: bool = False
 ) -> DataFrame:
-    return observations(spark, folder).select(*_columns(_counter_columns(technology, site_level)))
+    lines = observations(spark, folder, customer=technology != "LTE")
+    return lines.select(*_columns(_counter_columns(technology, site_level)))
 
 
 def counters_sql(technology: str = "LTE", site_level: bool = False, name: str = "pm") -> str:
@@ -141,7 +163,8 @@ def _probe_columns(technology: str) -> dict[str, str]:
 
 
 def probes(spark: SparkSession, folder: str, technology: str) -> DataFrame:
-    return observations(spark, folder).select(*_columns(_probe_columns(technology)))
+    lines = observations(spark, folder, customer=technology != "LTE")
+    return lines.select(*_columns(_probe_columns(technology)))
 
 
 def probes_sql(technology: str) -> str:
@@ -222,7 +245,7 @@ _CLASSES: dict[str, tuple[str, str, dict[str, str], dict[str, str]]] = {
         {"adjEnbId": "t_custkey"},
     ),
     "LNRELW": (
-        "lines",
+        "customer lines",
         f"concat({_DN['LTE']}, '/LNRELW-', l_linenumber)",
         {"LNBTS": "o_custkey", "LNCEL": "o_orderkey"},
         {"targetCellDn": _DN["UMTS"]},
@@ -253,8 +276,15 @@ _LINE_LIST = [
     "concat('ANT-', o_orderkey, '-', l_linenumber)",
     "concat('ANT-', o_orderkey, '-', l_linenumber + 1)",
 ]
-_FILE = "concat('dump_rc', c_nationkey % 3 + 1, '_day.xml')"
-_VERSION = "case when c_nationkey < 13 then 'V1' else 'V2' end"
+
+
+def _dump_columns(kind: str) -> dict[str, str]:
+    site = "c_custkey" if kind == "sites" else "o_custkey"
+    return {
+        "mo_version": f"case when {site} % 25 < 13 then 'V1' else 'V2' end",
+        "filename": f"concat('dump_rc', {site} % 3 + 1, '_day.xml')",
+    }
+
 
 
 def _source(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -262,8 +292,8 @@ def _source(spark: SparkSession, folder: str, kind: str) -> DataFrame:
         return table(spark, folder, "customer")
     if kind == "cells":
         return cells(spark, folder)
-    lines = observations(spark, folder)
-    if kind == "lines":
+    lines = observations(spark, folder, customer=kind == "customer lines")
+    if kind != "handovers":
         return lines
     targets = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("t_orderkey"), F.col("o_custkey").alias("t_custkey")
@@ -275,6 +305,7 @@ _SOURCE_SQL = {
     "sites": "customer",
     "cells": "orders JOIN customer ON o_custkey = c_custkey",
     "lines": "obs",
+    "customer lines": "obs",
     "handovers": "obs JOIN (SELECT o_orderkey AS t_orderkey, o_custkey AS t_custkey FROM orders) "
     "ON l_partkey = t_orderkey",
 }
@@ -302,8 +333,7 @@ def cm(spark: SparkSession, folder: str, classes: list[str] | None = None) -> Da
                 F.explode(F.array(*[F.lit(d).cast("date") for d in days])).alias("raml_date"),
                 F.lit(mo_class).alias("mo_class"),
                 F.expr(dn).alias("mo_distname"),
-                F.expr(_VERSION).alias("mo_version"),
-                F.expr(_FILE).alias("filename"),
+                *_columns(_dump_columns(kind)),
                 _text_map(ids, keep_null=False).alias("ids"),
                 _text_map(parameters, keep_null=True).alias("parameters"),
                 lists.cast("map<string,array<string>>").alias("p_lists"),
@@ -323,8 +353,7 @@ def cm_sql(*classes: str) -> str:
         kind, dn, ids, parameters = _CLASSES[mo_class]
         texts = {
             "mo_distname": dn,
-            "mo_version": _VERSION,
-            "filename": _FILE,
+            **_dump_columns(kind),
             **{f"id_{k}": f"cast({t} as varchar)" for k, t in ids.items()},
             **{k: f"cast({t} as varchar)" for k, t in parameters.items()},
         }
@@ -336,7 +365,7 @@ def cm_sql(*classes: str) -> str:
 
 def events_cm(spark: SparkSession, folder: str, weekly: bool = False) -> DataFrame:
     """Event rows as a configuration dump with uneven keys, lists and item lists."""
-    events = table(spark, folder, "events")
+    events = spread(spark, folder, "events", "event_id")
     return events.withColumn("k", F.expr("get_json_object(props, '$.k')")).select(
         F.expr(
             "to_date(date_trunc('week', ts))" if weekly else "to_date(date_trunc('month', ts))"

@@ -15,9 +15,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.functions.text import controller_code
+from netquarry.functions.text import as_column, controller_code
 from netquarry.operators.columns import last_of_equal_names
-from netquarry.operators.reshape import explode_lists
 from netquarry.operators.snapshots import newest_day
 
 ID_SUFFIX = "_id"
@@ -28,6 +27,8 @@ NEWEST_DAY_CLASS = "LNCEL"
 
 _IDS = "ids"
 _FIELDS = "fields"
+_VERSION = "version"
+_ROWS = "rows"
 
 
 @dataclass
@@ -46,46 +47,39 @@ class TableProfile:
         return self.integers[kind, name] + missing == self.rows
 
 
-def _entries(kind: str, mapping: Column | str) -> Column:
-    return F.transform(
-        F.map_entries(mapping),
-        lambda e: F.struct(
-            F.lit(kind).alias("kind"), e["key"].alias("name"), e["value"].alias("value")
-        ),
-    )
-
-
-def _profile(rows: DataFrame, keys: Sequence[str], entries: Column) -> dict[tuple[str, ...], TableProfile]:
-    """Profile of ``entries`` (kind, name, value) per group of ``keys``.
+def _profile(
+    rows: DataFrame, keys: Sequence[str], maps: dict[str, Column | str]
+) -> dict[tuple[str, ...], TableProfile]:
+    """Profile of the entries of some map columns, named by kind, per group of ``keys``.
 
-    The grouped rows are few (one per column of a table), whatever the size of a class.  Rows are
-    counted by an entry of their own, so one pass suffices.
+    Entries become rows and are counted per column at once, so what is shuffled and fetched is one
+    row per column of a table, whatever the size of a class.  A map with a single entry rides along
+    to count the rows themselves.
     """
-    marker = F.array(
-        F.struct(
-            F.lit("row").alias("kind"), F.lit("").alias("name"), F.lit(None).cast("string").alias("value")
+    kinds = [*maps, _ROWS]
+    columns = [as_column(m).cast("map<string,string>") for m in maps.values()]
+    one = F.create_map(F.lit(""), F.lit(""))
+    entries = (
+        rows.select(*keys, F.posexplode(F.array(*columns, one)).alias("kind", "mapping"))
+        .select(*keys, "kind", F.explode("mapping").alias("name", "value"))
+        .groupBy(*keys, "kind", "name")
+        .agg(
+            F.count("*").alias("seen"),
+            F.count("value").alias("present"),
+            F.count(F.col("value").try_cast("bigint")).alias("integers"),
         )
     )
-    flat = rows.select(*keys, F.inline(F.concat(marker, F.coalesce(entries, F.array().cast(_ENTRY_TYPE)))))
-    tally = flat.groupBy(*keys, "kind", "name").agg(
-        F.count("*").alias("seen"),
-        F.count("value").alias("present"),
-        F.count(F.col("value").try_cast("bigint")).alias("integers"),
-    )
     profiles: dict[tuple[str, ...], TableProfile] = defaultdict(TableProfile)
-    for row in tally.collect():
-        profile = profiles[tuple(row[k] for k in keys)]
-        if row["kind"] == "row":
+    for row in entries.collect():
+        profile, kind = profiles[tuple(row[k] for k in keys)], kinds[row["kind"]]
+        if kind == _ROWS:
             profile.rows = row["seen"]
         else:
-            profile.present[row["kind"], row["name"]] = row["present"]
-            profile.integers[row["kind"], row["name"]] = row["integers"]
+            profile.present[kind, row["name"]] = row["present"]
+            profile.integers[kind, row["name"]] = row["integers"]
     return profiles
 
 
-_ENTRY_TYPE = "array<struct<kind:string,name:string,value:string>>"
-
-
 def _on_day(cm: DataFrame, day: str | date | None) -> DataFrame:
     if day is None:
         return cm.where(F.col("raml_date") == newest_day(cm, NEWEST_DAY_CLASS).scalar())
@@ -123,21 +117,12 @@ def flatten_parameters(cm: DataFrame, day: str | date | None = None) -> dict[str
     A column becomes bigint when all its values convert; one with a missing value stays text.
     """
     rows = _on_day(cm, day).where(F.col("parameters").isNotNull())
-    entries = F.concat(
-        F.coalesce(_entries(_IDS, "ids"), F.array().cast(_ENTRY_TYPE)),
-        _entries(_FIELDS, "parameters"),
-        F.array(
-            F.struct(
-                F.lit("version").alias("kind"),
-                F.lit(VERSION_COLUMN).alias("name"),
-                F.col("mo_version").alias("value"),
-            )
-        ),
-    )
+    version_map = F.create_map(F.lit(VERSION_COLUMN), F.col("mo_version"))
+    maps = {_IDS: "ids", _FIELDS: "parameters", _VERSION: version_map}
     tables = {}
-    for (mo_class,), profile in sorted(_profile(rows, ["mo_class"], entries).items()):
+    for (mo_class,), profile in sorted(_profile(rows, ["mo_class"], maps).items()):
         version = F.col("mo_version")
-        if profile.is_integer("version", VERSION_COLUMN):
+        if profile.is_integer(_VERSION, VERSION_COLUMN):
             version = version.cast("bigint")
         columns = {
             **_id_columns(profile, "ids"),
@@ -152,23 +137,13 @@ def flatten_parameters(cm: DataFrame, day: str | date | None = None) -> dict[str
     return tables
 
 
-def _id_keys(rows: DataFrame) -> dict[str, list[str]]:
-    """Id keys of every class."""
-    found: dict[str, list[str]] = defaultdict(list)
-    pairs = rows.select("mo_class", F.explode(F.map_keys("ids")).alias("key")).distinct()
-    for row in pairs.collect():
-        found[row["mo_class"]].append(row["key"])
-    return found
+def _id_keys(rows: DataFrame) -> DataFrame:
+    """``mo_class, key``: the id keys of every class."""
+    return rows.select("mo_class", F.explode(F.map_keys("ids")).alias("key")).distinct()
 
 
-def _per_class(names: dict[str, list[str]]) -> Column:
-    """Literal map from class to a list of names."""
-    parts = [
-        part
-        for mo_class, found in names.items()
-        for part in (F.lit(mo_class), F.array(*[F.lit(n) for n in found]))
-    ]
-    return F.create_map(*parts).cast("map<string,array<string>>")
+def _present_ids() -> Column:
+    return F.size(F.array_compact(F.map_values("ids")))
 
 
 def flatten_lists(cm: DataFrame, day: str | date | None = None) -> dict[str, DataFrame]:
@@ -177,21 +152,25 @@ def flatten_lists(cm: DataFrame, day: str | date | None = None) -> dict[str, Dat
     Rows with any missing id or value are left out.
     """
     rows = _on_day(cm, day).where(F.col("p_lists").isNotNull())
-    id_keys = _id_keys(rows)
-    expected = _per_class(id_keys)
-    complete = F.forall(
-        F.coalesce(F.element_at(expected, F.col("mo_class")), F.array().cast("array<string>")),
-        lambda key: F.element_at("ids", key).isNotNull(),
-    )
-    listed = explode_lists(rows.select("mo_class", "ids", "filename", "p_lists")).where(complete)
-    value_entry = F.array(
-        F.struct(F.lit(_FIELDS).alias("kind"), F.lit("Value").alias("name"), F.col("Value").alias("value"))
+    keys = _id_keys(rows)
+    id_count = {r["mo_class"]: r["n"] for r in keys.groupBy("mo_class").agg(F.count("*").alias("n")).collect()}
+    # An object lacks no id when it has as many as its class has keys.
+    expected = keys.groupBy("mo_class").agg(F.count("*").alias("expected"))
+    complete = (
+        rows.join(expected, on="mo_class", how="left")
+        .where(_present_ids() == F.coalesce("expected", F.lit(0)))
+        .select("mo_class", "ids", F.explode("p_lists").alias("list", "items"))
+        .withColumn("items", F.array_compact("items"))
+        .where(F.size("items") > 0)
     )
-    profiles = _profile(listed, ["mo_class", "list"], F.concat(_entries(_IDS, "ids"), value_entry))
+    profiles = _profile(complete, ["mo_class", "list"], {_IDS: "ids"})
+    entry = F.create_map(F.lit("Value"), F.col("Value"))
+    values = complete.select("mo_class", "list", F.explode("items").alias("Value"))
+    value_profiles = _profile(values, ["mo_class", "list"], {_FIELDS: entry})
     tables = {}
     for (mo_class, list_name), profile in sorted(profiles.items()):
         value = F.col("Value")
-        if profile.is_integer(_FIELDS, "Value"):
+        if value_profiles[mo_class, list_name].is_integer(_FIELDS, "Value"):
             value = value.cast("bigint")
         columns = {**_id_columns(profile, "ids"), "optionId": F.col("optionId"), "Value": value}
         of_list = rows.where(F.col("mo_class") == mo_class).select(
@@ -200,10 +179,7 @@ def flatten_lists(cm: DataFrame, day: str | date | None = None) -> dict[str, Dat
             F.posexplode(F.element_at("p_lists", F.lit(list_name))).alias("optionId", "Value"),
         )
         kept = of_list.where(F.col("Value").isNotNull()).where(
-            F.forall(
-                F.array(*[F.lit(k) for k in id_keys[mo_class]]).cast("array<string>"),
-                lambda key: F.element_at("ids", key).isNotNull(),
-            )
+            _present_ids() == id_count.get(mo_class, 0)
         )
         tables[f"{mo_class}_{list_name}".upper()] = kept.select(*_table_columns(columns))
     return tables
@@ -216,32 +192,15 @@ def flatten_items(cm: DataFrame, day: str | date | None = None) -> dict[str, Dat
     the first items of all objects.
     """
     rows = _on_day(cm, day).where(F.col("item_lists").isNotNull())
-    pairs = (
-        rows.select("mo_class", F.explode(F.map_keys("item_lists")).alias("list"))
-        .distinct()
-        .orderBy("mo_class", "list")
-        .collect()
-    )
-    if not pairs:
-        return {}
+    lists = rows.select("mo_class", F.explode(F.map_keys("item_lists")).alias("list")).distinct()
     # Every object counts for all lists of its class, also for those it lacks.
-    by_class: dict[str, list[str]] = defaultdict(list)
-    for pair in pairs:
-        by_class[pair["mo_class"]].append(pair["list"])
-    per_list = rows.select(
-        "mo_class",
-        "ids",
-        "filename",
-        "item_lists",
-        F.explode(F.element_at(_per_class(by_class), F.col("mo_class"))).alias("list"),
-    ).withColumn("item", F.get(F.element_at("item_lists", F.col("list")), 0))
-    entries = F.concat(
-        F.coalesce(_entries(_IDS, "ids"), F.array().cast(_ENTRY_TYPE)),
-        F.coalesce(_entries(_FIELDS, "item"), F.array().cast(_ENTRY_TYPE)),
+    per_list = rows.select("mo_class", "ids", "item_lists").join(lists, on="mo_class").select(
+        "mo_class", "list", "ids", F.get(F.element_at("item_lists", F.col("list")), 0).alias("item")
     )
+    maps = {_IDS: "ids", _FIELDS: "item"}
     tables = {}
     for (mo_class, list_name), profile in sorted(
-        _profile(per_list, ["mo_class", "list"], entries).items()
+        _profile(per_list, ["mo_class", "list"], maps).items()
     ):
         columns = {
             **_id_columns(profile, "ids", null_is_zero=True),

@@ -78,10 +78,14 @@ def handover_share(
         )
     )
     shares = share_of_total(per_pair, ["sector_name"], "INTER_HO_ATT_NB", "Total_ATT", "Share")
-    targets = cells.select(
-        F.col("eutraCelId").alias("ECI"), F.col("LNCEL_Name").alias("LNCEL_Name_tgt")
-    )
-    return shares.join(targets, on="ECI").select(
+    targets = cells.where(F.col("eutraCelId").isNotNull()).select(
+        F.col("eutraCelId").alias("target"), F.col("LNCEL_Name").alias("LNCEL_Name_tgt")
+    )
+    # A pair without a target id counts in the total only.  A plain join key would have Spark filter
+    # those pairs out below the sums of one branch, and the counters would be summed twice over;
+    # with a key that is never NULL both branches share the shuffled sums.
+    target_key = F.coalesce("ECI", F.lit(""))
+    return shares.join(targets, target_key == F.col("target")).select(
         F.col("sector_name").alias("LNCEL_Name"),
         "LNCEL_Name_tgt",
         "INTER_HO_ATT_NB",
