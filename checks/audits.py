@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from checks import standins as s
 from checks.registry import check
 from netquarry import plans as P
+from netquarry.session import work_folder
+from netquarry.sources import read_template
 
 TODAY = "2001-11-05"
 AS_OF = "2001-12-31"
@@ -54,7 +56,7 @@ def _template(spark: SparkSession, d: str) -> DataFrame:
             for p in (F.lit(c), F.array(*[F.lit(n) for n in names]))
         ]
     )
-    return (
+    found = (
         s.cm(spark, d, list(_TEMPLATE_PARAMETERS))
         .select(
             F.col("mo_class").alias("Object"),
@@ -64,6 +66,10 @@ def _template(spark: SparkSession, d: str) -> DataFrame:
         .groupBy("Object", "Parameter")
         .agg(F.coalesce(F.min(F.element_at("parameters", F.col("Parameter"))), F.lit("1")).alias("Value"))
     )
+    # A template is a small file that is made once and read by every audit.
+    folder = work_folder(spark, "template")
+    found.write.option("header", True).option("sep", ";").csv(folder)
+    return read_template(spark, folder)
 
 
 _MELTED = " UNION ALL ".join(

@@ -40,6 +40,15 @@ def equi_join(
     return joined.withColumnsRenamed({f"__right_{r}": r for r in kept_right})
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark a look-up table for broadcast after counting that it has at most ``max_rows`` rows.
+
+    Spark knows the size of files by itself; this is for tables made in memory or derived, whose
+    size it cannot tell.  A larger table is returned as it is and joined by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def suffixed(df: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keep})
 

@@ -16,7 +16,7 @@ from netquarry.operators.filters import (
     members,
     site_part,
 )
-from netquarry.operators.joins import assign_site
+from netquarry.operators.joins import assign_site, small_side
 from netquarry.operators.snapshots import latest_snapshot
 
 
@@ -87,7 +87,7 @@ def audit_parameters(
         "mo_distname", "raml_date", F.col("mo_class").alias("Object"), "parameters", "site_id"
     )
     detail = (
-        objects.join(template, on="Object")
+        objects.join(small_side(template), on="Object")
         .withColumn("Cur_Value", F.element_at("parameters", F.col("Parameter")))
         .where(differs("Cur_Value", "Value"))
         .select("mo_distname", "raml_date", "Parameter", "Cur_Value", "Object", "Value", "site_id")

@@ -32,7 +32,9 @@ def test_latest_snapshot_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "cm")
     cm.write.partitionBy("raml_date", "mo_class").parquet(path)
     newest = S.latest_snapshot(spark.read.parquet(path), "A")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     plan = newest._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "= Subquery" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert [r["id"] for r in newest.collect()] == [9]
 
@@ -61,6 +63,21 @@ def test_membership_and_nulls(spark, rows):
     assert rows(Fl.not_members(df, "k", ws)) == rows(Fl.not_members(df, "k", ["a"])) == [("b",), (None,)]
 
 
+def test_long_lists_become_a_join(spark, rows):
+    df = spark.createDataFrame([("n5",), ("x",), (None,)], "k string")
+    names = [f"n{i}" for i in range(Fl.MAX_LITERALS + 1)]
+    assert rows(Fl.members(df, "k", names)) == [("n5",)]
+    assert rows(Fl.not_members(df, "k", names)) == [("x",), (None,)]
+
+
+def test_small_side_is_checked(spark):
+    big, lookup = spark.range(100), spark.createDataFrame([(i,) for i in range(5)], "id bigint")
+    def plan(limit):
+        joined = big.join(J.small_side(lookup, limit), on="id")
+        return joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(5) and "BroadcastHashJoin" not in plan(4)
+
+
 def test_site_matching_whole_parts_or_prefix(spark, rows):
     df = spark.createDataFrame([("P/M-1/L-1/C-1",), ("P/M-1/L-10/C-1",), ("P/M-1/L-2/C-1",), (None,)], "dn string")
     sites = spark.createDataFrame([("P/M-1/L-1",), ("P/M-1/L-2",), (None,)], "item string")
