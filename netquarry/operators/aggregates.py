@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netquarry.functions.dates import local_bucket
 from netquarry.functions.numeric import log_magnitude, percent
@@ -127,26 +126,31 @@ def time_rollup(
     )
 
 
-def split_kpis_by_scale(
-    long: DataFrame, kpi: str = "KPI", value: str = "Value", seed: int = 7
-) -> DataFrame:
+def split_kpis_by_scale(long: DataFrame, kpi: str = "KPI", value: str = "Value") -> DataFrame:
     """Add ``Cluster`` 0 or 1 by the magnitude of each KPI's maximum (0 is the smaller scale).
 
+    The split is the two-means one.  On a line its clusters are the two sides of a cut, so every cut
+    of the ordered magnitudes is scored from running sums and the best one taken: exact, repeatable
+    and without iterations.  The window sees one row per KPI, as many as the catalog query asked for.
     KPIs without a value drop out.  One KPI alone, or KPIs of one magnitude, are all cluster 0.
     """
     peaks = (
-        long.groupBy(kpi)
+        long.where(F.col(kpi).isNotNull())
+        .groupBy(kpi)
         .agg(F.max(F.col(value).cast("double")).alias("peak"))
-        .where(F.col("peak").isNotNull() & F.col(kpi).isNotNull())
-        .withColumn("magnitude", log_magnitude("peak"))
+        .where(F.col("peak").isNotNull())
+        .select(kpi, log_magnitude("peak").alias("m"))
+    )
+    everything = Window.partitionBy()
+    up_to_here = Window.orderBy("m").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    below, below_sum = F.count("m").over(up_to_here), F.sum("m").over(up_to_here)
+    above, above_sum = F.count("m").over(everything) - below, F.sum("m").over(everything) - below_sum
+    # The smaller the spread within both sides, the larger this sum.
+    score = below_sum * below_sum / below + F.try_divide(above_sum * above_sum, above)
+    cut = F.max(F.when(F.col("score").isNotNull(), F.struct("score", "m"))).over(everything)
+    labels = (
+        peaks.withColumn("score", score)
+        .withColumn("cut", cut["m"])
+        .select(kpi, F.coalesce(F.col("m") > F.col("cut"), F.lit(False)).cast("int").alias("Cluster"))
     )
-    points = VectorAssembler(inputCols=["magnitude"], outputCol="features").transform(peaks)
-    if peaks.limit(2).count() < 2:
-        labels = peaks.select(kpi, F.lit(0).alias("Cluster"))
-    else:
-        model = KMeans(k=2, seed=seed, predictionCol="label", maxIter=50).fit(points)
-        centres = [float(c[0]) for c in model.clusterCenters()]
-        larger = max(range(len(centres)), key=centres.__getitem__)
-        in_larger = (F.col("label") == larger) & F.lit(len(centres) > 1)
-        labels = model.transform(points).select(kpi, in_larger.cast("int").alias("Cluster"))
     return long.join(labels, on=kpi)

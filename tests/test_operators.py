@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -71,7 +72,7 @@ def test_long_lists_become_a_join(spark, rows):
 
 
 def test_small_side_is_checked(spark):
-    big, lookup = spark.range(100), spark.createDataFrame([(i,) for i in range(5)], "id bigint")
+    big, lookup = (spark.createDataFrame([(i,) for i in range(n)], "id bigint") for n in (100, 5))
     def plan(limit):
         joined = big.join(J.small_side(lookup, limit), on="id")
         return joined._jdf.queryExecution().executedPlan().toString()
@@ -184,6 +185,22 @@ def test_split_by_scale_is_the_best_cut(spark):
     long = spark.createDataFrame([(k, v) for k, v in peaks.items()] + [("f", None)], "KPI string, Value double")
     got = {r["KPI"]: r["Cluster"] for r in A.split_kpis_by_scale(long).collect()}
     assert got == {"a": 0, "b": 0, "c": 0, "d": 1, "e": 1}
+    rng = random.Random(3)
+    for _ in range(4):
+        made = {f"k{i}": 10 ** rng.uniform(-2, 6) for i in range(rng.randint(2, 9))}
+        logs = {k: math.log10(v) for k, v in made.items()}
+
+        def spread_around_mean(side):
+            return sum((x - sum(side) / len(side)) ** 2 for x in side) if side else 0.0
+
+        def cost(cut):
+            sides = [[x for x in logs.values() if x <= cut], [x for x in logs.values() if x > cut]]
+            return sum(map(spread_around_mean, sides))
+
+        cut = min(logs.values(), key=cost)
+        frame = spark.createDataFrame(list(made.items()), "KPI string, Value double")
+        got = {r["KPI"]: r["Cluster"] for r in A.split_kpis_by_scale(frame).collect()}
+        assert got == {k: int(x > cut) for k, x in logs.items()}
     one = long.where("KPI = 'd'")
     assert [r["Cluster"] for r in A.split_kpis_by_scale(one).collect()] == [0]
     equal = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "KPI string, Value double")
