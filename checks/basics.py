@@ -467,21 +467,41 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @check(
     "J09_neighbour_pairs",
     f"""WITH {s.OBSERVATIONS_SQL}, {s.cm_sql("LNCEL", "LNCEL_FDD", "LNADJ")},
-c AS (SELECT a."id_LNBTS" AS site, a.name, a."phyCellId" AS code, f."earfcnDL" AS carrier FROM cm_lncel a
-  JOIN cm_lncel_fdd f ON a."id_LNCEL" = f."id_LNCEL" AND a."id_LNBTS" = f."id_LNBTS")
-SELECT o.name AS origin, t.name AS target, o.code, o.carrier FROM c o JOIN cm_lnadj j ON o.site = j."id_LNBTS"
-JOIN c t ON t.site = j."adjEnbId" AND t.code = o.code AND t.carrier = o.carrier""",
+c AS (SELECT a."id_LNBTS" AS site, a."id_LNCEL" AS cell, a.name, a."phyCellId" AS code, f."earfcnDL" AS carrier FROM cm_lncel a
+  JOIN cm_lncel_fdd f ON a."id_LNCEL" = f."id_LNCEL" AND a."id_LNBTS" = f."id_LNBTS"),
+p AS (SELECT DISTINCT concat('S', o_custkey, '_', o_orderkey) AS origin, cast(l_partkey AS VARCHAR) AS tgt FROM obs),
+j AS (SELECT DISTINCT "id_LNBTS" AS site, "adjEnbId" AS adj FROM cm_lnadj)
+SELECT p.origin, t.name AS target, o.code, o.carrier FROM p JOIN c t ON t.cell = p.tgt JOIN c o ON o.name = p.origin
+AND o.code = t.code AND o.carrier = t.carrier JOIN j ON j.site = o.site AND j.adj = t.site""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     from netquarry.plans import lte_cells, site_adjacency
 
     cm = s.cm(spark, d, ["LNCEL", "LNCEL_FDD", "LNADJ"])
-    cells = lte_cells(cm).select("LNBTS_id", "LNCEL_Name", "phyCellId", "earfcnDL")
-    return J.neighbour_pairs(cells, site_adjacency(cm), "phyCellId").select(
+    cells = lte_cells(cm)
+    names = cells.select(
+        F.col("eutraCelId").alias("target"), F.col("LNCEL_Name").alias("LNCEL_Name_Dest")
+    )
+    measured = (
+        s.observations(spark, d, customer=False)
+        .select(
+            F.expr("concat('S', o_custkey, '_', o_orderkey)").alias("LNCEL_Name_Orig"),
+            F.col("l_partkey").cast("string").alias("target"),
+        )
+        .distinct()
+        .join(names, on="target")
+    )
+    found = J.neighbour_pairs(
+        measured.select("LNCEL_Name_Orig", "LNCEL_Name_Dest"),
+        cells.select("LNBTS_id", "LNCEL_Name", "phyCellId", "earfcnDL"),
+        site_adjacency(cm).distinct(),
+        "phyCellId",
+    )
+    return found.select(
         F.col("LNCEL_Name_Orig").alias("origin"),
         F.col("LNCEL_Name_Dest").alias("target"),
-        F.col("phyCellId").alias("code"),
-        F.col("earfcnDL").alias("carrier"),
+        F.col("phyCellId_Orig").alias("code"),
+        F.col("earfcnDL_Orig").alias("carrier"),
     )
 
 

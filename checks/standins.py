@@ -75,10 +75,17 @@ def spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
-def cells(spark: SparkSession, folder: str, *, region: bool = False) -> DataFrame:
+def cells(
+    spark: SparkSession, folder: str, *, region: bool = False, evenly: bool = False
+) -> DataFrame:
     """Orders with the nation of their customer, and its names on request."""
     customer = table(spark, folder, "customer")
-    found = table(spark, folder, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    orders = (
+        spread(spark, folder, "orders", "o_orderkey")
+        if evenly
+        else table(spark, folder, "orders")
+    )
+    found = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     if not region:
         return found
     nation, regions = table(spark, folder, "nation"), table(spark, folder, "region")
@@ -291,7 +298,7 @@ def _source(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     if kind == "sites":
         return table(spark, folder, "customer")
     if kind == "cells":
-        return cells(spark, folder)
+        return cells(spark, folder, evenly=True)
     lines = observations(spark, folder, customer=kind == "customer lines")
     if kind != "handovers":
         return lines
@@ -314,7 +321,9 @@ _SOURCE_SQL = {
 def _text_map(texts: dict[str, str], keep_null: bool) -> Column:
     parts = [p for k, t in texts.items() for p in (F.lit(k), F.expr(t).cast("string"))]
     mapping = F.create_map(*parts)
-    return mapping if keep_null else F.map_filter(mapping, lambda _, v: v.isNotNull())
+    if keep_null or not any("null" in text for text in texts.values()):
+        return mapping
+    return F.map_filter(mapping, lambda _, v: v.isNotNull())
 
 
 def cm(spark: SparkSession, folder: str, classes: list[str] | None = None) -> DataFrame:

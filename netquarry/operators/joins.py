@@ -49,29 +49,42 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def suffixed(df: DataFrame, suffix: str, keep: Sequence[str] = ()) -> DataFrame:
-    return df.withColumnsRenamed({c: c + suffix for c in df.columns if c not in keep})
+def suffixed(df: DataFrame, suffix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: c + suffix for c in df.columns})
 
 
 def neighbour_pairs(
+    pairs: DataFrame,
     cells: DataFrame,
     adjacency: DataFrame,
     code: str,
+    name: str = "LNCEL_Name",
     site: str = "LNBTS_id",
     adjacent: str = "adjEnbId",
     carrier: str = "earfcnDL",
     null_safe: bool = False,
 ) -> DataFrame:
-    """Pairs (origin, destination) of cells on adjacent sites with equal carrier and equal code."""
-    shared = (carrier, code)
-    origin = suffixed(cells, "_Orig", keep=shared)
-    target = suffixed(cells, "_Dest", keep=shared)
-    reach = equi_join(
-        origin, adjacency.select(site, adjacent), [(f"{site}_Orig", site)], null_safe=null_safe
-    ).drop(site)
-    return equi_join(
-        reach, target, [(adjacent, f"{site}_Dest"), carrier, code], null_safe=null_safe
-    ).drop(adjacent)
+    """Those of the measured ``pairs`` whose cells lie on adjacent sites and share carrier and code.
+
+    ``pairs`` has the cell names in ``<name>_Orig`` and ``<name>_Dest``; the attributes of both cells
+    are added with these suffixes.  The cells are looked up by name and then compared, so work grows
+    with the pairs; joining cells on their code would form every pair of cells that has it.
+    ``null_safe`` counts two missing carriers or codes as equal.
+    """
+
+    def same(column: str) -> Column:
+        left, right = F.col(f"{column}_Orig"), F.col(f"{column}_Dest")
+        return left.eqNullSafe(right) if null_safe else left == right
+
+    links = adjacency.select(
+        F.col(site).alias(f"{site}_Orig"), F.col(adjacent).alias(f"{site}_Dest")
+    )
+    return (
+        pairs.join(suffixed(cells, "_Orig"), on=f"{name}_Orig")
+        .join(suffixed(cells, "_Dest"), on=f"{name}_Dest")
+        .where(same(carrier) & same(code))
+        .join(links, on=[f"{site}_Orig", f"{site}_Dest"])
+    )
 
 
 def join_within_angle(

@@ -37,9 +37,9 @@ def latest_per_key(
 
     The newest time per key is a partial aggregate over two narrow columns, so a key that owns a
     large share of the history costs nothing extra.  Its result (one row per key) is then matched
-    back; it is broadcast when small enough at run time, which leaves the history unshuffled, and
-    otherwise adaptive execution splits a hot key, ties included.  ``as_of`` looks only at rows up to
-    that time.
+    back: broadcast if small, else by a shuffle in which adaptive execution splits a hot key, ties
+    included.  A ranking window would gather all ties of a key in one task.  ``as_of`` looks only at
+    rows up to that time.
     """
     past = history
     if as_of is not None:

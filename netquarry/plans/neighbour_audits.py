@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.maps import map_columns
-from netquarry.functions.numeric import distance_m
+from netquarry.functions.numeric import angle_gap, distance_m
 from netquarry.functions.text import target_cell_id, text_before
 from netquarry.operators.aggregates import share_of_total
 from netquarry.operators.filters import Members, in_sites, trailing_days
-from netquarry.operators.joins import join_within_angle, missing_relations, suffixed
+from netquarry.operators.joins import join_within_angle, missing_relations, neighbour_pairs
 from netquarry.operators.snapshots import latest_per_key, latest_snapshot, one_per_key
 
 # Parameters read from the two cell classes.
@@ -103,11 +103,7 @@ def audit_code_conflicts(
     min_share: float,
     as_of: str | date | None = None,
 ) -> DataFrame:
-    """Neighbours on adjacent sites with equal carrier and equal ``code`` and enough handovers.
-
-    The measured handover pairs drive the joins: cells are looked up by name on both ends and then
-    compared.  Starting from the code instead would form all pairs of cells that share it.
-    """
+    """Neighbours on adjacent sites with equal carrier and equal ``code`` and enough handovers."""
     positions = latest_per_key(site_history, ["sector_name"], "export_date", as_of).select(
         F.col("moDistName").alias("mo_distname"), "site_name", "latitud", "longitud"
     )
@@ -119,27 +115,15 @@ def audit_code_conflicts(
         F.col("LNCEL_Name_tgt").alias("LNCEL_Name_Dest"),
         "Share",
     )
-    alike = (F.col("earfcnDL_Orig") == F.col("earfcnDL_Dest")) & (
-        F.col(f"{code}_Orig") == F.col(f"{code}_Dest")
-    )
-    links = adjacency.select(
-        F.col("LNBTS_id").alias("LNBTS_id_Orig"), F.col("adjEnbId").alias("LNBTS_id_Dest")
-    )
-    return (
-        pairs.join(suffixed(placed, "_Orig"), on="LNCEL_Name_Orig")
-        .join(suffixed(placed, "_Dest"), on="LNCEL_Name_Dest")
-        .where(alike)
-        .join(links, on=["LNBTS_id_Orig", "LNBTS_id_Dest"])
-        .select(
-            "site_name_Orig",
-            "LNCEL_Name_Orig",
-            "LNCEL_Name_Dest",
-            F.col(f"{code}_Orig").alias(code),
-            "Share",
-            distance_m("latitud_Orig", "longitud_Orig", "latitud_Dest", "longitud_Dest").alias(
-                "distance_m"
-            ),
-        )
+    return neighbour_pairs(pairs, placed, adjacency, code).select(
+        "site_name_Orig",
+        "LNCEL_Name_Orig",
+        "LNCEL_Name_Dest",
+        F.col(f"{code}_Orig").alias(code),
+        "Share",
+        distance_m("latitud_Orig", "longitud_Orig", "latitud_Dest", "longitud_Dest").alias(
+            "distance_m"
+        ),
     )
 
 
@@ -151,7 +135,11 @@ def audit_missing_relations(
     tolerance: float = 20,
     as_of: str | date | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Co-located cells of two technologies with no configured relation; ``(summary, detail)``."""
+    """Co-located cells of two technologies with no configured relation; ``(summary, detail)``.
+
+    The summary counts the missing pairs of a site without forming them: expected pairs are products
+    of the cells per bearing, and the relations that are configured as expected are taken off.
+    """
 
     def current(history: DataFrame, suffix: str) -> DataFrame:
         view = latest_per_key(history, ["sector_name"], "export_date", as_of)
@@ -163,17 +151,43 @@ def audit_missing_relations(
         )
 
     sources = in_sites(current(lte_sites, "_src"), "mo_distname_src", sites)
+    targets = current(umts_sites, "_tgt")
     expected = join_within_angle(
-        sources, current(umts_sites, "_tgt"), "site_name", "azimuth_src", "azimuth_tgt", tolerance
+        sources, targets, "site_name", "azimuth_src", "azimuth_tgt", tolerance
     )
     relations = in_sites(latest_snapshot(cm, "LNRELW"), "mo_distname", sites).select(
-        text_before("mo_distname", "LNRELW", back=1).alias("owner"),
-        *map_columns("parameters", ["targetCellDn"]),
+        text_before("mo_distname", "LNRELW", back=1).alias("mo_distname_src"),
+        *map_columns("parameters", {"targetCellDn": "mo_distname_tgt"}),
     )
-    detail = missing_relations(
-        expected, relations, [("mo_distname_src", "owner"), ("mo_distname_tgt", "targetCellDn")]
-    )
-    summary = detail.groupBy("site_name").agg(
-        F.count("sector_name_tgt").alias("sector_name_tgt")
+    detail = missing_relations(expected, relations, ["mo_distname_src", "mo_distname_tgt"])
+
+    def per_bearing(cells: DataFrame, side: str) -> DataFrame:
+        return cells.groupBy("site_name", f"azimuth_{side}").agg(F.count("*").alias(f"n_{side}"))
+
+    wanted = (
+        join_within_angle(
+            per_bearing(sources, "src"),
+            per_bearing(targets, "tgt"),
+            "site_name",
+            "azimuth_src",
+            "azimuth_tgt",
+            tolerance,
+        )
+        .groupBy("site_name")
+        .agg(F.sum(F.col("n_src") * F.col("n_tgt")).alias("wanted"))
+    )
+    present = (
+        relations.distinct()
+        .join(sources, on="mo_distname_src")
+        .join(targets, on=["mo_distname_tgt", "site_name"])
+        .where(angle_gap("azimuth_src", "azimuth_tgt") <= tolerance)
+        .groupBy("site_name")
+        .agg(F.count("*").alias("present"))
+    )
+    summary = (
+        wanted.join(present, on="site_name", how="left")
+        .withColumn("sector_name_tgt", F.col("wanted") - F.coalesce("present", F.lit(0)))
+        .where(F.col("sector_name_tgt") > 0)
+        .select("site_name", "sector_name_tgt")
     )
     return summary, detail

@@ -138,11 +138,22 @@ def test_ring_join_is_the_brute_force(spark, tolerance):
 
 def test_neighbour_pairs(spark, rows):
     cells = spark.createDataFrame(
-        [("s1", "c1", "f1", "7"), ("s2", "c2", "f1", "7"), ("s2", "c3", "f2", "7"), ("s3", "c4", "f1", "7")],
-        "LNBTS_id string, name string, earfcnDL string, pci string",
+        [
+            ("s1", "c1", "f1", "7"), ("s2", "c2", "f1", "7"), ("s2", "c3", "f2", "7"), ("s3", "c4", "f1", "7"),
+            ("s1", "c5", "f1", None), ("s2", "c6", "f1", None),
+        ],
+        "LNBTS_id string, LNCEL_Name string, earfcnDL string, pci string",
     )
     links = spark.createDataFrame([("s1", "s2")], "LNBTS_id string, adjEnbId string")
-    assert rows(J.neighbour_pairs(cells, links, "pci"), "name_Orig", "name_Dest") == [("c1", "c2")]
+    names = [f"c{i}" for i in range(1, 7)]
+    pairs = spark.createDataFrame(
+        [(a, b) for a in names for b in names], "LNCEL_Name_Orig string, LNCEL_Name_Dest string"
+    )
+    shown = ("LNCEL_Name_Orig", "LNCEL_Name_Dest")
+    assert rows(J.neighbour_pairs(pairs, cells, links, "pci"), *shown) == [("c1", "c2")]
+    loose = J.neighbour_pairs(pairs, cells, links, "pci", null_safe=True)
+    assert rows(loose, *shown) == [("c1", "c2"), ("c5", "c6")]
+    assert rows(J.neighbour_pairs(pairs.where("LNCEL_Name_Dest = 'c3'"), cells, links, "pci")) == []
 
 
 def test_assign_site(spark, rows):
