@@ -494,7 +494,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     found = J.neighbour_pairs(
         measured.select("LNCEL_Name_Orig", "LNCEL_Name_Dest"),
         cells.select("LNBTS_id", "LNCEL_Name", "phyCellId", "earfcnDL"),
-        site_adjacency(cm).distinct(),
+        site_adjacency(cm),
         "phyCellId",
     )
     return found.select(
@@ -508,20 +508,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @check(
     "J10_within_angle",
     f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.history_sql("UMTS")},
-p AS (SELECT a.site_name, a.sector_name AS src, b.sector_name AS tgt, ((a.azimuth - b.azimuth + 180) % 360 + 360) % 360 AS turned
-FROM cur_lte a JOIN cur_umts b ON a.site_name = b.site_name)
-SELECT site_name, src, tgt, abs(turned - 180) AS dif_az FROM p WHERE abs(turned - 180) <= 20""",
+a AS (SELECT site_name, azimuth AS az_src, count(*) AS n_src FROM cur_lte GROUP BY 1, 2),
+b AS (SELECT site_name, azimuth AS az_tgt, count(*) AS n_tgt FROM cur_umts GROUP BY 1, 2),
+p AS (SELECT a.*, az_tgt, n_tgt, ((az_src - az_tgt + 180) % 360 + 360) % 360 AS turned FROM a JOIN b ON a.site_name = b.site_name)
+SELECT site_name, az_src, az_tgt, n_src, n_tgt, abs(turned - 180) AS dif_az FROM p WHERE abs(turned - 180) <= 20""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    def current(technology: str, side: str) -> DataFrame:
+    def bearings(technology: str, side: str) -> DataFrame:
         view = Sn.latest_per_key(s.site_history(spark, d, technology), ["sector_name"], "export_date")
-        return view.select(
-            "site_name", F.col("sector_name").alias(side), F.col("azimuth").alias(f"az_{side}")
+        return view.groupBy("site_name", F.col("azimuth").alias(f"az_{side}")).agg(
+            F.count("*").alias(f"n_{side}")
         )
 
     return J.join_within_angle(
-        current("LTE", "src"), current("UMTS", "tgt"), "site_name", "az_src", "az_tgt", 20
-    ).select("site_name", "src", "tgt", "dif_az")
+        bearings("LTE", "src"), bearings("UMTS", "tgt"), "site_name", "az_src", "az_tgt", 20
+    )
 
 
 @check(
@@ -530,21 +531,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 u AS (SELECT "id_MRBTS" AS site, angle, unnest([line, next_line]) AS ant FROM (SELECT o_custkey::VARCHAR AS "id_MRBTS",
   cast(cast(l_quantity as int) % 12 * 10 as varchar) AS angle, concat('ANT-', o_orderkey, '-', l_linenumber) AS line,
   concat('ANT-', o_orderkey, '-', l_linenumber + 1) AS next_line FROM obs))
-SELECT c."antlDN" AS ant, u.angle, count(*) AS n FROM cm_channel c JOIN u ON c."id_MRBTS" = u.site AND c."antlDN" = u.ant GROUP BY 1, 2""",
+SELECT c."antlDN" AS ant, u.angle, count(*)::BIGINT AS n FROM cm_channel c JOIN u ON c."id_MRBTS" = u.site AND c."antlDN" = u.ant GROUP BY 1, 2""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     cm = s.cm(spark, d, ["CHANNEL", "RETU", "ALD"])
     site = Mp.map_columns("ids", {"MRBTS": "site"})
-    channels = Sn.latest_snapshot(cm, "CHANNEL").select(
-        *site, *Mp.map_columns("parameters", {"antlDN": "ant"})
-    )
-    units = Sn.latest_snapshot(cm, "RETU", dated_by="ALD").select(
-        *site,
-        *Mp.map_columns("parameters", ["angle"]),
-        F.explode(Mp.map_value("p_lists", "antlDNList")).alias("ant"),
+    # Copies are counted on each side first, so a line with very many of them does not multiply.
+    channels = (
+        Sn.latest_snapshot(cm, "CHANNEL")
+        .select(*site, *Mp.map_columns("parameters", {"antlDN": "ant"}))
+        .groupBy("site", "ant")
+        .agg(F.count("*").alias("channels"))
+    )
+    units = (
+        Sn.latest_snapshot(cm, "RETU", dated_by="ALD")
+        .select(
+            *site,
+            *Mp.map_columns("parameters", ["angle"]),
+            F.explode(Mp.map_value("p_lists", "antlDNList")).alias("ant"),
+        )
+        .groupBy("site", "ant", "angle")
+        .agg(F.count("*").alias("units"))
     )
     return channels.join(units, on=["site", "ant"]).groupBy("ant", "angle").agg(
-        F.count("*").alias("n")
+        F.sum(F.col("channels") * F.col("units")).alias("n")
     )
 
 

@@ -247,7 +247,7 @@ _CLASSES: dict[str, tuple[str, str, dict[str, str], dict[str, str]]] = {
     ),
     "LNADJ": (
         "handovers",
-        f"concat({_SITE_DN['LTE']}, '/LNADJ-', l_linenumber)",
+        f"concat({_SITE_DN['LTE']}, '/LNADJ-', t_custkey)",
         {"LNBTS": "o_custkey"},
         {"adjEnbId": "t_custkey"},
     ),
@@ -305,7 +305,8 @@ def _source(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     targets = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("t_orderkey"), F.col("o_custkey").alias("t_custkey")
     )
-    return lines.join(targets, F.col("l_partkey") == F.col("t_orderkey"))
+    handovers = lines.join(targets, F.col("l_partkey") == F.col("t_orderkey"))
+    return handovers.select("o_custkey", "t_custkey").distinct()
 
 
 _SOURCE_SQL = {
@@ -313,8 +314,8 @@ _SOURCE_SQL = {
     "cells": "orders JOIN customer ON o_custkey = c_custkey",
     "lines": "obs",
     "customer lines": "obs",
-    "handovers": "obs JOIN (SELECT o_orderkey AS t_orderkey, o_custkey AS t_custkey FROM orders) "
-    "ON l_partkey = t_orderkey",
+    "handovers": "(SELECT DISTINCT o_custkey, t_custkey FROM obs JOIN (SELECT o_orderkey AS t_orderkey, "
+    "o_custkey AS t_custkey FROM orders) ON l_partkey = t_orderkey)",
 }
 
 

@@ -115,7 +115,8 @@ def antenna_tilts(cm: DataFrame, sites: Members | None = None) -> DataFrame:
     """Tilt reported by the antenna units of every cell: ``name, mo_distname, antlDN, tilt``.
 
     Channels tie a cell to antenna lines, units list the lines they move.  Units are taken on the
-    newest day of the ALD class.
+    newest day of the ALD class.  Only distinct tilts are asked for, so both sides are made distinct
+    before they meet: many copies of a line would otherwise multiply.
     """
     channels = (
         latest_snapshot(cm, "CHANNEL")
@@ -124,6 +125,7 @@ def antenna_tilts(cm: DataFrame, sites: Members | None = None) -> DataFrame:
             *map_columns("parameters", ["antlDN"]),
         )
         .where(F.col("LCELL_id").isNotNull())
+        .distinct()
     )
     cells = latest_snapshot(cm, "LNCEL")
     if sites is not None:
@@ -137,7 +139,7 @@ def antenna_tilts(cm: DataFrame, sites: Members | None = None) -> DataFrame:
         *map_columns("ids", {"MRBTS": "MRBTS_id"}),
         *map_columns("parameters", ["angle"]),
         F.explode(F.element_at("p_lists", F.lit("antlDNList"))).alias("antlDN"),
-    )
+    ).distinct()
     return (
         channels.join(cells, on=["MRBTS_id", "LCELL_id"])
         .join(units, on=["MRBTS_id", "antlDN"])
