@@ -95,3 +95,14 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path, rows):
 def test_stream_units(spark):
     with pytest.raises(ValueError):
         stream_rollup(spark.range(1), "month", [], {}, [])
+
+
+def test_time_range_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "pm")
+    spark.range(3).select(F.current_timestamp().alias("measTime"), "id").write.parquet(path)
+    chosen = IO.read_counters(spark, path, "2024-01-01", "2024-01-02", "America/Bogota").select("id")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(measTime,2024-01-01 05:00:00.0)" in plan
+    assert "LessThan(measTime,2024-01-03 05:00:00.0)" in plan
