@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import crc_of_id
 from netquarry.llm.exact_dedup import exact_duplicates
 from netquarry.llm.mixing import mix_sources
+from netquarry.llm.near_dedup import near_duplicates
 from netquarry.llm.packing import pack_documents
 from netquarry.llm.toxicity import THRESHOLD, learn_lexicon, score_toxicity
 
@@ -43,6 +44,10 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents")).drop("n_chars")
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 _EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -88,6 +93,7 @@ _QUERIES: dict[str, Query] = {
         op5_toxicity,
         op8_source_mixing,
         op9_exact_dedup,
+        op10_near_dedup,
     )
 }
 
