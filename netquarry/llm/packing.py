@@ -192,7 +192,9 @@ def pack(
             filled = np.bincount(bins, lengths) / capacity
             return frame.assign(__bin=bins, offset=offsets, __fill=filled[bins])
 
-        group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("long")
+        # The row's number spreads repeated rows; it is that of a row in a written file, so a retry agrees.
+        row = F.monotonically_increasing_id()
+        group = F.pmod(F.xxhash64("doc_id", "piece", row, F.lit(turn)), F.lit(groups)).cast("long")
         packed = rest.withColumn("__group", group).groupBy("__group").applyInPandas(one_group, schema)
         packed = stored(packed, f"packing-{turn}")
         keep = F.lit(True) if last else F.col("__fill") >= fill

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from netquarry.llm.common import crc_of_id
 from netquarry.llm.exact_dedup import exact_duplicates
+from netquarry.llm.languages import learn_languages, predict_languages
 from netquarry.llm.mixing import mix_sources
 from netquarry.llm.near_dedup import near_duplicates
 from netquarry.llm.packing import pack_documents
+from netquarry.llm.quality_rules import rate_quality
+from netquarry.llm.secret_scan import find_secrets
 from netquarry.llm.toxicity import THRESHOLD, learn_lexicon, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +28,25 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(table(spark, folder, "documents"))
+
+
+def op3_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
+    docs = table(spark, folder, "documents")
+    model = learn_languages(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = predict_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rated, _ = rate_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -90,6 +112,9 @@ _QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_secret_scan,
+        op3_language_mixture,
+        op4_quality_rules,
         op5_toxicity,
         op8_source_mixing,
         op9_exact_dedup,
