@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import keep_matching, stored, whole_text
@@ -21,6 +21,7 @@ BITS = 2
 MARGIN = 0.185
 LONGS = -(-HASHES // 64)
 MANY = 64
+HUBS = 4
 
 _SKETCH = "doc_id long, n_shingles long, digest string, keys array<long>, planes array<long>"
 
@@ -172,44 +173,94 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components and were not compared yet.
+def _mixed_buckets(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Members, with their components, of buckets that hold more than one component.
 
-    After the first round a group of near copies is one component, so few of its members are left to
-    compare with the rest.  A bucket in which more than ``MANY`` members lie outside its largest
-    component is cut by the keys of all other bands: a pair over the bound misses every such pair of
-    bands with probability 3e-4, and unlike documents with a common passage seldom share two.
+    ``wide`` tells that more than ``MANY`` members lie outside the bucket's largest component, of which
+    ``hub`` is a member: the most central one in the first turn, any in a later one.
     """
     named = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "hub", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "rep", "central", F.coalesce("component", "rep").alias("component")
     )
     named = stored(named, "near-members")
-    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("components"))
-    buckets = buckets.where("components > 1").select("key", (F.col("n") - F.col("most") > MANY).alias("wide"))
-    mixed = stored(named.join(buckets, "key"), "near-mixed").where("rep != hub")
-    fine = mixed.where("wide")
-    other = fine.select("rep", F.col("key").alias("key_2"))
-    cut = fine.join(other, "rep").where("key != key_2")
-    low, high = F.least("key", "key_2"), F.greatest("key", "key_2")
-    cut = cut.select(F.xxhash64(low, high).alias("key"), "rep", "component").distinct()
+    rank = F.col("central") if turn == 1 else F.xxhash64("rep", "key", F.lit(turn))
+    sizes = named.groupBy("key", "component").agg(
+        F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), -F.col("rep"))).alias("h")
+    )
+    largest = F.max(F.struct("n", F.col("h.r").alias("r"), (-F.col("h.col2")).alias("hub"), "component"))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), largest.alias("l"), F.count("*").alias("components"))
+    buckets = buckets.where("components > 1").select(
+        "key", (F.col("n") - F.col("l.n") > MANY).alias("wide"), F.col("l.hub").alias("hub"),
+        F.col("l.component").alias("hub_component"),
+    )
+    return stored(named.join(buckets, "key"), "near-mixed")
+
+
+def _star_pairs(mixed: DataFrame) -> DataFrame:
+    """For each member the hubs that it meets most often, ``HUBS`` at most (all others come last)."""
+    met = mixed.where("component != hub_component and rep != hub").groupBy("rep", "hub").count()
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("count").desc(), "hub"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = Shingles()
+    for batch in batches:
+        for rep, component, text in zip(*(batch.column(c) for c in ("rep", "component", "text")), strict=True):
+            found = sets.of(text.as_py())
+            n = len(found)
+            yield pa.record_batch(
+                [
+                    pa.array(np.full(n, rep.as_py())), pa.array(np.full(n, component.as_py())),
+                    pa.array(found.view(np.int64)), pa.array(np.full(n, n)),
+                ],
+                names=["rep", "component", "key", "size"],
+            )
+
+
+def _rare_shingles(wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, rep, component``: each document's rarest shingles, of which linked ones share at least one.
+
+    With similarity ``t`` two sets share ``t`` of either, so the first ``n - t * n + 1`` shingles of both
+    in a common order must meet; with the rarest first, a common passage comes last.
+    """
+    rows = wide.join(texts, "rep").mapInArrow(_shingle_rows, "rep long, component long, key long, size long")
+    rows = stored(rows, "near-shingles")
+    ordered = Window.partitionBy("rep").orderBy("count", "key")  # a document's shingles
+    place = F.row_number().over(ordered)
+    first = F.col("size") - F.ceil(F.col("size") * LEAST_PERCENT / 100) + 1
+    ranked = rows.join(rows.groupBy("key").count(), "key").withColumn("place", place).where(F.col("place") <= first)
+    ranked = stored(ranked.select("key", "rep", "component"), "near-rare-shingles")
+    mixed = ranked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return ranked.join(mixed.select("key"), "key")
+
+
+def _cross_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs of one bucket that lie in different components.
+
+    After the turns of few comparisons a group of near copies is one component, so few of its members
+    are left to compare with the rest.  The members of ``wide`` buckets, unlike documents with a long
+    common passage, meet by their rarest shingles instead, which loses no link.
+    """
     plain = mixed.where("not wide").select("key", "rep", "component")
+    wide = _rare_shingles(mixed.where("wide").select("rep", "component").distinct(), texts)
     found = None
-    for rows in (plain, cut):
+    for rows in (plain, wide):
         right = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
         pairs = rows.join(right, "key").where("rep < b and component != component_b").select(F.col("rep").alias("a"), "b")
         found = pairs if found is None else found.union(pairs)
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per document.
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
     0.75.  Equal sets are one class, represented by the smallest id.  Representatives get 200 minima;
-    five of them make a band key, the low two bits of all of them the packed signature.  In each bucket
-    of a band the members are first compared with the smallest one, which is a number of pairs linear
-    in the rows; then only pairs that are still in different components.  Candidates pass the
+    five of them make a band key, the low two bits of all of them the packed signature.  In each of
+    the ``turns`` but the last a document is compared with ``HUBS`` members of the largest components of
+    its buckets, which are numbers of pairs linear in the rows; in the last turn all pairs of a bucket
+    are that are still in different components.  Candidates pass the
     signatures' corrected estimate and are confirmed on their full sets.  A pair at exactly 0.75 shares
     no band with probability 2e-5.
 
@@ -229,19 +280,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     chosen = classed.where("keys is not null")
     planes = chosen.select("rep", "planes").dropDuplicates(["rep"])
     bands = chosen.select("rep", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub != other")
-    members = stored(bands.join(buckets.select("key", "hub"), "key"), "near-buckets")
-    involved = members.select(F.col("rep").alias("involved")).distinct()
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(bands.join(shared, "key").select("key", "rep", "n"), "near-buckets")
+    # The sum of the sizes of its buckets: the text that others were copied from has the largest.
+    central = members.groupBy("rep").agg(F.sum("n").alias("central"))
+    members = stored(members.select("key", "rep").join(central, "rep"), "near-members")
     texts = stored(
-        rows.join(involved, F.col("doc_id") == F.col("involved"), "left_semi").select(F.col("doc_id").alias("rep"), "text"),
+        rows.join(central.select(F.col("rep").alias("involved")), F.col("doc_id") == F.col("involved"), "left_semi").select(
+            F.col("doc_id").alias("rep"), "text"
+        ),
         "near-texts",
     )
-    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars, planes, texts, "near-links")
-    labels = connected_components(links)
-    more = _confirmed(_cross_pairs(members, labels), planes, texts, "near-more-links")
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    links, labels = none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for turn in range(1, turns + 1):
+        mixed = _mixed_buckets(members, labels, turn)
+        pairs = _cross_pairs(mixed, texts) if turn == turns else _star_pairs(mixed)
+        more = _confirmed(pairs, planes, texts, f"near-links-{turn}")
+        if more.limit(1).count():
+            links = links.union(more)
+            labels = connected_components(links)
     component = F.coalesce("component", "rep", "doc_id")
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(
         "doc_id",
