@@ -15,6 +15,8 @@ from netquarry.llm.near_dedup import near_duplicates
 from netquarry.llm.packing import pack_documents
 from netquarry.llm.quality_rules import rate_quality
 from netquarry.llm.secret_scan import find_secrets
+from netquarry.llm.sharding import shard_documents
+from netquarry.llm.suffix_dedup import remove_repeats
 from netquarry.llm.toxicity import THRESHOLD, learn_lexicon, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +59,14 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_label_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(table(spark, folder, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mix_sources(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -116,6 +126,8 @@ _QUERIES: dict[str, Query] = {
         op3_language_mixture,
         op4_quality_rules,
         op5_toxicity,
+        op6_label_sharding,
+        op7_suffix_dedup,
         op8_source_mixing,
         op9_exact_dedup,
         op10_near_dedup,
