@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import shuffle_partitions, stored, whole_text
 
 WIDTH = 100
-LEAD = 24
+LEAD = 12
+SAMPLE = 200_000
 HOT = 4096
 LAST_ID = 2**63 - 1
 
@@ -81,38 +82,91 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(c) for c in columns], names=names)
 
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes at repeated anchors, as long as the strings of the anchor reach.
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of anchors sorted by digest those that occur twice or more, with ``hot`` for more than ``HOT`` times.
+
+    At most ``HOT`` rows of a digest are held back; once there are more, the others pass through.
+    """
+    held: list[pa.RecordBatch] = []
+    size, open_digest = 0, None
+
+    def out(part: pa.RecordBatch, hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(hot)], [*part.schema.names, "hot"])
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        if size > 1:
+            for part in held:
+                yield out(part, np.full(part.num_rows, size > HOT))
+        held, size = [], 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        digest = batch.column("digest").to_numpy()
+        starts = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
+        sizes = np.diff(np.append(starts, len(digest)))
+        if open_digest is not None and digest[0] != open_digest:
+            yield from close()
+        # The first and the last run may be parts of longer ones; those between are whole.
+        for i in dict.fromkeys((0, len(starts) - 1)):
+            if i:
+                yield from close()
+                if len(starts) > 2:
+                    inner = batch.slice(int(starts[1]), int(starts[-1] - starts[1]))
+                    n = np.repeat(sizes[1:-1], sizes[1:-1])
+                    yield out(inner.filter(pa.array(n > 1)), n[n > 1] > HOT)
+            part = batch.slice(int(starts[i]), int(sizes[i]))
+            held.append(part)
+            size += part.num_rows
+            if size > HOT:
+                for part in held:
+                    yield out(part, np.full(part.num_rows, True))
+                held = []
+        open_digest = digest[-1]
+    yield from close()
+
+
+def _suffix_rows(splitters: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffixes at repeated anchors, as long as the strings of the anchor reach, with their bucket.
 
     A very frequent anchor gives a row for each of its strings, so that the rows of its group differ in
     what they are dealt by.
     """
-    names = ["lead", "digest", "doc", "text_crc32", "start", "body"]
-    for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for doc, crc, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "text_crc32", "text", "found")), strict=True):
-            raw = text.encode("utf-8", "surrogatepass")
-            data = np.frombuffer(raw, np.uint8)
-            whole = rolling(data, WIDTH).view(np.int64) if any(f["hot"] for f in found) else None
-            for f in found:
-                first, last = f["first"], f["last"]
-                if f["hot"]:
-                    rows = [(int(whole[s]), s, raw[s : s + WIDTH]) for s in range(first, last + 1)]
-                else:
-                    rows = [(f["digest"], first, raw[first : last + WIDTH])]
-                for digest, start, body in rows:
-                    # Equal strings have equal digests, and so do the rows they are dealt by.
-                    lead = digest if not f["hot"] else int.from_bytes(body[:8], "big", signed=False) - 2**63
-                    for column, value in zip(out, (lead, digest, doc, crc, start, body), strict=True):
-                        column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+    names = ["bucket", "digest", "doc", "text_crc32", "start", "body"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*found, strict=True)] if found else [[] for _ in names[1:]]
+            bucket = np.searchsorted(splitters, np.array(columns[0], np.int64), "right")
+            return pa.record_batch([pa.array(c, t) for c, t in zip([bucket, *columns], types, strict=True)], names=names)
+
+        for batch in batches:
+            found: list[tuple] = []
+            for i in range(batch.num_rows):
+                doc, crc, text, places = (batch.column(c)[i].as_py() for c in ("doc", "text_crc32", "text", "found"))
+                raw = text.encode("utf-8", "surrogatepass")
+                hot = any(f["hot"] for f in places)
+                whole = rolling(np.frombuffer(raw, np.uint8), WIDTH).view(np.int64) if hot else None
+                for f in places:
+                    first, last = f["first"], f["last"]
+                    if f["hot"]:
+                        found += [(int(whole[s]), doc, crc, s, raw[s : s + WIDTH]) for s in range(first, last + 1)]
+                    else:
+                        found.append((f["digest"], doc, crc, first, raw[first : last + WIDTH]))
+                if len(found) > 20_000:
+                    yield out(found)
+                    found = []
+            yield out(found)
+
+    return suffixes
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Starts of strings that also start earlier, as runs, from one bucket of sorted suffixes.
 
-    Rows come sorted by lead and digest; equal strings lie in rows of one lead and digest.  Several
+    Rows come sorted by digest; equal strings lie in rows of one digest.  Several
     groups are taken together: their strings are sorted by content digest, document and start, and
     neighbours of equal digest are compared byte by byte.
     """
@@ -169,9 +223,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column("lead").to_numpy(), batch.column("digest").to_numpy()])
-        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        if held and not (held[-1].column("lead")[-1].as_py() == key[0, 0] and held[-1].column("digest")[-1].as_py() == key[1, 0]):
+        key = batch.column("digest").to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if held and held[-1].column("digest")[-1].as_py() != key[0]:
             cut = np.append(0, cut)
         if size + batch.nbytes > 8_000_000 and len(cut):
             at = int(cut[-1])
@@ -208,7 +262,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What stays of each document without strings of 100 bytes that start earlier elsewhere.
 
-    Suffixes are taken at anchors chosen by content (one in 39 bytes): strings that are equal have
+    Suffixes are taken at anchors chosen by content (one in 45 bytes): strings that are equal have
     equal anchors, so only suffixes at anchors that occur twice or more take part, and a suffix stands
     for all strings of its anchor.  They are range-partitioned at sampled splitters; a bucket sorts the
     strings of its suffixes and marks all but the earliest of equal ones.  Equal strings have the same
@@ -220,25 +274,31 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same id and different texts that with the smaller checksum is earlier.  Other columns are ignored,
     an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST_ID)).alias("doc"),
         F.crc32(whole_text(text).cast("binary")).alias("text_crc32"),
         whole_text(text).alias("text"),
     )
+    n = shuffle_partitions(docs.sparkSession)
     places = rows.select("doc", "text_crc32", "text").mapInArrow(
         _anchor_rows, "digest long, doc long, text_crc32 long, first int, last int"
     )
-    places = stored(places, "suffix-anchors")
-    often = places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = places.join(often, "digest").groupBy("doc", "text_crc32").agg(
-        F.collect_list(F.struct("digest", "first", "last", (F.col("n") > HOT).alias("hot"))).alias("found")
+    recurring = places.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(
+        _recurring, "digest long, doc long, text_crc32 long, first int, last int, hot boolean"
+    )
+    recurring = stored(recurring, "suffix-anchors")
+    sample = recurring.where(F.pmod(F.xxhash64("digest", "doc", "first"), F.lit(max(1, recurring.count() // SAMPLE))) == 0)
+    # Splitters: as many numbers as there are buckets.
+    cuts = sample.agg(F.percentile_approx("digest", [i / n for i in range(1, n)] or [0.5], F.lit(100_000))).first()[0]
+    splitters = np.array(sorted(cuts or []), np.int64)
+    repeated = recurring.groupBy("doc", "text_crc32").agg(
+        F.collect_list(F.struct("digest", "first", "last", "hot")).alias("found")
     )
     suffixes = rows.select("doc", "text_crc32", "text").join(repeated, ["doc", "text_crc32"]).mapInArrow(
-        _suffix_rows, "lead long, digest long, doc long, text_crc32 long, start int, body binary"
+        _suffix_rows(splitters), "bucket int, digest long, doc long, text_crc32 long, start int, body binary"
     )
-    buckets = suffixes.repartitionByRange(shuffle_partitions(spark), "lead", "digest").sortWithinPartitions("lead", "digest")
+    buckets = suffixes.repartitionById(n, "bucket").drop("bucket").sortWithinPartitions("digest")
     runs = stored(buckets.mapInArrow(_repeated, "doc long, text_crc32 long, first int, last int"), "suffix-runs")
     of_document = runs.groupBy("doc", "text_crc32").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return rows.join(of_document, ["doc", "text_crc32"], "left").select("doc_id", "text", "runs").mapInArrow(
