@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import shuffle_partitions, stored, whole_text
 
 WIDTH = 100
-LEAD = 12
+LEAD = 24
 SAMPLE = 200_000
-HOT = 4096
+HOT = 50_000
 LAST_ID = 2**63 - 1
 
 FACTOR = 0x9E3779B97F4A7C15
@@ -262,7 +262,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """What stays of each document without strings of 100 bytes that start earlier elsewhere.
 
-    Suffixes are taken at anchors chosen by content (one in 45 bytes): strings that are equal have
+    Suffixes are taken at anchors chosen by content (one in 35 bytes): strings that are equal have
     equal anchors, so only suffixes at anchors that occur twice or more take part, and a suffix stands
     for all strings of its anchor.  They are range-partitioned at sampled splitters; a bucket sorts the
     strings of its suffixes and marks all but the earliest of equal ones.  Equal strings have the same
