@@ -1058,7 +1058,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    period = D.clamp_range("2023-06-01", "2024-01-31", "Hour")
+    period = D.clamp_range("2023-06-01", "2024-01-31", "Hour", D.MAX_HOURLY_DAYS, D.MAX_RANGE_DAYS)
     inside = D.within_local_days("ts", period.start, period.end, "UTC")
     return (
         s.table(spark, d, "events")

@@ -228,9 +228,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_branch(technology: str, report: str, column: str) -> str:
-    return f"""SELECT '{report}' AS report, 'day' AS unit, strftime(date_trunc('day', l_shipdate - INTERVAL 5 HOUR), '%Y-%m-%d %H:%M:%S') AS period, {column} AS element
+    return f"""SELECT '{report}' AS report, 'hour' AS unit, strftime(date_trunc('hour', l_shipdate - INTERVAL 5 HOUR), '%Y-%m-%d %H:%M:%S') AS period, {column} AS element
 FROM obs JOIN cur_{technology.lower()} ON {s._DN[technology]} = "moDistName"
-WHERE l_shipdate >= TIMESTAMP '1998-11-16 05:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 05:00:00' GROUP BY 1, 2, 3, 4"""
+WHERE l_shipdate >= TIMESTAMP '1998-01-01 05:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 05:00:00' GROUP BY 1, 2, 3, 4"""
 
 
 @check(
@@ -277,7 +277,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
             frame("GSM", ["blck_5a"], "sector_name", p), s.site_history(spark, d, "GSM")
         ),
     }
-    made, failures = P.run_reports(builders, "1998-01-01", "1998-12-31", "Hour")
+    made, failures, period = P.run_reports(builders, "1998-01-01", "1998-12-31", "Hour")
     assert list(failures) == ["lte_site"]
     names = {
         "lte_cell": "LNCEL name",
@@ -288,7 +288,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     parts = [
         report.select(
             F.lit(name).alias("report"),
-            F.lit("day").alias("unit"),
+            F.lit(period.unit).alias("unit"),
             F.col("Period start time").alias("period"),
             F.col(names[name]).alias("element"),
         )

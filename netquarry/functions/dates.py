@@ -53,19 +53,28 @@ def as_date(value: str | date) -> date:
 
 
 def within_local_days(
-    ts: ColumnLike, start: str | date, end: str | date, tz: str, end_inclusive: bool = False
+    ts: ColumnLike,
+    start: str | date | None,
+    end: str | date | None,
+    tz: str,
+    end_inclusive: bool = False,
 ) -> Column:
     """True for instants from the first moment of ``start`` to the end of day ``end`` in ``tz``.
 
     The bounds are turned to UTC, so the test is a plain range on the stored column and reaches the
-    scan.  ``end_inclusive`` also lets the first instant of the following day in.
+    scan.  A bound of ``None`` is open.  ``end_inclusive`` also lets the first instant of the
+    following day in.
     """
     column = as_column(ts)
-    low = F.to_utc_timestamp(F.lit(f"{as_date(start)} 00:00:00").cast("timestamp"), tz)
-    after = as_date(end) + timedelta(days=1)
-    high = F.to_utc_timestamp(F.lit(f"{after} 00:00:00").cast("timestamp"), tz)
-    upper = column <= high if end_inclusive else column < high
-    return (column >= low) & upper
+    inside = column.isNotNull()
+    if start is not None:
+        low = F.to_utc_timestamp(F.lit(f"{as_date(start)} 00:00:00").cast("timestamp"), tz)
+        inside = inside & (column >= low)
+    if end is not None:
+        after = as_date(end) + timedelta(days=1)
+        high = F.to_utc_timestamp(F.lit(f"{after} 00:00:00").cast("timestamp"), tz)
+        inside = inside & (column <= high if end_inclusive else column < high)
+    return inside
 
 
 @dataclass(frozen=True)
@@ -73,21 +82,24 @@ class ReportRange:
     start: date
     end: date
     unit: str
+    cut_days: int = 0
 
 
 def clamp_range(
     start: str | date,
     end: str | date,
     unit: str,
-    max_hourly_days: int = MAX_HOURLY_DAYS,
-    max_days: int = MAX_RANGE_DAYS,
+    max_hourly_days: int | None = None,
+    max_days: int | None = None,
 ) -> ReportRange:
-    """Long hourly ranges become daily; very long ranges keep only their last ``max_days`` days."""
+    """Long hourly ranges become daily; very long ranges keep only their last ``max_days`` days.
+
+    Without limits the range stays as asked for.  ``cut_days`` of the result counts the days left out.
+    """
     first, last = as_date(start), as_date(end)
     span = (last - first).days
     bucket = check_unit(unit)
-    if bucket == "hour" and span > max_hourly_days:
+    if max_hourly_days is not None and bucket == "hour" and span > max_hourly_days:
         bucket = "day"
-    if span > max_days:
-        first = last - timedelta(days=max_days)
-    return ReportRange(first, last, bucket)
+    cut = max(0, span - max_days) if max_days is not None else 0
+    return ReportRange(first + timedelta(days=cut), last, bucket, cut)

@@ -132,7 +132,8 @@ def split_kpis_by_scale(long: DataFrame, kpi: str = "KPI", value: str = "Value")
     The split is the two-means one.  On a line its clusters are the two sides of a cut, so every cut
     of the ordered magnitudes is scored from running sums and the best one taken: exact, repeatable
     and without iterations.  The window sees one row per KPI, as many as the catalog query asked for.
-    KPIs without a value drop out.  One KPI alone, or KPIs of one magnitude, are all cluster 0.
+    Rows of KPIs without a value, or without a name, are cluster 0.  One KPI alone, or KPIs of one
+    magnitude, are all cluster 0.
     """
     peaks = (
         long.where(F.col(kpi).isNotNull())
@@ -153,4 +154,4 @@ def split_kpis_by_scale(long: DataFrame, kpi: str = "KPI", value: str = "Value")
         .withColumn("cut", cut["m"])
         .select(kpi, F.coalesce(F.col("m") > F.col("cut"), F.lit(False)).cast("int").alias("Cluster"))
     )
-    return long.join(labels, on=kpi)
+    return long.join(labels, on=kpi, how="left").na.fill(0, subset=["Cluster"])

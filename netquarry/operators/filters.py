@@ -13,38 +13,26 @@ from netquarry.functions.text import ColumnLike, as_column
 
 Members = DataFrame | Sequence[str]
 
-# A list of more names than this becomes a table to join with instead of literals in the plan.
-MAX_LITERALS = 10_000
-
 
 def _member_keys(members: DataFrame, name: str) -> DataFrame:
     return members.select(F.col(f"`{members.columns[0]}`").alias(name))
 
 
-def _as_members(df: DataFrame, column: str, wanted: Members) -> DataFrame | list[str]:
-    """A frame with ``column`` for long lists and frames, the list itself if it is short."""
-    if isinstance(wanted, DataFrame):
-        return _member_keys(wanted, column)
-    names = list(wanted)
-    if len(names) <= MAX_LITERALS:
-        return names
-    return df.sparkSession.createDataFrame([(n,) for n in names], ["item"]).toDF(column)
-
-
 def members(df: DataFrame, column: str, wanted: Members) -> DataFrame:
-    """Rows whose ``column`` is in the working set: a list or the first column of a frame."""
-    found = _as_members(df, column, wanted)
-    if isinstance(found, DataFrame):
-        return df.join(found, on=column, how="left_semi")
-    return df.where(F.col(column).isin(found))
+    """Rows whose ``column`` is in the working set: a list or the first column of a frame.
+
+    A list becomes literals in the plan, a frame a semi-join; pass a long set as a frame.
+    """
+    if isinstance(wanted, DataFrame):
+        return df.join(_member_keys(wanted, column), on=column, how="left_semi")
+    return df.where(F.col(column).isin(list(wanted)))
 
 
 def not_members(df: DataFrame, column: str, unwanted: Members) -> DataFrame:
     """Rows whose ``column`` is not in the set; rows with a NULL there are kept."""
-    found = _as_members(df, column, unwanted)
-    if isinstance(found, DataFrame):
-        return df.join(found, on=column, how="left_anti")
-    return df.where(~F.coalesce(F.col(column).isin(found), F.lit(False)))
+    if isinstance(unwanted, DataFrame):
+        return df.join(_member_keys(unwanted, column), on=column, how="left_anti")
+    return df.where(~F.coalesce(F.col(column).isin(list(unwanted)), F.lit(False)))
 
 
 def site_part(dn: ColumnLike, depth: int = 3) -> Column:

@@ -40,15 +40,6 @@ def equi_join(
     return joined.withColumnsRenamed({f"__right_{r}": r for r in kept_right})
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a look-up table for broadcast after counting that it has at most ``max_rows`` rows.
-
-    Spark knows the size of files by itself; this is for tables made in memory or derived, whose
-    size it cannot tell.  A larger table is returned as it is and joined by a shuffle.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def suffixed(df: DataFrame, suffix: str) -> DataFrame:
     return df.withColumnsRenamed({c: c + suffix for c in df.columns})
 
@@ -100,9 +91,10 @@ def join_within_angle(
 
     The circle is cut into sectors wider than the tolerance.  A left row lies in one sector, a right
     row is offered to its own and the two next to it, and the join key is (``on``, sector).  A group
-    with very many rows is so spread over the sectors and never compared as a whole.
+    with very many rows is so spread over the sectors and never compared as a whole.  Sectors are a
+    tenth of a degree wide at least, so a tolerance of 0 finds equal bearings.
     """
-    sectors = max(1, int(360.0 // (tolerance * 1.0001)))
+    sectors = max(1, int(360.0 // (max(tolerance, 0.1) * 1.0001)))
     width = 360.0 / sectors
     sector = "__sector"
 

@@ -111,6 +111,13 @@ def _value(
     return value.cast("bigint") if profile.is_integer(kind, key, null_is_zero) else value
 
 
+def _add(tables: dict[str, DataFrame], name: str, table: DataFrame) -> None:
+    """Refuse to let one table take the place of another, which would lose its rows unseen."""
+    if name in tables:
+        raise ValueError(f"two tables would be called {name}")
+    tables[name] = table
+
+
 def flatten_parameters(cm: DataFrame, day: str | date | None = None) -> dict[str, DataFrame]:
     """One wide table per class: ids, version and every parameter.  Keys are upper-case class names.
 
@@ -133,7 +140,7 @@ def flatten_parameters(cm: DataFrame, day: str | date | None = None) -> dict[str
             },
         }
         of_class = rows.where(F.col("mo_class") == mo_class)
-        tables[mo_class.upper()] = of_class.select(*_table_columns(columns))
+        _add(tables, mo_class.upper(), of_class.select(*_table_columns(columns)))
     return tables
 
 
@@ -181,7 +188,7 @@ def flatten_lists(cm: DataFrame, day: str | date | None = None) -> dict[str, Dat
         kept = of_list.where(F.col("Value").isNotNull()).where(
             _present_ids() == id_count.get(mo_class, 0)
         )
-        tables[f"{mo_class}_{list_name}".upper()] = kept.select(*_table_columns(columns))
+        _add(tables, f"{mo_class}_{list_name}".upper(), kept.select(*_table_columns(columns)))
     return tables
 
 
@@ -214,13 +221,16 @@ def flatten_items(cm: DataFrame, day: str | date | None = None) -> dict[str, Dat
         of_list = rows.where(F.col("mo_class") == mo_class).select(
             "ids", "filename", F.get(F.element_at("item_lists", F.lit(list_name)), 0).alias("item")
         )
-        tables[f"{mo_class}_{list_name}".upper()] = of_list.select(*_table_columns(columns))
+        _add(tables, f"{mo_class}_{list_name}".upper(), of_list.select(*_table_columns(columns)))
     return tables
 
 
 def publish_daily(cm: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the newest day of the cell class; later kinds replace equal names."""
+    """All tables of the newest day of the cell class; tables of one name are an error."""
     day = newest_day(cm, NEWEST_DAY_CLASS).first()["last_date"]
-    if day is None:
-        return {}
-    return {**flatten_parameters(cm, day), **flatten_items(cm, day), **flatten_lists(cm, day)}
+    tables: dict[str, DataFrame] = {}
+    if day is not None:
+        for flatten in (flatten_parameters, flatten_items, flatten_lists):
+            for name, table in flatten(cm, day).items():
+                _add(tables, name, table)
+    return tables

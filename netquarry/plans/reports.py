@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from netquarry.functions.dates import (
     ReportRange,
     as_date,
+    check_unit,
     clamp_range,
     local_bucket,
     within_local_days,
@@ -71,7 +72,8 @@ SORT_KEYS = {
 # The order in which a run makes its reports.
 REPORT_ORDER = ["gsm_cell", "umts_site", "umts_cell", "lte_cell", "lte_site"]
 
-_LONGEST_BUCKET_DAYS = 366
+# How many days after its start a bucket may still hold a moment.
+_BUCKET_DAYS = {"hour": 0, "day": 0, "week": 6, "month": 30, "quarter": 91, "year": 365}
 
 
 def kpis_to_request(report: str) -> list[str]:
@@ -136,16 +138,24 @@ def probe_kpis(
     first_moment = F.lit(f"{as_date(start)} 00:00:00").cast("timestamp")
     after = F.lit(f"{last + timedelta(days=1)} 00:00:00").cast("timestamp")
     # The bucket decides; the plain range around it is what the scan can use.
-    slack = last + timedelta(days=_LONGEST_BUCKET_DAYS)
+    slack = last + timedelta(days=_BUCKET_DAYS[check_unit(unit)])
     in_range = probes.where(within_local_days("measTime", start, slack, tz)).where(
         (bucket >= first_moment) & (bucket < after)
     )
+    wanted = sites if working_set is None else members(sites, "name", working_set)
+    if working_set is not None:
+        # Only probes of wanted sites are shuffled and sorted below.
+        parent = "__parent"
+        in_range = members(
+            in_range.withColumn(parent, text_before("distName", "FTM-", back=1)),
+            parent,
+            wanted.select("mo_distname"),
+        )
     keyed = one_per_key(in_range.select(*PROBE_KEY, *PROBE_COUNTERS), PROBE_KEY).select(
         bucket.alias("measTime"),
         text_before("distName", "FTM-", back=1).alias("mo_distname"),
         *PROBE_COUNTERS,
     )
-    wanted = sites if working_set is None else members(sites, "name", working_set)
     ratio, mean_rtt, max_rtt = names
     return (
         grouped_sums(keyed, ["measTime", "mo_distname"], PROBE_COUNTERS)
@@ -243,13 +253,17 @@ def run_reports(
     end: str | date,
     unit: str,
     deliver: Callable[[str, DataFrame], object] | None = None,
-) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Make the reports of one run over a clamped range; returns ``(reports, failures)``.
-
-    A builder gets the clamped range.  ``deliver(name, report)`` writes a report, e.g. with
-    ``write_report`` and ``SORT_KEYS[name]``.  A report that fails does not stop the others.
+    max_hourly_days: int | None = None,
+    max_days: int | None = None,
+) -> tuple[dict[str, DataFrame], dict[str, str], ReportRange]:
+    """Make the reports of one run; returns ``(reports, failures, range)``.
+
+    The range is the whole one unless limits are given; then it is clamped, and ``cut_days`` and
+    ``unit`` of the returned range tell what became of it.  ``deliver(name, report)`` writes a report,
+    e.g. with ``write_report`` and ``SORT_KEYS[name]``.  A report that fails, also while it is being
+    written, does not stop the others.
     """
-    period = clamp_range(start, end, unit)
+    period = clamp_range(start, end, unit, max_hourly_days, max_days)
     known = [n for n in REPORT_ORDER if n in builders]
     made: dict[str, DataFrame] = {}
     failures: dict[str, str] = {}
@@ -261,4 +275,4 @@ def run_reports(
             made[name] = report
         except Exception as error:  # keep going, as each report stands alone
             failures[name] = f"{type(error).__name__}: {error}"
-    return made, failures
+    return made, failures, period

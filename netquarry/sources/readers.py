@@ -60,8 +60,9 @@ def read_counters(
     tz: str = "UTC",
     ts: str = "measTime",
 ) -> DataFrame:
+    """Counters from day ``start`` to day ``end`` in ``tz``; each bound holds by itself."""
     counters = _load(spark, location)
-    if start is not None and end is not None:
+    if start is not None or end is not None:
         counters = counters.where(within_local_days(ts, start, end, tz))
     return counters
 

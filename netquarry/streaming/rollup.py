@@ -24,15 +24,22 @@ def stream_rollup(
     """Aggregate a stream of counter rows per local window and element, dropping repeated rows.
 
     Rows equal in ``copies_share`` (the time column among them) count once while they lie within
-    ``delay``.  The time is moved to the wall clock of ``tz`` before the watermark is set, so windows
-    are local days and weeks.  For append mode: a window is emitted once the watermark has passed
-    its end.  Months and longer have no fixed length; roll days up further in batch.
+    ``delay``.  Copies are told by the UTC time; windows are days and weeks of the wall clock of
+    ``tz``, which also carries the watermark.  When clocks go back the wall clock repeats an hour, so
+    the watermark of a zone other than UTC trails an hour more and these rows are not late.  For
+    append mode: a window is emitted once the watermark has passed its end.  Months and longer have
+    no fixed length; roll days up further in batch.
     """
     if unit not in _WINDOWS:
         raise ValueError(f"unit {unit!r} has no fixed length; use one of {', '.join(_WINDOWS)}")
     length, offset = _WINDOWS[unit]
-    local = counters.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), tz))
-    unique = local.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(copies_share))
+    instant = "__instant"
+    local = counters.withColumn(instant, F.col(ts).cast("timestamp")).withColumn(
+        ts, F.from_utc_timestamp(instant, tz)
+    )
+    late = delay if tz == "UTC" else f"{delay} 1 hour"
+    copy_key = [instant if name == ts else name for name in copies_share]
+    unique = local.withWatermark(ts, late).dropDuplicatesWithinWatermark(copy_key)
     grouped = unique.groupBy(F.window(ts, length, length, offset).alias("window"), *element).agg(
         *[a.alias(name) for name, a in aggregates.items()]
     )

@@ -97,8 +97,11 @@ def test_local_day_bounds(spark, inclusive, expected):
 )
 def test_clamp_range(days, unit, start_shift, expected):
     end = date(2024, 6, 30)
-    got = D.clamp_range(end - timedelta(days=days), str(end), unit)
+    asked = end - timedelta(days=days)
+    got = D.clamp_range(asked, str(end), unit, D.MAX_HOURLY_DAYS, D.MAX_RANGE_DAYS)
     assert (got.start, got.end, got.unit) == (end - timedelta(days=start_shift), end, expected)
+    assert got.cut_days == days - start_shift
+    assert D.clamp_range(asked, end, unit) == D.ReportRange(asked, end, unit.lower(), 0)
 
 
 def test_ports(spark):

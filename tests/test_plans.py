@@ -345,11 +345,16 @@ def test_run_reports_goes_on_after_a_failure(spark):
     def broken(period):
         raise KeyError("down")
     written = []
-    made, failures = P.run_reports(
-        {"lte_cell": builder, "gsm_cell": broken}, "2024-01-01", "2024-03-01", "Hour", deliver=lambda n, r: written.append(n)
-    )
+    def run(**limits):
+        return P.run_reports(
+            {"lte_cell": builder, "gsm_cell": broken}, "2024-01-01", "2024-03-01", "Hour",
+            deliver=lambda n, r: written.append(n), **limits,
+        )
+    made, failures, period = run()
     assert (list(made), list(failures), written) == (["lte_cell"], ["gsm_cell"], ["lte_cell"])
-    assert (seen[0].start, seen[0].unit) == (date(2024, 1, 16), "day")
+    assert seen[0] == period and (period.start, period.unit, period.cut_days) == (date(2024, 1, 1), "hour", 0)
+    *_, period = run(max_hourly_days=20, max_days=45)
+    assert (period.start, period.unit, period.cut_days) == (date(2024, 1, 16), "day", 15)
 
 
 def test_selection(spark, rows):
@@ -431,3 +436,28 @@ def test_publish_daily(spark):
     assert sorted(P.publish_daily(cm)) == ["LNCEL", "LNCEL_L"]
     assert P.publish_daily(cm.where("mo_class = 'OTHER'")) == {}
     assert P.flatten_items(cm, D1) == {}
+
+
+def test_tables_of_one_name_are_refused(spark):
+    classes = cm_rows(spark, (D1, "LNCEL", "a", {}, {"p": "1"}), (D1, "Lncel", "b", {}, {"p": "1"}))
+    kinds = cm_rows(
+        spark, (D1, "LNCEL", "a", {}, {"p": "1"}, {"X": ["1"]}), (D1, "LNCEL_X", "b", {}, {"p": "1"})
+    )
+    with pytest.raises(ValueError, match="LNCEL"):
+        P.flatten_parameters(classes, D1)
+    with pytest.raises(ValueError, match="LNCEL_X"):
+        P.publish_daily(kinds)
+
+
+def test_probe_sites_are_filtered_before_copies_are_dropped(spark):
+    sites = spark.createDataFrame([(SITE.format(1), "S1"), (SITE.format(2), "S2")], "mo_distname string, name string")
+    data = [("2024-01-01 05:00:00", 15, SITE.format(n) + "/FTM-1", "x", 1, 2, 3, 1, 10) for n in (1, 2)]
+    probes = spark.createDataFrame(
+        data,
+        "t string, measInterval int, distName string, extendedDistName string, avgRTT_15Min int, maxRTT_15Min int, "
+        "minRTT_15Min int, lostTwampMessages int, txTwampMessages int",
+    ).withColumn("measTime", F.col("t").cast("timestamp"))
+    frame = P.probe_kpis(probes, sites, "week", "2024-01-01", "2024-01-01", "UTC", Rep.LTE_PROBE_KPIS, ["S2"])
+    assert [r["Site"] for r in frame.collect()] == ["S2"]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")

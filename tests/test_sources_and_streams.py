@@ -92,6 +92,32 @@ def test_stream_equals_batch_on_closed_windows(spark, tmp_path, rows):
     assert got == rows(closed) and len(got) > 100
 
 
+@pytest.mark.parametrize("delay", ["10 minutes", "1 hour"])
+def test_stream_keeps_the_hour_that_clocks_repeat(spark, tmp_path, rows, delay):
+    data = [("2024-11-03 05:30:00", "a"), ("2024-11-03 06:30:00", "a"), ("2024-11-03 06:30:00", "a"), ("2024-11-09 00:00:00", "z")]
+    for i, row in enumerate(data):
+        frame = spark.createDataFrame([row], "t string, cell string")
+        frame.select(F.col("t").cast("timestamp").alias("measTime"), "cell").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("measTime timestamp, cell string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rolled = stream_rollup(
+        stream, "day", ["cell"], {"n": F.count("*")}, ["measTime", "cell"], tz="America/New_York", delay=delay
+    )
+    query = (
+        rolled.writeStream.outputMode("append").format("parquet")
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    query.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "cell", "n") == [("a", 2)]
+
+
+@pytest.mark.parametrize("bounds, expected", [({"start": "2024-01-02"}, [1, 2]), ({"end": "2024-01-02"}, [0, 1])])
+def test_each_time_bound_holds_by_itself(spark, tmp_path, bounds, expected):
+    path = str(tmp_path / "pm")
+    days = spark.range(3).select(F.expr("timestamp'2024-01-01 12:00:00' + make_dt_interval(id)").alias("measTime"), "id")
+    days.write.parquet(path)
+    assert sorted(r["id"] for r in IO.read_counters(spark, path, **bounds).collect()) == expected
+
+
 def test_stream_units(spark):
     with pytest.raises(ValueError):
         stream_rollup(spark.range(1), "month", [], {}, [])
