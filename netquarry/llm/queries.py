@@ -16,6 +16,7 @@ from netquarry.llm.packing import pack_documents
 from netquarry.llm.quality_rules import rate_quality
 from netquarry.llm.secret_scan import find_secrets
 from netquarry.llm.sharding import shard_documents
+from netquarry.llm.signature_tree import jaccard_components
 from netquarry.llm.suffix_dedup import remove_repeats
 from netquarry.llm.toxicity import THRESHOLD, learn_lexicon, score_toxicity
 
@@ -80,6 +81,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 _EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -131,6 +136,7 @@ _QUERIES: dict[str, Query] = {
         op8_source_mixing,
         op9_exact_dedup,
         op10_near_dedup,
+        op11_signature_tree,
     )
 }
 
