@@ -33,6 +33,10 @@ class Shingles:
         self.words, self._known = words, {}
 
     def of(self, text: str) -> np.ndarray:
+        return np.unique(self.all_of(text))
+
+    def all_of(self, text: str) -> np.ndarray:
+        """The hashes in order of the text, repeated ones too."""
         import xxhash
 
         found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII blanks
@@ -49,7 +53,7 @@ class Shingles:
         mixed = np.full(len(hashes) - width + 1, np.uint64(width))
         for i in range(width):
             mixed = mix64((mixed * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[i : len(hashes) - width + 1 + i])
-        return np.unique(mixed)
+        return mixed
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -21,6 +21,8 @@ from netquarry.llm.common import shuffle_partitions, stored, whole_text
 from netquarry.llm.near_dedup import SHINGLE_WORDS, Shingles, connected_components
 
 LEAST_PERCENT = 80
+# Linked sets share this percentage of the smaller one among their rarest shingles, which are as many more.
+MORE_PERCENT = 5
 # Counters of shingles by the high bits of their hash, sent about in pieces.
 COUNTER_BITS, PIECE_BITS = 20, 12
 # A leaf has this many documents and, unless it is a single one, this many shingles at most.
@@ -44,9 +46,16 @@ _SETS = "rep long, size long, widest long, central long, shingles binary"
 def _counts(batches: Batches) -> Batches:
     """Counters of the shingles of one task, in pieces."""
     sets, table = Shingles(SHINGLE_WORDS), np.zeros(1 << COUNTER_BITS, np.int64)
+    held, n = [], 0
     for batch in batches:
         for text in batch.column("text"):
-            np.add.at(table, (sets.of(text.as_py()) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            held.append((sets.all_of(text.as_py()) >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
+            n += len(held[-1])
+            if n >= len(table):
+                table += np.bincount(np.concatenate(held), minlength=len(table))
+                held, n = [], 0
+    if held:
+        table += np.bincount(np.concatenate(held), minlength=len(table))
     pieces = table.reshape(-1, 1 << PIECE_BITS)
     used = np.flatnonzero(pieces.any(axis=1))
     yield pa.record_batch(
@@ -80,11 +89,16 @@ def shingle_ranks(rows: DataFrame) -> np.ndarray:
     return (16 * np.log2(1 + table.ravel())).astype(np.uint16)
 
 
+def ceil_percent(n: int, percent: int) -> int:
+    return -(n * percent // -100)
+
+
 def _prefixes(ranks: np.ndarray, percent: int) -> Callable[[Batches], Batches]:
     """The set size of each document, a digest of its set and its rarest shingles.
 
     Of two linked sets, either shares at least ``percent`` of its shingles with the other, so the first
-    ``n - ceil(percent * n) + 1`` of both in one common order have one in common.
+    ``n - ceil(percent * n) + k`` of both in one common order have ``k`` in common; where ``k`` goes by the
+    size, that of the smaller set.
     """
 
     def run(batches: Batches) -> Batches:
@@ -98,7 +112,7 @@ def _prefixes(ranks: np.ndarray, percent: int) -> Callable[[Batches], Batches]:
                 n = len(found)
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
-                first = n - -(n * percent // -100) + 1
+                first = n - ceil_percent(n, percent) + max(1, ceil_percent(n, MORE_PERCENT))
                 order = np.lexsort((found, ranks[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
                 keys.append(found[order[:first]].view(np.int64) if n else None)
             yield pa.record_batch(
@@ -227,6 +241,14 @@ def _tree(sets: DataFrame, labels: DataFrame | None, purpose: str) -> DataFrame:
 # ---- dual traversal ---------------------------------------------------------------------------
 
 
+def least_shared(size: Column, percent: int) -> Column:
+    """How many of the rarest shingles a set of that size shares with any set that it is linked with.
+
+    The smaller of both has ``percent`` of the size at least.
+    """
+    return F.greatest(F.lit(1), F.ceil(size * (percent * MORE_PERCENT) / 10_000)).cast("long")
+
+
 def _too_far(percent: int) -> Column:
     """Whether the size ranges of ``a`` and ``b`` rule a link out."""
     return (100 * F.col("high_a") < percent * F.col("low_b")) | (100 * F.col("high_b") < percent * F.col("low_a"))
@@ -341,9 +363,13 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, "tree-first-links")
 
 
-def remaining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def remaining_links(
+    members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, shared: Column | None = None
+) -> DataFrame:
     """Links between documents that share a key (``members``: ``key, rep``) but lie in different components.
 
+    ``shared`` tells, by the larger least set size ``low`` of two leaves, how many keys a link needs.
+
     Exact: a pair is left out only where sizes or bitmaps rule a link out, or where both documents are
     in one component.
     """
@@ -373,13 +399,23 @@ def remaining_links(members: DataFrame, sets: DataFrame, labels: DataFrame, perc
         F.col("node_high").alias("high"), F.col("node_slack").alias("slack"), F.col("node_one").alias("one"),
     )
     kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
-    pairs = (
+    # Within one node both orders of a pair are met; a key counts once.
+    once = (F.col("a") != F.col("b")) | (F.col("x") <= F.col("y"))
+    ends = (
         met.join(kept, ["a", "b"])
-        .select(F.explode("leaves_a").alias("x"), "leaves_b")
-        .select("x", F.explode("leaves_b").alias("y"))
+        .select("a", "b", F.explode("leaves_a").alias("x"), "leaves_b")
+        .select("a", "b", "x", F.explode("leaves_b").alias("y"))
+        .where(once)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
     )
+    counted = ends.groupBy("a", "b").count()
+    lows = tree.select(F.col("leaf"), "low")
+    sized = (
+        counted.join(lows.select(F.col("leaf").alias("a"), F.col("low").alias("low_a")), "a")
+        .join(lows.select(F.col("leaf").alias("b"), F.col("low").alias("low_b")), "b")
+        .withColumn("low", F.greatest("low_a", "low_b"))
+    )
+    pairs = sized.where(F.col("count") >= (F.lit(1) if shared is None else shared)).select("a", "b")
     return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, "tree-rest-links")
 
 
@@ -410,13 +446,17 @@ def jaccard_components(
         "doc_id", "n_shingles", "rep", F.when(own, F.col("keys")).alias("keys")
     )
     classed = stored(classed, "tree-classes")
-    keyed = classed.where("keys is not null").select("rep", F.explode("keys").alias("key"))
+    keyed = classed.where("keys is not null").select("rep", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(keyed.join(shared, "key"), "tree-members")
+    met = stored(keyed.join(shared, "key"), "tree-met")
+    # A document that shares too few of its rarest shingles, with whomever, is linked with nothing.
+    enough = met.groupBy("rep", "size").agg(F.count("*").alias("shared"))
+    enough = enough.where(F.col("shared") >= least_shared(F.col("size"), percent)).select("rep").distinct()
+    members = stored(met.join(enough, "rep", "left_semi").select("key", "rep", "n"), "tree-members")
     sets = stored(full_sets(members, rows), "tree-sets")
     links = first_links(sets, percent)
     labels = connected_components(links)
-    rest = remaining_links(members, sets, labels, percent)
+    rest = remaining_links(members, sets, labels, percent, least_shared(F.col("low"), percent))
     if rest.limit(1).count():
         labels = connected_components(links.union(rest))
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(
