@@ -110,6 +110,42 @@ def test_stream_keeps_the_hour_that_clocks_repeat(spark, tmp_path, rows, delay):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "cell", "n") == [("a", 2)]
 
 
+@pytest.mark.parametrize(
+    "unit, closing, open_still",
+    [
+        # Clocks go forward on 10 March 2024, back on 3 November; local midnight is 05:00 or 04:00 UTC.
+        ("day", "2024-03-11 04:10:00", "2024-03-11 04:09:59"),
+        ("day", "2024-11-04 05:10:00", "2024-11-04 05:09:59"),
+        ("week", "2024-03-11 04:10:00", "2024-03-11 04:09:59"),
+        ("hour", "2024-03-10 07:10:00", "2024-03-10 07:09:59"),
+    ],
+)
+def test_a_window_closes_by_the_utc_instant(spark, tmp_path, unit, closing, open_still):
+    """The watermark trails by the delay exactly, also where the zone's offset changes."""
+    inside = {"day": 3, "week": 3, "hour": 0.5}[unit]
+    for name, last, expected in (("closed", closing, 1), ("open", open_still, 0)):
+        first = datetime.fromisoformat(closing) - timedelta(minutes=10) - timedelta(hours=inside)
+        for i, t in enumerate([first.isoformat(sep=" "), last, last]):
+            frame = spark.createDataFrame([(t, f"c{min(i, 1)}")], "t string, cell string")
+            frame.select(F.col("t").cast("timestamp").alias("measTime"), "cell").coalesce(1).write.mode("append").parquet(
+                str(tmp_path / name / "in")
+            )
+        stream = spark.readStream.schema("measTime timestamp, cell string").option("maxFilesPerTrigger", 1).parquet(
+            str(tmp_path / name / "in")
+        )
+        rolled = stream_rollup(
+            stream, unit, ["cell"], {"n": F.count("*")}, ["measTime", "cell"], tz="America/New_York", delay="10 minutes"
+        )
+        query = (
+            rolled.writeStream.outputMode("append").format("parquet")
+            .option("checkpointLocation", str(tmp_path / name / "state")).trigger(availableNow=True)
+            .start(str(tmp_path / name / "out"))
+        )
+        query.awaitTermination()
+        got = spark.read.schema("measTime timestamp, cell string, n long").parquet(str(tmp_path / name / "out"))
+        assert [(r["cell"], r["n"]) for r in got.collect()] == [("c0", 1)] * expected
+
+
 @pytest.mark.parametrize("bounds, expected", [({"start": "2024-01-02"}, [1, 2]), ({"end": "2024-01-02"}, [0, 1])])
 def test_each_time_bound_holds_by_itself(spark, tmp_path, bounds, expected):
     path = str(tmp_path / "pm")
