@@ -113,7 +113,8 @@ def _prefixes(ranks: np.ndarray, percent: int) -> Callable[[Batches], Batches]:
                 sizes.append(n)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if n else None)
                 first = n - ceil_percent(n, percent) + max(1, ceil_percent(n, MORE_PERCENT))
-                order = np.lexsort((found, ranks[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
+                # The set is sorted, so equal ranks stay in the order of the hashes.
+                order = np.argsort(ranks[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
                 keys.append(found[order[:first]].view(np.int64) if n else None)
             yield pa.record_batch(
                 [
@@ -340,10 +341,32 @@ def _compare(row: dict, percent: int) -> pa.RecordBatch:
     )
 
 
+def _alone(percent: int) -> Callable[[Batches], Batches]:
+    """Links within each leaf."""
+
+    def run(batches: Batches) -> Batches:
+        held = ("reps", "components", "sizes", "sets")
+        for batch in batches:
+            for row in batch.to_pylist():
+                if len(row["reps"]) > 1 and row["one"] is None:
+                    yield _compare({"a": 0, "b": 0} | {f"{c}_{s}": row[c] for c in held for s in "ab"}, percent)
+
+    return run
+
+
 def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, purpose: str) -> DataFrame:
+    """Links within leaves and between the leaves of the pairs; only the latter are shuffled."""
     held = ["reps", "components", "sizes", "sets"]
-    side_a, side_b = (tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in held]) for s in "ab")
-    return stored(pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent), "a long, b long"), purpose)
+    within = tree.select("one", *held).mapInArrow(_alone(percent), "a long, b long")
+    pairs = stored(pairs.where("a != b"), f"{purpose}-pairs")
+    side_a, side_b = (
+        tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in held]).join(
+            pairs.select(s).distinct(), s, "left_semi"
+        )
+        for s in "ab"
+    )
+    between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent), "a long, b long")
+    return stored(within.union(between), purpose)
 
 
 def _leaf_summaries(tree: DataFrame) -> DataFrame:
@@ -358,8 +381,8 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     """
     tree = _tree(sets, None, "tree-first")
     homes = tree.select(F.col("leaf").alias("b"), F.explode("widest").alias("widest")).distinct()
-    pairs = homes.join(homes.groupBy("widest").agg(F.min("b").alias("a")), "widest").select("a", "b")
-    pairs = pairs.union(tree.select(F.col("leaf").alias("a"), F.col("leaf").alias("b"))).distinct()
+    hubs = homes.groupBy("widest").agg(F.min("b").alias("a"))
+    pairs = homes.join(hubs, "widest").where("a != b").select("a", "b").distinct()
     return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, "tree-first-links")
 
 
@@ -399,8 +422,8 @@ def remaining_links(
         F.col("node_high").alias("high"), F.col("node_slack").alias("slack"), F.col("node_one").alias("one"),
     )
     kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
-    # Within one node both orders of a pair are met; a key counts once.
-    once = (F.col("a") != F.col("b")) | (F.col("x") <= F.col("y"))
+    # Within one node both orders of a pair are met; a key counts once.  Leaves meet themselves elsewhere.
+    once = (F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))
     ends = (
         met.join(kept, ["a", "b"])
         .select("a", "b", F.explode("leaves_a").alias("x"), "leaves_b")
@@ -440,13 +463,12 @@ def jaccard_components(
     ranks = shingle_ranks(rows)
     schema = "doc_id long, n_shingles long, digest binary, keys array<long>"
     sketches = stored(rows.mapInArrow(_prefixes(ranks, percent), schema), "tree-sketches")
-    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    own = F.col("doc_id") == F.col("rep")
-    classed = sketches.join(classes, "digest", "left").select(
-        "doc_id", "n_shingles", "rep", F.when(own, F.col("keys")).alias("keys")
+    # The row of the smallest id stands for all rows of its set.
+    least = F.min_by(F.struct("n_shingles", "keys"), "doc_id")
+    chosen = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), least.alias("of")
     )
-    classed = stored(classed, "tree-classes")
-    keyed = classed.where("keys is not null").select("rep", F.col("n_shingles").alias("size"), F.explode("keys").alias("key"))
+    keyed = chosen.select("rep", F.col("of.n_shingles").alias("size"), F.explode("of.keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(keyed.join(shared, "key"), "tree-met")
     # A document that shares too few of its rarest shingles, with whomever, is linked with nothing.
@@ -459,6 +481,8 @@ def jaccard_components(
     rest = remaining_links(members, sets, labels, percent, least_shared(F.col("low"), percent))
     if rest.limit(1).count():
         labels = connected_components(links.union(rest))
+    classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classed = sketches.drop("keys").join(classes, "digest", "left").drop("digest")
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
