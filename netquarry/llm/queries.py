@@ -17,8 +17,10 @@ from netquarry.llm.quality_rules import rate_quality
 from netquarry.llm.secret_scan import find_secrets
 from netquarry.llm.sharding import shard_documents
 from netquarry.llm.signature_tree import jaccard_components
+from netquarry.llm.spelling import spelling_variants
 from netquarry.llm.suffix_dedup import remove_repeats
 from netquarry.llm.toxicity import THRESHOLD, learn_lexicon, score_toxicity
+from netquarry.llm.turns import audit_conversations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +87,14 @@ def op11_signature_tree(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_conversations(table(spark, folder, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
 _EXACT_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -137,6 +147,8 @@ _QUERIES: dict[str, Query] = {
         op9_exact_dedup,
         op10_near_dedup,
         op11_signature_tree,
+        op12_conversation_repair,
+        op13_spelling_variants,
     )
 }
 
