@@ -396,11 +396,18 @@ def remaining_links(
     Exact: a pair is left out only where sizes or bitmaps rule a link out, or where both documents are
     in one component.
     """
-    tree = _tree(sets, labels, "tree-rest")
-    places = tree.select("leaf", "node", F.explode(F.arrays_zip("reps", "components", "sizes")).alias("d")).select(
-        "leaf", "node", F.col("d.reps").alias("rep"), F.col("d.components").alias("component"), F.col("d.sizes").alias("size")
+    named = members.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left")
+    named = named.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    live = stored(named.join(mixed.where("least != most").select("key"), "key", "left_semi"), "tree-live")
+    # Documents that share too few keys with other components are through.
+    few = live.groupBy("rep").agg(F.count("*").alias("count")).join(sets.select("rep", F.col("size").alias("low")), "rep")
+    few = few.where(F.col("count") >= (F.lit(1) if shared is None else shared)).select("rep").distinct()
+    tree = _tree(sets.join(few, "rep", "left_semi"), labels, "tree-rest")
+    places = tree.select("leaf", "node", F.explode(F.arrays_zip("reps", "sizes")).alias("d")).select(
+        "leaf", "node", F.col("d.reps").alias("rep"), F.col("d.sizes").alias("size")
     )
-    held = members.select("key", "rep").join(places, "rep")
+    held = live.join(places, "rep")
     low, high = F.min("component").alias("from"), F.max("component").alias("to")
     by_node = stored(
         held.groupBy("key", "node").agg(

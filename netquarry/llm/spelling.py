@@ -22,10 +22,12 @@ from netquarry.llm.common import stored, whole_text
 GRAM = 2
 EDITS = 1
 LEAST_LENGTH, LEAST_COUNT = 7, 2
+OWN, OTHER = GRAM * EDITS + 1, 2 * GRAM * EDITS + 1
 # A form is at least so many times as frequent as the word.
 FORM_FACTOR = 10
 DAMAGED_EVERY = 31
 HELD_WORDS = 500_000
+SHORT_LENGTH = 100
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -132,7 +134,12 @@ def _places(place: int, length: int) -> list[tuple[int, int]]:
 
 
 def _keys(rank: dict[str, int], weight: dict[str, int]) -> Callable[[Batches], Batches]:
-    """Index rows for the rarest grams of every word, and look-ups for its pivots."""
+    """Index rows for the rarest grams of every word, and look-ups for its pivots.
+
+    Of a gram that a word repeats the first ``OWN`` occurrences may become pivots, enough to hold disjoint
+    ones.  One edit makes no more than ``GRAM * EDITS`` new grams, so they are among the first ``OTHER``
+    occurrences of the other word.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -141,10 +148,15 @@ def _keys(rank: dict[str, int], weight: dict[str, int]) -> Callable[[Batches], B
                 length = len(word)
                 grams = sorted((rank[word[p : p + GRAM]], p) for p in range(length - GRAM + 1))
                 reach = grams[min(GRAM * EDITS, len(grams) - 1)][0]
-                prefix = [(r, p) for r, p in grams if r <= reach]  # with all occurrences of the last one
+                prefix, times = [], Counter()
+                for r, p in grams:
+                    if r > reach:
+                        break
+                    times[r] += 1
+                    prefix.append((r, p, times[r]))
                 letters = _letters(word)
-                out += [(False, r, p, length, reach, letters, word, n) for r, p in prefix]
-                chosen = pivots([(p, weight[word[p : p + GRAM]]) for _, p in prefix], EDITS + 1)
+                out += [(False, r, p, length, reach, letters, word, n) for r, p, k in prefix if k <= OTHER]
+                chosen = pivots([(p, weight[word[p : p + GRAM]]) for _, p, k in prefix if k <= OWN], EDITS + 1)
                 out += [
                     (True, rank[word[p : p + GRAM]], q, other, reach, letters, word, n)
                     for p, _ in chosen
@@ -175,7 +187,14 @@ def near_words(words: DataFrame) -> DataFrame:
         F.col("word").alias("word_a"), F.col("n").alias("n_a"),
     )
     like = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * EDITS
-    met = asked.join(index, ["gram", "place", "length"]).where((F.col("reach_a") <= F.col("reach")) & like & one_edit())
+    other = (F.col("reach_a") <= F.col("reach")) & like & (F.col("word_a") != F.col("word"))
+    # Spark's function takes quadratic time, so long words are compared by their common ends instead.
+    short = F.col("length") <= SHORT_LENGTH
+    met = stored(asked.join(index, ["gram", "place", "length"]).where(other & (~short | one_edit())), "spelling-met")
+    pairs = ["word_a", "n_a", "word", "n"]
+    met = met.where(short).select(*pairs).union(
+        met.where(~short).select(*pairs).mapInArrow(_long_pairs, "word_a string, n_a long, word string, n long")
+    )
     both = F.array(
         F.struct(F.col("word_a").alias("word"), F.col("word").alias("other"), F.col("n").alias("n_other")),
         F.struct(F.col("word").alias("word"), F.col("word_a").alias("other"), F.col("n_a").alias("n_other")),
@@ -183,6 +202,25 @@ def near_words(words: DataFrame) -> DataFrame:
     return met.select(F.inline(both)).distinct()
 
 
+def differ_by_one(a: str, b: str) -> bool:
+    """Whether one code point was inserted, deleted or replaced; time grows with the length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    low, high = 0, len(a)  # the length of the common start
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
+def _long_pairs(batches: Batches) -> Batches:
+    for batch in batches:
+        near = [differ_by_one(a, b) for a, b in zip(batch.column("word_a").to_pylist(), batch.column("word").to_pylist(), strict=True)]
+        yield batch.filter(pa.array(near, pa.bool_()))
+
+
 def one_edit() -> Column:
     """Whether ``word`` and ``word_a`` differ by exactly one inserted, deleted or replaced code point."""
     return F.levenshtein("word", "word_a", EDITS) == EDITS
