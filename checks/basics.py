@@ -17,6 +17,8 @@ from netquarry.operators import filters as Fl
 from netquarry.operators import joins as J
 from netquarry.operators import snapshots as Sn
 from netquarry.plans.selection import choices, site_directory
+from netquarry.session import work_folder
+from netquarry.sources import Dump
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -48,6 +50,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@check(
+    "J01_newest_day_listing",
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.cm_sql("WCEL", "RETU")}
+SELECT 'WCEL' AS mo_class, '2024-03-02' AS day, mo_distname, "LAC" AS code FROM cm_wcel
+UNION ALL SELECT 'RETU', '2024-03-02', mo_distname, NULL FROM cm_retu""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    # The days are looked up in the names of the folders, and one day's files are read.
+    folder = work_folder(spark, "dump")
+    s.cm(spark, d, ["WCEL", "RETU", "ALD"]).write.partitionBy("raml_date", "mo_class").parquet(folder)
+    dump = Dump(spark, folder)
+    newest = Sn.latest_snapshot(dump, "WCEL").unionByName(Sn.latest_snapshot(dump, "RETU", dated_by="ALD"))
+    return newest.select(
+        "mo_class",
+        F.col("raml_date").cast("string").alias("day"),
+        "mo_distname",
+        F.element_at("parameters", F.lit("LAC")).alias("code"),
+    )
+
+
 @check(
     "J02_latest_per_key",
     """SELECT o.o_custkey, o.o_orderkey, strftime(o.o_orderdate, '%Y-%m-%d %H:%M:%S') AS day, o.o_orderstatus

@@ -81,6 +81,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _as_rows(P.flatten_items(s.events_cm(spark, d), _DAY))
 
 
+# A row per item; objects without any keep one, whose fields are 0.
+_ALL_ITEMS_SQL = """SELECT 'PURCHASE_ITEMS' AS table_name, 'USER_id|f2' AS integers, rc AS "PLMN_id", cast(user_id AS VARCHAR) AS "USER_id",
+pos AS "itemId", f1, f2 FROM (
+SELECT *, CASE WHEN value >= 5 THEN '0' END AS pos, CASE WHEN value >= 5 THEN k ELSE '0' END AS f1,
+  CASE WHEN value > 50 THEN cast(event_id AS VARCHAR) ELSE '0' END AS f2 FROM ev WHERE mo_class = 'purchase'
+UNION ALL SELECT *, '1', 'second', '0' FROM ev WHERE mo_class = 'purchase' AND value >= 5)"""
+
+
+@check("C29_flatten_all_items", f"WITH {s.EVENTS_SQL} {_ALL_ITEMS_SQL}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _as_rows(P.flatten_items(s.events_cm(spark, d), _DAY, all_items=True))
+
+
 _NEWEST = """AND date_trunc('week', ts) = (SELECT max(date_trunc('week', ts)) FROM events WHERE event_type = 'click')"""
 
 

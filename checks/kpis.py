@@ -15,6 +15,7 @@ from netquarry.plans.reports import (
     LTE_CELL_KPIS,
     LTE_PROBE_KPIS,
     LTE_SITE_KPIS,
+    SORT_KEYS,
     UMTS_CELL_KPIS,
     UMTS_PROBE_KPIS,
     UMTS_SITE_KPIS,
@@ -22,7 +23,7 @@ from netquarry.plans.reports import (
     sites_by_parent,
 )
 from netquarry.session import work_folder
-from netquarry.sources import kpi_catalog
+from netquarry.sources import kpi_catalog, write_report
 from netquarry.streaming import stream_rollup
 
 TZ = "America/Bogota"
@@ -47,6 +48,11 @@ _FORMULAS = {
 }
 
 
+# A KPI over two counter tables, with the condition that links them.
+_TWO_TABLES = ("LTE_linked", "linked", "LTE", "sector_name", "100*sum(b.M8015C9)/sum(a.qty)", "objects a, handovers b")
+_LINKED = "a.distName = b.distName AND a.measTime = b.measTime AND a.measInterval = b.measInterval AND b.M8015C8 > 0 AND"
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     rows = [
         (
@@ -60,6 +66,7 @@ def catalog(spark: SparkSession) -> DataFrame:
         )
         for kpi, (technology, level, formula) in _FORMULAS.items()
     ]
+    rows.append((*_TWO_TABLES, _LINKED))
     schema = (
         "KPI_Id string, Name string, Technology string, Level string, Formula string, "
         "`Tables` string, `Join` string"
@@ -71,6 +78,7 @@ def _counters(spark: SparkSession, d: str, technology: str) -> dict[str, DataFra
     found = {"objects": s.counters(spark, d, technology)}
     if technology == "LTE":
         found["sites"] = s.counters(spark, d, technology, site_level=True)
+        found["handovers"] = found["objects"]
     return found
 
 
@@ -98,7 +106,13 @@ _SITE_VIEW_SQL = """site_view AS (SELECT DISTINCT split_part(h."moDistName", '/L
 
 
 def _frame(
-    spark: SparkSession, d: str, technology: str, kpis: list[str], groupby: str, unit: str = "month"
+    spark: SparkSession,
+    d: str,
+    technology: str,
+    kpis: list[str],
+    groupby: str,
+    unit: str = "month",
+    views: P.SiteViews | None = None,
 ) -> DataFrame:
     return P.kpi_frame(
         _counters(spark, d, technology),
@@ -107,7 +121,7 @@ def _frame(
         kpis,
         START,
         END,
-        s.site_history(spark, d, technology),
+        views or s.site_history(spark, d, technology),
         groupby=groupby,
         unit=unit,
         tz=TZ,
@@ -144,9 +158,10 @@ SELECT "Date" AS "Period start time", concat('MRBTS-', split_part("Cell", '_', 1
 def _(spark: SparkSession, d: str) -> DataFrame:
     kpis = kpis_to_request("lte_cell")
     half = len(kpis) // 2
+    views = P.SiteViews(s.site_history(spark, d, "LTE"))
     return P.report_lte_cell(
-        _frame(spark, d, "LTE", kpis[:half], "sector_name"),
-        _frame(spark, d, "LTE", kpis[half:], "sector_name"),
+        _frame(spark, d, "LTE", kpis[:half], "sector_name", views=views),
+        _frame(spark, d, "LTE", kpis[half:], "sector_name", views=views),
     )
 
 
@@ -264,7 +279,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         return P.report_umts_site(kpis, probe_frame, history)
 
     def broken(period: ReportRange) -> DataFrame:
-        raise RuntimeError("source is down")
+        """Fails in a task, while it is being written."""
+        report = P.report_lte_cell(frame("LTE", ["LTE_5239a"], "sector_name", period))
+        return report.withColumn("LNCEL name", F.raise_error(F.concat(F.lit("lost "), "LNCEL name")))
+
+    folder = work_folder(spark, "reports")
+
+    def deliver(name: str, report: DataFrame) -> None:
+        write_report(report, f"{folder}/{name}", [c for c in SORT_KEYS[name] if c in report.columns])
 
     builders = {
         "lte_cell": lambda p: P.report_lte_cell(frame("LTE", ["LTE_5239a"], "sector_name", p)),
@@ -277,7 +299,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
             frame("GSM", ["blck_5a"], "sector_name", p), s.site_history(spark, d, "GSM")
         ),
     }
-    made, failures, period = P.run_reports(builders, "1998-01-01", "1998-12-31", "Hour")
+    made, failures, period = P.run_reports(builders, "1998-01-01", "1998-12-31", "Hour", deliver)
     assert list(failures) == ["lte_site"]
     names = {
         "lte_cell": "LNCEL name",
@@ -286,7 +308,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "gsm_cell": "BTS name",
     }
     parts = [
-        report.select(
+        spark.read.schema(report.schema).parquet(f"{folder}/{name}").select(
             F.lit(name).alias("report"),
             F.lit(period.unit).alias("unit"),
             F.col("Period start time").alias("period"),
@@ -342,6 +364,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _long(spark, d)
 
 
+@check(
+    "C21_kpi_two_tables",
+    f"""WITH {_base_sql("LTE")} SELECT strftime(date_trunc('month', a."measTime" - INTERVAL 5 HOUR), '%Y-%m-%d %H:%M:%S') AS "measTime", c.site_name AS "Element",
+100.0::DOUBLE * sum(b."M8015C9") / sum(a.qty) AS "Value", 'LTE_linked' AS "KPI", 'LTE_linked - linked' AS "KPI_Name"
+FROM pm a JOIN pm b ON a."distName" = b."distName" AND a."measTime" = b."measTime" AND a."measInterval" = b."measInterval" AND b."M8015C8" > 0
+JOIN cur_lte c ON a."distName" = c."moDistName"
+WHERE a."measTime" >= TIMESTAMP '{START} 05:00:00' AND a."measTime" < TIMESTAMP '1999-01-01 05:00:00' GROUP BY 1, 2""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    histories = {"LTE": s.site_history(spark, d, "LTE")}
+    linked = P.kpi_query(
+        catalog(spark), ["LTE_linked"], _counters(spark, d, "LTE"), histories, "site", "month", START, END, TZ
+    )
+    return linked.withColumn("measTime", stamp("measTime"))
+
+
+_LEVELS = {"set": "'WS'", "cluster": "level_2", "band": "band"}
+
+
+@check(
+    "A13_kpi_query_levels",
+    f"WITH {_base_sql('LTE')} "
+    + " UNION ALL ".join(
+        f"""SELECT strftime(date_trunc('quarter', "measTime" - INTERVAL 5 HOUR), '%Y-%m-%d %H:%M:%S') AS "measTime", '{level}' AS "Level", {column} AS "Element",
+cast({_sum(kpi)} AS DOUBLE) AS "Value", '{kpi}' AS "KPI", '{kpi} - {"" if kpi == "LTE_1072a" else f"name of {kpi}"}' AS "KPI_Name" FROM pm JOIN cur_lte ON "distName" = "moDistName"
+WHERE "measTime" >= TIMESTAMP '{START} 05:00:00' AND "measTime" < TIMESTAMP '1999-01-01 05:00:00' GROUP BY 1, 3"""
+        for level, column in _LEVELS.items()
+        for kpi in ("LTE_5239a", "LTE_1072a")
+    ),
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    histories = {"LTE": s.site_history(spark, d, "LTE")}
+    long = P.kpi_query(
+        catalog(spark), ["LTE_5239a", "LTE_1072a"], _counters(spark, d, "LTE"), histories, list(_LEVELS), "quarter", START, END, TZ
+    )
+    return long.withColumn("measTime", stamp("measTime"))
+
+
 # The exact best split of the KPI magnitudes: every cut of their order is tried.
 _SPLIT_SQL = f"""{_LONG_SQL},
 peaks AS (SELECT "KPI", log10(abs(CASE WHEN max("Value") = 0 THEN 0.1 ELSE max("Value") END)) AS m FROM long GROUP BY 1),

@@ -10,6 +10,7 @@ from checks.registry import check
 from netquarry.functions.dates import local_bucket
 from netquarry.functions.maps import map_columns
 from netquarry.operators import reshape as R
+from netquarry.operators.aggregates import offered_to_levels
 
 _MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -155,13 +156,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "site": F.col("s_nationkey").cast("string"),
         "band": F.col("r_name"),
     }
-    # Every line is offered to all five levels, so one scan and one partial aggregate serve them.
-    levels = F.array(
-        *[F.struct(F.lit(label).alias("level"), c.alias("element")) for label, c in elements.items()]
-    )
-    offered = lines.select(
-        F.date_format(local_bucket("l_shipdate", "quarter", "UTC"), "yyyy-MM-dd").alias("bucket"),
-        "l_quantity",
-        F.inline(levels),
+    offered = offered_to_levels(
+        lines.select(
+            F.date_format(local_bucket("l_shipdate", "quarter", "UTC"), "yyyy-MM-dd").alias("bucket"),
+            "l_quantity",
+            *[c.alias(label) for label, c in elements.items()],
+        ),
+        {label: F.col(label) for label in elements},
     )
     return offered.groupBy("level", "bucket", "element").agg(F.sum("l_quantity").alias("qty"))

@@ -213,16 +213,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     def unavailable() -> DataFrame:
         raise RuntimeError("counters are missing")
 
-    bundle, skipped = IO.bundle_audits(
+    def failing() -> DataFrame:
+        return P.site_list(cm).withColumn("mo_distname", F.raise_error(F.concat(F.lit("no "), "mo_distname")))
+
+    folder = work_folder(spark, "bundle")
+    done, skipped = IO.deliver_audits(
         {
             "sites": P.site_list(cm),
             "version": lambda: P.audit_sw_version(cm, s.site_set(spark, d).select("item"), "V2"),
-            "rtwp": unavailable,
-        }
+            "rtwp": unavailable,  # while its plan is built
+            "rssi": failing,  # in a task
+        },
+        folder,
     )
-    assert bundle is not None and list(skipped) == ["rtwp"]
-    folder = work_folder(spark, "bundle")
-    IO.write_bundle(bundle, folder)
+    assert sorted(done) == ["sites", "version"] and sorted(skipped) == ["rssi", "rtwp"]
     return spark.read.parquet(folder).select(
         "audit",
         F.get_json_object("row", "$.mo_distname").alias("dn"),

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from netquarry.functions.dates import local_bucket
 from netquarry.functions.numeric import log_magnitude, percent
+from netquarry.session import resolved
 
 
 def grouped_sums(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -126,6 +127,18 @@ def time_rollup(
     )
 
 
+def offered_to_levels(
+    df: DataFrame, levels: Mapping[str, Column], level: str = "level", element: str = "element"
+) -> DataFrame:
+    """Every row once per level, with the level's name and its element.
+
+    Grouped by both, all levels are aggregated in one scan, and partial aggregates keep what is shuffled
+    at one row per element.
+    """
+    offers = [F.struct(F.lit(name).alias(level), c.cast("string").alias(element)) for name, c in levels.items()]
+    return df.select("*", F.inline(F.array(*offers)))
+
+
 def split_kpis_by_scale(long: DataFrame, kpi: str = "KPI", value: str = "Value") -> DataFrame:
     """Add ``Cluster`` 0 or 1 by the magnitude of each KPI's maximum (0 is the smaller scale).
 
@@ -133,8 +146,10 @@ def split_kpis_by_scale(long: DataFrame, kpi: str = "KPI", value: str = "Value")
     of the ordered magnitudes is scored from running sums and the best one taken: exact, repeatable
     and without iterations.  The window sees one row per KPI, as many as the catalog query asked for.
     Rows of KPIs without a value, or without a name, are cluster 0.  One KPI alone, or KPIs of one
-    magnitude, are all cluster 0.
+    magnitude, are all cluster 0.  The input is evaluated once, into a file that both the magnitudes and
+    the result are read from.
     """
+    long = resolved(long, "kpi-rows")
     peaks = (
         long.where(F.col(kpi).isNotNull())
         .groupBy(kpi)

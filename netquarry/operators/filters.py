@@ -35,6 +35,35 @@ def not_members(df: DataFrame, column: str, unwanted: Members) -> DataFrame:
     return df.where(~F.coalesce(F.col(column).isin(list(unwanted)), F.lit(False)))
 
 
+# Size of the bitmap in front of a join, in words of 64 bits: 1 MB of bits, whatever the names.
+BITMAP_WORDS = 1 << 17
+
+
+def probable_members(df: DataFrame, column: Column, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be among the first column of ``wanted``; no member is lost.
+
+    Stands below a join that shuffles ``df``, so that rows without a partner are not shuffled.  The names
+    are hashed into a bitmap of fixed size, so it may be broadcast however many names there are; a row
+    that only shares a bit passes and is left to the join.
+    """
+    bits = 64 * BITMAP_WORDS
+
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(bits))
+
+    name = F.col(f"`{wanted.columns[0]}`")
+    marked = wanted.where(name.isNotNull()).select(place(name).alias("__place"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__place", F.lit(64)).cast("int"))
+    words = marked.groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+    own = place(column)
+    bit = F.call_function("shiftright", F.col("__bits"), F.pmod(own, F.lit(64)).cast("int"))
+    return (
+        df.join(F.broadcast(words), F.shiftright(own, 6) == F.col("__word"))
+        .where(column.isNotNull() & (bit.bitwiseAND(F.lit(1)) == 1))
+        .drop("__word", "__bits")
+    )
+
+
 def site_part(dn: ColumnLike, depth: int = 3) -> Column:
     """The first ``depth`` parts of a DN; three of them name a site."""
     return F.substring_index(as_column(dn), "/", depth)

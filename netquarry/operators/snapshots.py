@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +12,33 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+class SnapshotStore(Protocol):
+    """Snapshots whose days are known without reading them, such as :class:`netquarry.sources.Dump`."""
+
+    def newest(self, mo_class: str | None = None) -> date | None: ...
+
+    def rows(self, mo_class: str | None = None, day: str | date | None = None) -> DataFrame: ...
+
+
+Snapshots = DataFrame | SnapshotStore
+
+
 def newest_day(cm: DataFrame, mo_class: str | None = None) -> DataFrame:
     """One row ``last_date``: the newest snapshot day, of one class if given."""
     rows = cm if mo_class is None else cm.where(F.col("mo_class") == mo_class)
     return rows.agg(F.max("raml_date").alias("last_date"))
 
 
-def latest_snapshot(cm: DataFrame, mo_class: str, dated_by: str | None = None) -> DataFrame:
+def latest_snapshot(cm: Snapshots, mo_class: str, dated_by: str | None = None) -> DataFrame:
     """Rows of ``mo_class`` on its newest day, or on the newest day of class ``dated_by``.
 
-    The day is a scalar subquery, not a join: it is computed once and then prunes the date
-    partitions of the scan at run time.
+    A store knows its newest day, so the files of that day are the only ones that are listed and read.
+    Of a plain frame the day is a scalar subquery, not a join: it is computed once and then prunes the
+    date partitions of the scan at run time.
     """
+    if not isinstance(cm, DataFrame):
+        day = cm.newest(dated_by or mo_class)
+        return cm.rows(mo_class, day) if day is not None else cm.rows(mo_class).limit(0)
     day = newest_day(cm, dated_by or mo_class)
     return cm.where((F.col("mo_class") == mo_class) & (F.col("raml_date") == day.scalar()))
 

@@ -34,8 +34,10 @@ from netquarry.plans.reports import (
 )
 from netquarry.plans.selection import select_cells, site_directory
 from netquarry.plans.site_audits import audit_parameters, audit_sw_version, site_list
+from netquarry.plans.views import SiteViews
 
 __all__ = [
+    "SiteViews",
     "antenna_tilts",
     "audit_code_conflicts",
     "audit_missing_relations",

@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 from netquarry.functions.maps import map_columns
 from netquarry.functions.text import text_before
 from netquarry.operators.aggregates import multi_valued
-from netquarry.operators.filters import Members, members, not_members
+from netquarry.operators.filters import Members, members
 from netquarry.operators.joins import equi_join
-from netquarry.operators.snapshots import latest_per_key, latest_snapshot
+from netquarry.operators.snapshots import Snapshots, latest_snapshot
+from netquarry.plans.views import History, newest_sites
+from netquarry.session import resolved
 
 # Fixed value: the status, and the filler of missing codes, of a pair not seen elsewhere.
 NOT_OK = "NO-OK"
 
 
-def current_cells(site_history: DataFrame, as_of: str | date | None = None) -> DataFrame:
+def current_cells(site_history: History, as_of: str | date | None = None) -> DataFrame:
     """Current cells with ``parent``, the DN of their site."""
     return (
-        latest_per_key(site_history, ["sector_name"], "export_date", as_of)
+        newest_sites(site_history, as_of=as_of)
         .select(
             F.col("moDistName").alias("mo_distname"),
             "sector_name",
@@ -33,7 +35,7 @@ def current_cells(site_history: DataFrame, as_of: str | date | None = None) -> D
     )
 
 
-def with_area_code(cells: DataFrame, cm: DataFrame, mo_class: str, parameter: str, name: str) -> DataFrame:
+def with_area_code(cells: DataFrame, cm: Snapshots, mo_class: str, parameter: str, name: str) -> DataFrame:
     """Cells with an area code from the newest snapshot, matched on DN and cell name."""
     codes = latest_snapshot(cm, mo_class).select(
         "mo_distname", *map_columns("parameters", {"name": "sector_name", parameter: name})
@@ -41,12 +43,17 @@ def with_area_code(cells: DataFrame, cm: DataFrame, mo_class: str, parameter: st
     return cells.join(codes, on=["mo_distname", "sector_name"])
 
 
+def _set_of(site_dns: Members, cells: DataFrame) -> DataFrame:
+    """``parent, in_set`` of the sites in the set that have cells."""
+    return members(cells.select("parent").distinct(), "parent", site_dns).withColumn("in_set", F.lit(True))
+
+
 def evaluated_sites(cells: DataFrame, site_dns: Members) -> DataFrame:
     return members(cells, "parent", site_dns).select("site_name").distinct()
 
 
 def audit_multi_tac(
-    lte_sites: DataFrame, cm: DataFrame, site_dns: Members, as_of: str | date | None = None
+    lte_sites: History, cm: Snapshots, site_dns: Members, as_of: str | date | None = None
 ) -> DataFrame:
     """Sites of the set that carry more than one area code."""
     coded = with_area_code(current_cells(lte_sites, as_of), cm, "LNCEL", "tac", "TAC")
@@ -55,37 +62,33 @@ def audit_multi_tac(
 
 
 def audit_tac_lac(
-    lte_sites: DataFrame,
-    umts_sites: DataFrame,
-    cm: DataFrame,
+    lte_sites: History,
+    umts_sites: History,
+    cm: Snapshots,
     site_dns: Members,
     as_of: str | date | None = None,
 ) -> DataFrame:
     """Whether the (TAC, LAC) pairs of the evaluated sites also occur at any other site.
 
-    A site known at several positions gives a row for each of them.
+    A site known at several positions gives a row for each of them.  The coded cells and the network of
+    pairs are resolved once; sites are flagged, and a partial count per pair tells which occur elsewhere.
     """
     lte, umts = current_cells(lte_sites, as_of), current_cells(umts_sites, as_of)
-    evaluated = evaluated_sites(lte, site_dns)
-    tac = with_area_code(lte, cm, "LNCEL", "tac", "TAC")
-    lac = with_area_code(umts, cm, "WCEL", "LAC", "LAC")
-    network = (
-        tac.select("site_name", "TAC")
-        .distinct()
-        .join(lac.select("site_name", "LAC").distinct(), on="site_name")
+    # Whether any cell of a site is in the set; cells without an area code count too.
+    marked = lte.join(_set_of(site_dns, lte), on="parent", how="left")
+    evaluated = marked.groupBy("site_name").agg(F.max(F.coalesce("in_set", F.lit(False))).alias("evaluated"))
+    coded = with_area_code(lte, cm, "LNCEL", "tac", "TAC")
+    places = resolved(
+        coded.select("site_name", "TAC", "longitud", "latitud").distinct().join(evaluated, on="site_name"), "tac-sites"
     )
+    lac = with_area_code(umts, cm, "WCEL", "LAC", "LAC").select("site_name", "LAC").distinct()
+    pairs = places.select("site_name", "TAC", "evaluated").distinct().join(lac, on="site_name")
+    network = resolved(pairs, "area-pairs")
     elsewhere = (
-        not_members(network, "site_name", evaluated)
-        .select("TAC", "LAC")
-        .distinct()
-        .withColumn("Status", F.lit("OK"))
+        network.where(~F.col("evaluated")).groupBy("TAC", "LAC").agg(F.lit("OK").alias("Status"))
     )
     judged = equi_join(
-        members(network, "site_name", evaluated),
-        elsewhere,
-        ["TAC", "LAC"],
-        how="left",
-        null_safe=True,
+        network.where("evaluated").drop("evaluated"), elsewhere, ["TAC", "LAC"], how="left", null_safe=True
     ).na.fill(NOT_OK, subset=["TAC", "LAC", "Status"])
-    positions = tac.select("site_name", "longitud", "latitud").distinct()
+    positions = places.where("evaluated").select("site_name", "longitud", "latitud").distinct()
     return judged.join(positions, on="site_name").select("site_name", "TAC", "LAC", "Status")

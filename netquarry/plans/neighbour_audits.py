@@ -13,15 +13,20 @@ from netquarry.functions.text import target_cell_id, text_before
 from netquarry.operators.aggregates import share_of_total
 from netquarry.operators.filters import Members, in_sites, trailing_days
 from netquarry.operators.joins import join_within_angle, missing_relations, neighbour_pairs
-from netquarry.operators.snapshots import latest_per_key, latest_snapshot, one_per_key
+from netquarry.operators.snapshots import Snapshots, latest_snapshot, one_per_key
+from netquarry.plans.views import History, newest_sites
+from netquarry.session import resolved
 
 # Parameters read from the two cell classes.
 CELL_PARAMETERS = {"name": "LNCEL_Name", "phyCellId": "phyCellId", "eutraCelId": "eutraCelId"}
 CARRIER_PARAMETERS = ["earfcnDL", "rootSeqIndex", "prachCS", "prachFreqOff", "prachConfIndex"]
 
 
-def lte_cells(cm: DataFrame) -> DataFrame:
-    """Current cells with their carrier settings, from the two configuration classes."""
+def lte_cells(cm: Snapshots) -> DataFrame:
+    """Current cells with their carrier settings, from the two configuration classes.
+
+    Several audits of a run, and each of them more than once, read them, so they are resolved to a file.
+    """
     ids = map_columns("ids", {"LNCEL": "LNCEL_id", "LNBTS": "LNBTS_id"})
     cells = latest_snapshot(cm, "LNCEL").select(
         *ids, "mo_distname", *map_columns("parameters", CELL_PARAMETERS)
@@ -29,10 +34,10 @@ def lte_cells(cm: DataFrame) -> DataFrame:
     carriers = latest_snapshot(cm, "LNCEL_FDD").select(
         *ids, *map_columns("parameters", CARRIER_PARAMETERS)
     )
-    return cells.join(carriers, on=["LNCEL_id", "LNBTS_id"])
+    return resolved(cells.join(carriers, on=["LNCEL_id", "LNBTS_id"]), "lte-cells")
 
 
-def site_adjacency(cm: DataFrame, sites: Members | None = None) -> DataFrame:
+def site_adjacency(cm: Snapshots, sites: Members | None = None) -> DataFrame:
     current = latest_snapshot(cm, "LNADJ")
     chosen = current if sites is None else in_sites(current, "mo_distname", sites)
     return chosen.select(
@@ -42,7 +47,7 @@ def site_adjacency(cm: DataFrame, sites: Members | None = None) -> DataFrame:
 
 def handover_share(
     handovers: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     cells: DataFrame,
     today: str | date,
     days: int = 3,
@@ -58,7 +63,7 @@ def handover_share(
         recent = in_sites(recent, "distName", sites)
     if dedupe:
         recent = one_per_key(recent, dedupe)
-    current = latest_per_key(site_history, ["sector_name"], "export_date").select(
+    current = newest_sites(site_history).select(
         "sector_name", F.col("moDistName").alias("distName")
     )
     # Attempts are summed per pair of names before the site view is joined in, so the join sees one
@@ -96,19 +101,25 @@ def handover_share(
 
 def audit_code_conflicts(
     cells: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     adjacency: DataFrame,
     ho_share: DataFrame,
     code: str,
     min_share: float,
     as_of: str | date | None = None,
 ) -> DataFrame:
-    """Neighbours on adjacent sites with equal carrier and equal ``code`` and enough handovers."""
-    positions = latest_per_key(site_history, ["sector_name"], "export_date", as_of).select(
+    """Neighbours on adjacent sites with equal carrier and equal ``code`` and enough handovers.
+
+    The placed cells are both ends of a pair and are resolved once for them.
+    """
+    positions = newest_sites(site_history, as_of=as_of).select(
         F.col("moDistName").alias("mo_distname"), "site_name", "latitud", "longitud"
     )
-    placed = cells.join(positions, on="mo_distname").select(
-        "LNBTS_id", "LNCEL_Name", "earfcnDL", code, "site_name", "latitud", "longitud"
+    placed = resolved(
+        cells.join(positions, on="mo_distname").select(
+            "LNBTS_id", "LNCEL_Name", "earfcnDL", code, "site_name", "latitud", "longitud"
+        ),
+        "placed-cells",
     )
     pairs = ho_share.where(F.col("Share") >= min_share).select(
         F.col("LNCEL_Name").alias("LNCEL_Name_Orig"),
@@ -128,9 +139,9 @@ def audit_code_conflicts(
 
 
 def audit_missing_relations(
-    lte_sites: DataFrame,
-    umts_sites: DataFrame,
-    cm: DataFrame,
+    lte_sites: History,
+    umts_sites: History,
+    cm: Snapshots,
     sites: Members,
     tolerance: float = 20,
     as_of: str | date | None = None,
@@ -141,8 +152,8 @@ def audit_missing_relations(
     of the cells per bearing, and the relations that are configured as expected are taken off.
     """
 
-    def current(history: DataFrame, suffix: str) -> DataFrame:
-        view = latest_per_key(history, ["sector_name"], "export_date", as_of)
+    def current(history: History, suffix: str) -> DataFrame:
+        view = newest_sites(history, as_of=as_of)
         return view.select(
             F.col("moDistName").alias(f"mo_distname{suffix}"),
             F.col("sector_name").alias(f"sector_name{suffix}"),

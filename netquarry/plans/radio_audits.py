@@ -24,7 +24,8 @@ from netquarry.operators.filters import (
     trailing_days,
 )
 from netquarry.operators.reshape import transpose
-from netquarry.operators.snapshots import latest_per_key, latest_snapshot, one_per_key
+from netquarry.operators.snapshots import Snapshots, latest_snapshot, one_per_key
+from netquarry.plans.views import History, newest_sites
 from netquarry.plans.area_audits import current_cells, evaluated_sites
 
 # KPI ids, counters and labels of the power audits.
@@ -52,7 +53,7 @@ ABSENT_KPI = "-9999"
 
 def audit_rssi(
     kpis: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     threshold_indoor: float,
     threshold_outdoor: float,
     site_dns: Members | None = None,
@@ -65,7 +66,7 @@ def audit_rssi(
     lowest = column_minimums(kpis, "Cell", [PUCCH_KPI, PUSCH_KPI]).withColumnsRenamed(
         {PUCCH_KPI: PUCCH_LABEL, PUSCH_KPI: PUSCH_LABEL}
     )
-    current = latest_per_key(site_history, ["sector_name"], "export_date", as_of)
+    current = newest_sites(site_history, as_of=as_of)
     if site_dns is not None:
         evaluated = evaluated_sites(current_cells(site_history, as_of), site_dns)
         current = members(current, "site_name", evaluated)
@@ -79,7 +80,7 @@ def audit_rssi(
 
 def audit_rtwp(
     power: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     max_diff: float,
     threshold: float,
     today: str | date,
@@ -94,7 +95,7 @@ def audit_rtwp(
     if dedupe:
         recent = one_per_key(recent, dedupe)
     current = (
-        latest_per_key(site_history, ["sector_name"], "export_date")
+        newest_sites(site_history)
         .select("sector_name", F.col("moDistName").alias("distName"))
         .distinct()
     )
@@ -111,7 +112,7 @@ def audit_rtwp(
     return at_least(levels, "Max_RTWP_Diff", max_diff), at_least(levels, "Avg_RTWP", threshold)
 
 
-def antenna_tilts(cm: DataFrame, sites: Members | None = None) -> DataFrame:
+def antenna_tilts(cm: Snapshots, sites: Members | None = None) -> DataFrame:
     """Tilt reported by the antenna units of every cell: ``name, mo_distname, antlDN, tilt``.
 
     Channels tie a cell to antenna lines, units list the lines they move.  Units are taken on the
@@ -154,8 +155,8 @@ def antenna_tilts(cm: DataFrame, sites: Members | None = None) -> DataFrame:
     )
 
 
-def _planned(site_history: DataFrame, sites: Members | None, as_of: str | date | None) -> DataFrame:
-    current = latest_per_key(site_history, ["sector_name"], "export_date", as_of)
+def _planned(site_history: History, sites: Members | None, as_of: str | date | None) -> DataFrame:
+    current = newest_sites(site_history, as_of=as_of)
     if sites is not None:
         current = in_sites(current, "moDistName", sites)
     return current.select("site_name", "sector_name", "electrical_tilt")
@@ -163,7 +164,7 @@ def _planned(site_history: DataFrame, sites: Members | None, as_of: str | date |
 
 def audit_tilt_same_sector(
     tilts: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     sites: Members | None = None,
     as_of: str | date | None = None,
 ) -> DataFrame:
@@ -181,7 +182,7 @@ def audit_tilt_same_sector(
 
 def audit_tilt_vs_baseline(
     tilts: DataFrame,
-    site_history: DataFrame,
+    site_history: History,
     sites: Members | None = None,
     as_of: str | date | None = None,
 ) -> DataFrame:

@@ -25,33 +25,45 @@ from netquarry.functions.text import nth_integer, parent_dn, text_before
 from netquarry.operators.aggregates import grouped_sums
 from netquarry.operators.columns import with_report_schema
 from netquarry.operators.filters import Members, members
-from netquarry.operators.snapshots import latest_per_key, one_per_key
+from netquarry.operators.snapshots import one_per_key
+from netquarry.plans.views import History, newest_sites
 
 # The KPI columns of the five reports, in report order.
-LTE_CELL_KPIS = (
-    "LTE_5239a LTE_1072a LTE_5569a LTE_753c LTE_5218f LTE_5116a LTE_5003a LTE_5118a LTE_5017a "
-    "LTE_5123b LTE_5043b LTE_5058b LTE_5240a LTE_1078a LTE_5114a LTE_5289d LTE_5292d LTE_5212a "
-    "LTE_5213a LTE_5427c M8005C306 M8005C307 M8005C308 M8005C309 LTE_1339a LTE_1067c LTE_717b "
-    "LTE_5025h LTE_5218g LTE_291b LTE_5023h LTE_6265a LTE_249b LTE_250b"
-).split()
-LTE_SITE_KPIS = "LTE_5240a LTE_1472a M8014C6 LTE_5408a LTE_1473a LTE_5058b".split()
-LTE_PROBE_KPIS = "LTE_1652a M51132C0 M51132C1".split()
-UMTS_CELL_KPIS = (
-    "RNC_183c RNC_231d RNC_217g RNC_5505b RNC_2697a RNC_5093b RNC_280d RNC_19a M1006C128 M1006C129 "
-    "M1006C130 M1006C131 M1006C132 M1006C133 M1006C134 M1006C135 M1006C136 M1006C137 M1006C138 "
-    "M1006C139 M1006C140 M1006C141 M1006C142 M1006C143 usuarios_dch_ul_ce_new "
-    "usuarios_dch_dl_ce_new RNC_1686a RNC_920b RNC_605b RNC_645c RNC_1687a RNC_921c RNC_913b "
-    "RNC_1036b RNC_1254a M1022C71 RNC_1255c RNC_931a RNC_5043a RNC_5053a RNC_339b RNC_3124a "
-    "RNC_3125a RNC_706b avgprachdelay RNC_609a RNC_1879e"
-).split()
+LTE_CELL_KPIS = [
+    "LTE_5239a", "LTE_1072a", "LTE_5569a", "LTE_753c", "LTE_5218f", "LTE_5116a", "LTE_5003a", "LTE_5118a",
+    "LTE_5017a", "LTE_5123b", "LTE_5043b", "LTE_5058b", "LTE_5240a", "LTE_1078a", "LTE_5114a", "LTE_5289d",
+    "LTE_5292d", "LTE_5212a", "LTE_5213a", "LTE_5427c", "M8005C306", "M8005C307", "M8005C308", "M8005C309",
+    "LTE_1339a", "LTE_1067c", "LTE_717b", "LTE_5025h", "LTE_5218g", "LTE_291b", "LTE_5023h", "LTE_6265a",
+    "LTE_249b", "LTE_250b",
+]
+LTE_SITE_KPIS = [
+    "LTE_5240a", "LTE_1472a", "M8014C6", "LTE_5408a", "LTE_1473a", "LTE_5058b",
+]
+LTE_PROBE_KPIS = [
+    "LTE_1652a", "M51132C0", "M51132C1",
+]
+UMTS_CELL_KPIS = [
+    "RNC_183c", "RNC_231d", "RNC_217g", "RNC_5505b", "RNC_2697a", "RNC_5093b", "RNC_280d", "RNC_19a",
+    "M1006C128", "M1006C129", "M1006C130", "M1006C131", "M1006C132", "M1006C133", "M1006C134", "M1006C135",
+    "M1006C136", "M1006C137", "M1006C138", "M1006C139", "M1006C140", "M1006C141", "M1006C142", "M1006C143",
+    "usuarios_dch_ul_ce_new", "usuarios_dch_dl_ce_new", "RNC_1686a", "RNC_920b", "RNC_605b", "RNC_645c",
+    "RNC_1687a", "RNC_921c", "RNC_913b", "RNC_1036b", "RNC_1254a", "M1022C71", "RNC_1255c", "RNC_931a",
+    "RNC_5043a", "RNC_5053a", "RNC_339b", "RNC_3124a", "RNC_3125a", "RNC_706b", "avgprachdelay", "RNC_609a",
+    "RNC_1879e",
+]
 UMTS_BLANK_KPI = "RNC_2697a"
-UMTS_SITE_KPIS = "RNC_5409a RNC_1255c RNC_1254a".split()
-UMTS_PROBE_KPIS = "RNC_2627b M5126C0 M5126C1".split()
-GSM_CELL_KPIS = (
-    "dcr_5 blck_8i blck_5a_bh c003038 dlq_2_4 ulq_2_4 uav_15b ulq_1a dlq_1a denied trf_377 trf_1d "
-    "c057017 tbf_15a tbf_16b tbf_37d tbf_38d trf_233c trf_234 trf_235b trf_236 dcr_31b blck_5a "
-    "ava_1g ava_68 dis_1 trf_215a trf_214a trf_213c trf_212c c001033 trf_119"
-).split()
+UMTS_SITE_KPIS = [
+    "RNC_5409a", "RNC_1255c", "RNC_1254a",
+]
+UMTS_PROBE_KPIS = [
+    "RNC_2627b", "M5126C0", "M5126C1",
+]
+GSM_CELL_KPIS = [
+    "dcr_5", "blck_8i", "blck_5a_bh", "c003038", "dlq_2_4", "ulq_2_4", "uav_15b", "ulq_1a", "dlq_1a",
+    "denied", "trf_377", "trf_1d", "c057017", "tbf_15a", "tbf_16b", "tbf_37d", "tbf_38d", "trf_233c",
+    "trf_234", "trf_235b", "trf_236", "dcr_31b", "blck_5a", "ava_1g", "ava_68", "dis_1", "trf_215a",
+    "trf_214a", "trf_213c", "trf_212c", "c001033", "trf_119",
+]
 GSM_COPIED_KPIS = {"blck_5a_bh": "blck_5a", "trf_119": "trf_1d"}
 GSM_BLANK_KPI = "ava_68"
 PROBE_COUNTERS = [
@@ -110,9 +122,9 @@ def report_lte_cell(kpis: DataFrame, more: DataFrame | None = None) -> DataFrame
     return _report(_merged(kpis, more), labels, LTE_CELL_KPIS)
 
 
-def sites_by_parent(site_history: DataFrame, marker: str) -> DataFrame:
+def sites_by_parent(site_history: History, marker: str) -> DataFrame:
     """Distinct ``mo_distname, name`` of the sites that hold the current cells."""
-    current = latest_per_key(site_history, ["sector_name"], "export_date")
+    current = newest_sites(site_history)
     return current.select(
         parent_dn("moDistName", marker).alias("mo_distname"), F.col("site_name").alias("name")
     ).distinct()
@@ -181,9 +193,9 @@ def report_lte_site(kpis: DataFrame, probe_frame: DataFrame) -> DataFrame:
     return _report(joined, labels, [*LTE_SITE_KPIS, *LTE_PROBE_KPIS])
 
 
-def controllers(site_history: DataFrame, name_column: str) -> DataFrame:
+def controllers(site_history: History, name_column: str) -> DataFrame:
     """Controller name and the three ids in the DN of every current cell, distinct."""
-    current = latest_per_key(site_history, ["sector_name"], "export_date")
+    current = newest_sites(site_history)
     return current.select(
         F.col(name_column).alias("controller"),
         *[nth_integer("moDistName", n).alias(f"id_{n}") for n in (1, 2, 3)],
@@ -192,7 +204,7 @@ def controllers(site_history: DataFrame, name_column: str) -> DataFrame:
 
 
 def report_umts_cell(
-    kpis: DataFrame, site_history: DataFrame, more: DataFrame | None = None
+    kpis: DataFrame, site_history: History, more: DataFrame | None = None
 ) -> DataFrame:
     known = controllers(site_history, "rnc_name")
     labels = {
@@ -208,7 +220,7 @@ def report_umts_cell(
 
 
 def report_umts_site(
-    kpis: DataFrame, probe_frame: DataFrame, site_history: DataFrame
+    kpis: DataFrame, probe_frame: DataFrame, site_history: History
 ) -> DataFrame:
     known = (
         controllers(site_history, "rnc_name")
@@ -228,7 +240,7 @@ def report_umts_site(
 
 
 def report_gsm_cell(
-    kpis: DataFrame, site_history: DataFrame, more: DataFrame | None = None
+    kpis: DataFrame, site_history: History, more: DataFrame | None = None
 ) -> DataFrame:
     known = controllers(site_history, "bsc_name")
     frame = _merged(kpis, more).drop(*GSM_COPIED_KPIS, GSM_BLANK_KPI)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.operators.filters import Members, drop_incomplete, members
-from netquarry.operators.snapshots import latest_per_key
+from netquarry.plans.views import History, newest_sites
 
 # Fixed value: the cluster of sites that belong to none.
 NO_CLUSTER = "0"
@@ -24,7 +24,7 @@ def site_directory(histories: Mapping[str, DataFrame]) -> DataFrame:
     ``histories`` maps a technology tag to its site history.
     """
     branches = [
-        latest_per_key(history, ["sector_name"], "export_date")
+        newest_sites(history)
         .where(F.col("level_2") != NO_CLUSTER)
         .select(
             "site_name",

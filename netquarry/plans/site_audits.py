@@ -17,10 +17,10 @@ from netquarry.operators.filters import (
     site_part,
 )
 from netquarry.operators.joins import assign_site
-from netquarry.operators.snapshots import latest_snapshot
+from netquarry.operators.snapshots import Snapshots, latest_snapshot
 
 
-def site_list(cm: DataFrame) -> DataFrame:
+def site_list(cm: Snapshots) -> DataFrame:
     """``name, mo_distname`` of every site in the newest snapshot, by name."""
     sites = latest_snapshot(cm, "LNBTS").select(
         "mo_distname", "raml_date", *map_columns("parameters", ["name"])
@@ -28,7 +28,7 @@ def site_list(cm: DataFrame) -> DataFrame:
     return drop_incomplete(sites).select("name", "mo_distname").orderBy("name")
 
 
-def audit_sw_version(cm: DataFrame, sites: Members, version: str) -> DataFrame:
+def audit_sw_version(cm: Snapshots, sites: Members, version: str) -> DataFrame:
     """Whether each site runs the expected version: ``OK`` or ``NO-OK``."""
     current = members(latest_snapshot(cm, "LNBTS"), "mo_distname", sites)
     return current.select(
@@ -39,7 +39,7 @@ def audit_sw_version(cm: DataFrame, sites: Members, version: str) -> DataFrame:
     )
 
 
-def newest_rows_of(cm: DataFrame, classes: list[str]) -> DataFrame:
+def newest_rows_of(cm: Snapshots, classes: list[str]) -> DataFrame:
     """Rows of several classes, each on its own newest day, in one scan.
 
     The days (one row per class) are fetched first and put into the filter as literals, which then
@@ -60,7 +60,7 @@ def newest_rows_of(cm: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def audit_parameters(
-    cm: DataFrame,
+    cm: Snapshots,
     template: DataFrame,
     sites: DataFrame,
     literal_sites: bool = False,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job of this package wants.  Everything here may be set at run time, so they can also be
 # applied to a session somebody else built.
@@ -29,9 +29,10 @@ def build_session(master: str | None = None, app: str = "netquarry", **settings:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session, but for those its owner has set."""
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -47,3 +48,14 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="netquarry-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def resolved(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back.
+
+    What several plans read is computed once, and the planner knows the size of the file: it broadcasts
+    a small side of a join without having to guess.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

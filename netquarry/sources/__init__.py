@@ -1,5 +1,6 @@
 """Inputs and outputs."""
 
+from netquarry.sources.dump import Dump
 from netquarry.sources.readers import (
     kpi_catalog,
     read_cm,
@@ -12,6 +13,8 @@ from netquarry.sources.readers import (
 )
 from netquarry.sources.writers import (
     bundle_audits,
+    deliver,
+    deliver_audits,
     write_audit,
     write_bundle,
     write_class_tables,
@@ -20,7 +23,10 @@ from netquarry.sources.writers import (
 )
 
 __all__ = [
+    "Dump",
     "bundle_audits",
+    "deliver",
+    "deliver_audits",
     "kpi_catalog",
     "read_cm",
     "read_counters",

@@ -83,20 +83,15 @@ def bundle_audits(
     """Gather audits of different shapes as rows ``(audit, row as JSON)``.
 
     An audit may be a function; one that raises while its plan is built is left out and reported in
-    the second value.  Each name appears once.
+    the second value.  Each name appears once.  The bundle is one plan, so an audit that fails in a task
+    fails all of it; :func:`deliver_audits` writes them one by one.
     """
     gathered: DataFrame | None = None
     skipped: dict[str, str] = {}
     for name, audit in audits.items():
         try:
             frame = audit() if callable(audit) else audit
-            rows = frame.select(
-                F.lit(name).alias("audit"),
-                F.to_json(
-                    F.struct(*[F.col(f"`{c}`") for c in frame.columns]),
-                    {"ignoreNullFields": "false"},
-                ).alias("row"),
-            )
+            rows = _json_rows(frame).select(F.lit(name).alias("audit"), "row")
         except Exception as error:  # the other audits must still be delivered
             skipped[name] = f"{type(error).__name__}: {error}"
             continue
@@ -104,5 +99,45 @@ def bundle_audits(
     return gathered, skipped
 
 
+def deliver(
+    parts: Mapping[str, DataFrame | Callable[[], DataFrame]],
+    write: Callable[[str, DataFrame], object],
+    parallel: int = 4,
+) -> tuple[list[str], dict[str, str]]:
+    """Write each deliverable by itself; returns the names that were delivered and what stopped the others.
+
+    A part may be a function.  Whether it fails while its plan is built or in a task, the others are still
+    written, a few at a time.
+    """
+
+    def attempt(name: str) -> str | None:
+        part = parts[name]
+        try:
+            write(name, part() if callable(part) else part)
+        except Exception as error:  # the others must still be delivered
+            return f"{type(error).__name__}: {error}"
+        return None
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        outcome = dict(zip(parts, pool.map(attempt, parts), strict=True))
+    return [n for n, error in outcome.items() if error is None], {n: e for n, e in outcome.items() if e is not None}
+
+
+def deliver_audits(
+    audits: Mapping[str, DataFrame | Callable[[], DataFrame]], path: str, parallel: int = 4
+) -> tuple[list[str], dict[str, str]]:
+    """Write the audits of a run as one bundle of rows ``(audit, row as JSON)``, each judged by itself."""
+
+    def write(name: str, frame: DataFrame) -> None:
+        _json_rows(frame).write.mode("overwrite").parquet(f"{path}/audit={name}")
+
+    return deliver(audits, write, parallel)
+
+
+def _json_rows(frame: DataFrame) -> DataFrame:
+    whole = F.struct(*[F.col(f"`{c}`") for c in frame.columns])
+    return frame.select(F.to_json(whole, {"ignoreNullFields": "false"}).alias("row"))
+
+
 def write_bundle(bundle: DataFrame, path: str) -> None:
     bundle.write.mode("overwrite").partitionBy("audit").parquet(path)

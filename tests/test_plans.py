@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from netquarry import plans as P
 from netquarry.plans import reports as Rep
-from netquarry.plans.kpi import check_formula, selected_kpis
+from netquarry.operators.filters import probable_members
+from netquarry.plans.kpi import check_formula, counter_source, selected_kpis
 from netquarry.plans.selection import choices, within_cascade
 from netquarry.sources.readers import CATALOG_SCHEMA, CM_SCHEMA
 
@@ -293,6 +294,89 @@ def test_kpis_of_one_table_share_a_pass(spark):
         check_formula(counters["ho"], "K", "sum(n")
 
 
+@pytest.mark.parametrize("formula", ["1", "'x'", "n + sum(n)", "n", "sum(n) over ()", "explode(collect_list(n))"])
+def test_only_aggregates_are_formulas(spark, formula):
+    _, counters, _ = kpi_setup(spark)
+    with pytest.raises(ValueError):
+        check_formula(counters["ho"], "K", formula)
+
+
+@pytest.mark.parametrize("formula", ["round(100 * sum(n) / nullif(count(*), 0), 2)", "max(n) - min(n) + 1", "100-100*sum(n)/sum(n)"])
+def test_nested_aggregates_are_formulas(spark, formula):
+    _, counters, _ = kpi_setup(spark)
+    check_formula(counters["ho"], "K", formula)
+
+
+@pytest.mark.parametrize(
+    "condition",
+    [
+        "", "a.n > 1", "a.distName = b.distName OR a.measTime = b.measTime", "NOT (a.n > 1 AND a.distName = b.distName AND b.m > 1)",
+        "a.distName = b.distName AND a.n = 1 OR b.m = 2", "a.distName = a.distName",
+    ],
+)
+def test_tables_must_be_linked(spark, condition):
+    _, counters, _ = kpi_setup(spark)
+    with pytest.raises(ValueError):
+        counter_source(counters, "ho a, pw b", condition)
+
+
+def test_three_tables_join_by_their_equalities(spark):
+    _, counters, _ = kpi_setup(spark)
+    condition = "a.distName = c.distName AND (b.m > 0 OR a.n > 0) AND c.measTime = a.measTime AND b.distName = c.distName AND b.measTime=c.measTime and"
+    source, first = counter_source({**counters, "more": counters["ho"]}, "ho a, pw b, more c", condition)
+    plan = source._jdf.queryExecution().executedPlan().toString()
+    assert first == "a" and "CartesianProduct" not in plan and "NestedLoop" not in plan and source.count() == 3
+    # A range on the first table's time holds for all whose time must be equal.
+    bounded, _ = counter_source(counters, "ho a, pw b", "a.distName=b.distName AND a.measTime=b.measTime", {"measTime": lambda t: t < "2024-01-01 05:00:00"})
+    assert bounded.count() == 1
+    assert bounded._jdf.queryExecution().analyzed().toString().count("2024-01-01 05:00:00") >= 2
+
+
+def test_levels_share_a_scan(spark, rows):
+    day = F.date_format("measTime", "dd").alias("day")
+    got = rows(run_kpis(spark, ["K1"], element=["set", "cell"]), day, "Level", "Element", "Value")
+    assert got == [("01", "cell", "c1", 8.0), ("01", "cell", "c2", 3.0), ("01", "set", "WS", 11.0), ("31", "cell", "c1", 6.0), ("31", "set", "WS", 6.0)]
+
+
+def test_objects_without_a_label_share_a_row(spark):
+    catalog, counters, _ = kpi_setup(spark)
+    more = catalog.where("KPI_Id = 'K1'").union(
+        spark.createDataFrame([("K7", "seven", "LTE", "sector_name", "sum(a.m)", "pw a", "")], CATALOG_SCHEMA)
+    )
+    sites = site_history(spark, {"dn": "d1", "sector": "c1", "site": None}, {"dn": "d2", "sector": "c2", "site": None})
+    frame = P.kpi_frame(counters, more, "LTE", ["K1", "K7"], "2024-01-01", "2024-01-01", sites, groupby="site_name")
+    assert [tuple(r) for r in frame.collect()] == [("2024-01-01 00:00:00", None, 17.0, 17.0)]
+
+
+def test_counters_of_other_objects_are_not_shuffled(spark):
+    """Above the broadcast limit counters are shuffled to the view, but those of unwanted objects are not."""
+    catalog, _, _ = kpi_setup(spark)
+    counters = spark.range(40000).select(
+        F.lit("2024-01-01 06:00:00").cast("timestamp").alias("measTime"), F.concat(F.lit("d"), F.col("id") % 4000).alias("distName"), F.lit(1).alias("n")
+    )
+    sites = site_history(spark, *[{"dn": f"d{k}", "sector": f"c{k}", "site": f"S{k}"} for k in range(100)])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        query = P.kpi_query(catalog, ["K1"], {"ho": counters}, {"LTE": sites}, "cell", "day", "2024-01-01", "2024-01-01", "UTC", cells=[f"c{k}" for k in range(40)])
+        assert {r["Value"] for r in query.collect()} == {10.0} and query.count() == 40
+        plan = query._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold") if limit is None else spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [shiftright" in plan
+    kept = probable_members(counters, F.col("distName"), spark.createDataFrame([(f"d{k}",) for k in range(40)], "x string"))
+    assert 400 <= kept.count() < 500
+
+
+def test_shared_views_are_resolved_once(spark):
+    history = site_history(spark, {"dn": "d1", "sector": "c1", "site": "S1"})
+    views = P.SiteViews(history)
+    assert views.newest() is views.newest() and views.at("sector_name") is views.at("sector_name")
+    assert views.newest(as_of="1990-01-01").count() == 0 and views.newest().count() == 1
+    plan = views.at("sector_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 def test_kpi_pivot(spark, rows):
     long = run_kpis(spark, ["K1"], element="cell").withColumn("measTime", F.col("measTime").cast("string"))
     assert P.kpi_pivot(long).columns == ["measTime", "Element", "K1 - one"]
@@ -438,15 +522,46 @@ def test_publish_daily(spark):
     assert P.flatten_items(cm, D1) == {}
 
 
-def test_tables_of_one_name_are_refused(spark):
-    classes = cm_rows(spark, (D1, "LNCEL", "a", {}, {"p": "1"}), (D1, "Lncel", "b", {}, {"p": "1"}))
-    kinds = cm_rows(
-        spark, (D1, "LNCEL", "a", {}, {"p": "1"}, {"X": ["1"]}), (D1, "LNCEL_X", "b", {}, {"p": "1"})
+def test_names_that_clash_lose_nothing(spark):
+    """Classes equal but for case, a class called like another one's list, parameters called like ids."""
+    cm = cm_rows(
+        spark,
+        (D1, "LNCEL", "a", {"A": "1", "PLMN": "x"}, {"p": "1", "A_id": "7", "moversion": "z", "PLMN_id": "q"}, {"X": ["1"]}, {"X": [{"f": "1"}]}),
+        (D1, "Lncel", "b", {"A": "2"}, {"q": "t"}, {"x": ["2", "v"]}),
+        (D1, "LNCEL_X", "c", {"A": "3"}, {"r": "5"}),
+        (D1, "A_B", "d", {}, None, {"C": ["1"]}),
+        (D1, "A", "e", {}, None, {"B_C": ["2"]}),
+    )
+    tables = P.publish_daily(cm)
+    assert sorted(tables) == ["A_B_C", "A_B__C", "LNCEL", "LNCEL_X", "LNCEL__X", "LNCEL__X__LIST"]
+    cells = tables["LNCEL"]
+    assert cells.columns == ["A_id", "PLMN_id", "moVersion", "A_id_parameter", "PLMN_id_parameter", "moversion_parameter", "p", "q"]
+    got = sorted(tuple(r) for r in cells.select("A_id", "A_id_parameter", "moversion_parameter", "p", "q").collect())
+    assert got == [(1, "7", "z", "1", None), (2, None, None, None, "t")]
+    assert [tuple(r) for r in tables["LNCEL_X"].select("A_id", "r").collect()] == [(3, 5)]
+    assert [tuple(r) for r in tables["LNCEL__X"].select("f", "A_id").collect()] == [(1, 1)]
+    assert sorted(tuple(r) for r in tables["LNCEL__X__LIST"].select("A_id", "optionId", "Value").collect()) == [(1, 0, "1"), (2, 0, "2"), (2, 1, "v")]
+    assert [r["Value"] for r in tables["A_B_C"].collect() + tables["A_B__C"].collect()] == [2, 1]
+    assert len(tables) == 6
+
+
+def test_all_items(spark):
+    cm = cm_rows(
+        spark,
+        (D1, "C", "a", {"X": "1"}, None, None, {"l": [{"f": "1"}, {"f": "x", "z": "1"}, {"g": "3"}]}),
+        (D1, "C", "b", {"X": "2"}, None, None, {"l": []}),
+        (D1, "C", "c", {}, None, None, {"m": [{"h": "1"}]}),
     )
-    with pytest.raises(ValueError, match="LNCEL"):
-        P.flatten_parameters(classes, D1)
-    with pytest.raises(ValueError, match="LNCEL_X"):
-        P.publish_daily(kinds)
+    table = P.flatten_items(cm, D1, all_items=True)["C_L"]
+    assert dict(table.dtypes) == {"X_id": "bigint", "itemId": "int", "f": "string", "g": "bigint", "z": "bigint", "PLMN_id": "string"}
+    got = sorted((tuple(r) for r in table.select("X_id", "itemId", "f", "g", "z").collect()), key=repr)
+    assert got == [(0, None, "0", 0, 0), (1, 0, "1", 0, 0), (1, 1, "x", 0, 1), (1, 2, "0", 3, 0), (2, None, "0", 0, 0)]
+
+
+def test_flattening_discovers_in_one_job_without_joins(spark):
+    cm = cm_rows(spark, (D1, "LNCEL", "a", {"X": "1"}, {"p": "1"}, {"l": ["1"]}, {"m": [{"f": "1"}]}))
+    for table in P.publish_daily(cm).values():
+        assert "Join" not in table._jdf.queryExecution().executedPlan().toString()
 
 
 def test_probe_sites_are_filtered_before_copies_are_dropped(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from netquarry import sources as IO
 from netquarry.operators.aggregates import time_rollup
-from netquarry.session import work_folder
+from netquarry.operators.snapshots import latest_snapshot
+from netquarry.session import prepare, work_folder
 from netquarry.streaming import stream_rollup
 
 
@@ -63,6 +64,54 @@ def test_audit_files(spark, tmp_path):
     assert spark.read.csv(paths["summary"], header=True).count() == 2
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_dump_reads_the_files_of_one_day(spark, tmp_path, as_table):
+    """The newest day is looked up in the listing, per class, and only its files are read."""
+    days = spark.range(40).select(F.expr("date_add(date'2024-01-01', cast(id as int))").alias("raml_date"), "id")
+    cm = days.select(
+        "raml_date", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("mo_class"), F.concat(F.lit("dn"), "id").alias("mo_distname")
+    ).where("mo_class = 'A' or id < 30")
+    location = "dump_table" if as_table else str(tmp_path / "cm")
+    writer = cm.write.partitionBy("raml_date", "mo_class")
+    writer.mode("overwrite").saveAsTable(location) if as_table else writer.parquet(location)
+    dump = IO.Dump(spark, location)
+    assert str(dump.newest()) == "2024-02-09" and str(dump.newest("B")) == "2024-01-30" and dump.newest("C") is None
+    for dated_by, expected in ((None, "dn39"), ("B", "dn29")):
+        newest = latest_snapshot(dump, "A", dated_by)
+        assert [r["mo_distname"] for r in newest.collect()] == [expected]
+        if not as_table:
+            assert len({f.split("raml_date=")[1][:10] for f in newest.inputFiles()}) == 1
+        plan = newest._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Subquery" not in plan
+    assert latest_snapshot(dump, "C").count() == 0
+    if as_table:
+        spark.sql("DROP TABLE dump_table")
+
+
+def test_a_deliverable_that_fails_in_a_task_leaves_the_others(spark, tmp_path):
+    good = spark.range(3).withColumn("x", F.lit(None).cast("string"))
+    bad = spark.range(3).select(F.raise_error(F.concat(F.lit("row "), "id")).alias("x"))
+
+    def missing():
+        raise RuntimeError("no counters")
+
+    done, failed = IO.deliver_audits({"good": good, "bad": bad, "late": missing, "more": lambda: good}, str(tmp_path / "bundle"))
+    assert done == ["good", "more"] and sorted(failed) == ["bad", "late"] and "row" in failed["bad"]
+    got = spark.read.parquet(str(tmp_path / "bundle"))
+    assert sorted((r["audit"], r["row"]) for r in got.collect())[0] == ("good", '{"id":0,"x":null}') and got.count() == 6
+
+
+def test_prepare_keeps_what_its_owner_set(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert prepare(spark).conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+        spark.conf.unset("spark.sql.adaptive.forceOptimizeSkewedJoin")
+        assert prepare(spark).conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_work_folder_uses_the_shared_setting(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = work_folder(spark, "x"), work_folder(spark, "x")
