@@ -3,7 +3,8 @@
 Words one edit apart share a bigram that the edit did not touch.  Of every word's rarest bigrams two
 that do not overlap are its pivots: one edit can touch only one of them, so the other one occurs in the
 other word too, at most one place off, and among the rarest bigrams of the word whose rarest reach
-further.  Only these are looked up, by bigram, place and length, and what meets is verified.
+further.  The edit lies on one side of it, so the word is the same on the other side.  Only such words
+are looked up, by bigram, place, length and the side that is the same, and what meets is verified.
 """
 
 from __future__ import annotations
@@ -31,31 +32,22 @@ SHORT_LENGTH = 100
 
 Batches = Iterator[pa.RecordBatch]
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 _KEYS = pa.schema(
     [
-        ("pivot", pa.bool_()), ("gram", pa.int32()), ("place", pa.int32()), ("length", pa.int32()),
-        ("reach", pa.int32()), ("letters", pa.int64()), ("word", pa.string()), ("n", pa.int64()),
+        ("pivot", pa.bool_()), ("key", pa.int64()), ("reach", pa.int32()), ("grams", pa.int64()),
+        ("word", pa.string()), ("n", pa.int64()),
     ]
 )
-_KEYS_DDL = "pivot boolean, gram int, place int, length int, reach int, letters long, word string, n long"
+_KEYS_DDL = "pivot boolean, key long, reach int, grams long, word string, n long"
 
 
 # ---- words ------------------------------------------------------------------------------------
 
 
-def _damaged(doc_id: str, run: str, every: int) -> str:
-    h = zlib.crc32(f"{doc_id}:{run}".encode())
-    if h % every:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1 :]
-
-
 def _counted(least: int, every: int) -> Callable[[Batches], Batches]:
     """Counts of the words of one task, let go when there are many."""
+    run_of_letters = re.compile(f"[A-Za-zÀ-ÿ]{{{least},}}")  # a shorter run gives no word
 
     def rows(counts: Counter) -> pa.RecordBatch:
         return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_WORDS)
@@ -64,12 +56,16 @@ def _counted(least: int, every: int) -> Callable[[Batches], Batches]:
         counts: Counter = Counter()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                found = Counter(_RUN.findall(text.as_py().translate(_LOWER)))
-                for word, n in found.items():
-                    if len(word) >= least:
-                        word = _damaged(doc_id, word, every)
-                        if len(word) >= least:
-                            counts[word] += n
+                lower = text.as_py().encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # A-Z only
+                start = zlib.crc32(f"{doc_id}:".encode())
+                for word, n in Counter(run_of_letters.findall(lower)).items():
+                    h = zlib.crc32(word.encode(), start)
+                    if h % every == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                        if len(word) < least:
+                            continue
+                    counts[word] += n
                 if len(counts) > HELD_WORDS:
                     yield rows(counts)
                     counts = Counter()
@@ -116,21 +112,26 @@ def pivots(grams: Sequence[tuple[int, int]], wanted: int, width: int = GRAM) ->
     return best[wanted][1]
 
 
-def _letters(word: str) -> int:
-    """The set of letters as 64 bits; one edit changes at most two of them."""
-    bits = 0
-    for c in word:
-        bits |= 1 << (ord(c) & 63)
-    return bits - (1 << 64) if bits >> 63 else bits
+def _key(rank: int, place: int, length: int, left: bool, part: str) -> int:
+    """Hash of a gram, where it is, and the part of the word to its left or right."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest(f"{rank}:{place}:{length}:{left:d}:{part}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _places(place: int, length: int) -> list[tuple[int, int]]:
-    """Where an untouched gram can be in a word one edit away, and that word's length."""
-    return [
-        (place, length),
-        (place, length + 1), (place + 1, length + 1),
-        (place, length - 1), (place - 1, length - 1),
-    ]
+def _look_ups(word: str, rank: int, place: int) -> list[int]:
+    """Keys under which a word one edit away has the gram at ``place``, which the edit did not touch.
+
+    A replaced letter leaves either side the same.  One inserted or deleted behind the gram leaves the
+    left side and the place, one in front of it the right side, and moves the gram.
+    """
+    length, left, right = len(word), word[:place], word[place + GRAM :]
+    found = [_key(rank, place, length, True, left), _key(rank, place, length, False, right)]
+    for step in (1, -1):
+        found.append(_key(rank, place, length + step, True, left))
+        found.append(_key(rank, place + step, length + step, False, right))
+    return found
 
 
 def _keys(rank: dict[str, int], weight: dict[str, int]) -> Callable[[Batches], Batches]:
@@ -138,31 +139,29 @@ def _keys(rank: dict[str, int], weight: dict[str, int]) -> Callable[[Batches], B
 
     Of a gram that a word repeats the first ``OWN`` occurrences may become pivots, enough to hold disjoint
     ones.  One edit makes no more than ``GRAM * EDITS`` new grams, so they are among the first ``OTHER``
-    occurrences of the other word.
+    occurrences of the other word.  ``grams`` is the set of all grams as 64 bits, of which one edit changes
+    ``2 * GRAM`` at most.
     """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             out: list[tuple] = []
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                length = len(word)
-                grams = sorted((rank[word[p : p + GRAM]], p) for p in range(length - GRAM + 1))
+                grams = sorted((rank[word[p : p + GRAM]], p) for p in range(len(word) - GRAM + 1))
                 reach = grams[min(GRAM * EDITS, len(grams) - 1)][0]
-                prefix, times = [], Counter()
+                bits, prefix, times = 0, [], Counter()
                 for r, p in grams:
-                    if r > reach:
-                        break
-                    times[r] += 1
-                    prefix.append((r, p, times[r]))
-                letters = _letters(word)
-                out += [(False, r, p, length, reach, letters, word, n) for r, p, k in prefix if k <= OTHER]
-                chosen = pivots([(p, weight[word[p : p + GRAM]]) for _, p, k in prefix if k <= OWN], EDITS + 1)
-                out += [
-                    (True, rank[word[p : p + GRAM]], q, other, reach, letters, word, n)
-                    for p, _ in chosen
-                    for q, other in _places(p, length)
-                    if 0 <= q <= other - GRAM and other >= LEAST_LENGTH
-                ]
+                    bits |= 1 << (r & 63)
+                    if r <= reach:
+                        times[r] += 1
+                        prefix.append((r, p, times[r]))
+                bits -= (bits >> 63) << 64
+                for r, p, k in prefix:
+                    if k <= OTHER:
+                        out.append((False, _key(r, p, len(word), True, word[:p]), reach, bits, word, n))
+                        out.append((False, _key(r, p, len(word), False, word[p + GRAM :]), reach, bits, word, n))
+                for p, _ in pivots([(p, weight[word[p : p + GRAM]]) for _, p, k in prefix if k <= OWN], EDITS + 1):
+                    out += [(True, key, reach, bits, word, n) for key in _look_ups(word, rank[word[p : p + GRAM]], p)]
             columns = zip(*out, strict=True) if out else [[] for _ in _KEYS]
             yield pa.record_batch([pa.array(list(c), t.type) for c, t in zip(columns, _KEYS, strict=True)], schema=_KEYS)
 
@@ -183,14 +182,14 @@ def near_words(words: DataFrame) -> DataFrame:
     keys = stored(words.mapInArrow(_keys(rank, weight), _KEYS_DDL), "spelling-keys")
     index = keys.where("not pivot").drop("pivot")
     asked = keys.where("pivot").select(
-        "gram", "place", "length", F.col("reach").alias("reach_a"), F.col("letters").alias("letters_a"),
-        F.col("word").alias("word_a"), F.col("n").alias("n_a"),
+        "key", F.col("reach").alias("reach_a"), F.col("grams").alias("grams_a"), F.col("word").alias("word_a"),
+        F.col("n").alias("n_a"),
     )
-    like = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= 2 * EDITS
+    like = F.bit_count(F.col("grams").bitwiseXOR(F.col("grams_a"))) <= 2 * GRAM * EDITS
     other = (F.col("reach_a") <= F.col("reach")) & like & (F.col("word_a") != F.col("word"))
     # Spark's function takes quadratic time, so long words are compared by their common ends instead.
-    short = F.col("length") <= SHORT_LENGTH
-    met = stored(asked.join(index, ["gram", "place", "length"]).where(other & (~short | one_edit())), "spelling-met")
+    short = F.length("word") <= SHORT_LENGTH
+    met = stored(asked.join(index, "key").where(other & (~short | one_edit())), "spelling-met")
     pairs = ["word_a", "n_a", "word", "n"]
     met = met.where(short).select(*pairs).union(
         met.where(~short).select(*pairs).mapInArrow(_long_pairs, "word_a string, n_a long, word string, n long")
