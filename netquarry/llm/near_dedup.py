@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import keep_matching, stored, whole_text
+from netquarry.llm.shingles import Shingles, connected_components, mix64
+from netquarry.llm.signature_tree import first_links, full_sets, remaining_links
 
-SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
 BANDS, ROWS_PER_BAND = 40, 5
 HASHES = BANDS * ROWS_PER_BAND
@@ -20,83 +21,10 @@ BITS = 2
 # below the bound and less are not looked at.
 MARGIN = 0.185
 LONGS = -(-HASHES // 64)
-MANY = 64
-HUBS = 4
 
 _SKETCH = "doc_id long, n_shingles long, digest string, keys array<long>, planes array<long>"
 
 
-# Odd factors of the hashes.
-_BYTE_FACTOR = 0x9E3779B97F4A7C15
-_WORD_FACTORS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOWER = np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64)
-
-
-class Shingles:
-    """Sets of word shingles as sorted 64-bit hashes.
-
-    A word's hash is a polynomial over its bytes, taken as a difference of running sums, so that all words
-    of a text are hashed in a few vector operations.  Long texts are hashed in pieces that end between words.
-    """
-
-    PIECE = 1 << 18
-
-    def __init__(self, words: int = SHINGLE_WORDS) -> None:
-        self.words = words
-        self._power, self._inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def of(self, text: str) -> np.ndarray:
-        found = self.all_of(text)
-        found.sort()
-        return found[np.append(True, found[1:] != found[:-1])] if len(found) else found
-
-    def all_of(self, text: str) -> np.ndarray:
-        """The hashes in order of the text, repeated ones too."""
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        found, start = [], 0
-        while start < len(data):
-            end = min(start + self.PIECE, len(data))
-            while end < len(data):  # only A-Z, and only ASCII blanks, are special
-                ahead = np.flatnonzero(_BLANK[data[end : end + self.PIECE]])
-                end += int(ahead[0]) if len(ahead) else len(data[end : end + self.PIECE])
-                if len(ahead):
-                    break
-            found.append(self._words(data[start:end]))
-            start = end
-        hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-        width = min(self.words, len(hashes))
-        if not width:
-            return hashes
-        mixed = np.full(len(hashes) - width + 1, np.uint64(width))
-        for i in range(width):
-            mixed += hashes[i : len(hashes) - width + 1 + i] * np.uint64(_WORD_FACTORS[i % 5] + 2 * (i // 5))
-        return mix64(mixed)
-
-    def _words(self, data: np.ndarray) -> np.ndarray:
-        while len(self._power) <= len(data):
-            self._grow()
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = ~_BLANK[data]
-        edge = np.diff(inside)
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LOWER[data] * self._power[: len(data)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
-
-    def _grow(self) -> None:
-        n = len(self._power)
-        inverse = pow(_BYTE_FACTOR, -1, 1 << 64)
-        self._power = np.concatenate([self._power, self._power * np.uint64(pow(_BYTE_FACTOR, n, 1 << 64))])
-        self._inverse = np.concatenate([self._inverse, self._inverse * np.uint64(pow(inverse, n, 1 << 64))])
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _factors() -> tuple[np.ndarray, np.ndarray]:
     drawn = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     low = drawn.astype(np.uint32)
@@ -145,163 +73,35 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def estimate(left: str, right: str) -> Column:
-    """Similarity from two packed signatures.
+def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Similarities of all pairs of two lists of packed signatures.
 
     Minima agree with probability J; those that do not have equal low bits by chance once in
     ``2**BITS``, for which the share of agreements is corrected.
     """
-    unlike = F.lit(0)
-    for i in range(LONGS):
-        wrong = F.lit(0).cast("long")
-        for bit in range(BITS):
-            at = bit * LONGS + i
-            wrong = wrong.bitwiseOR(F.col(left)[at].bitwiseXOR(F.col(right)[at]))
-        unlike = unlike + F.bit_count(wrong)
+    wrong = np.zeros((len(left), len(right), LONGS), np.int64)
+    for bit in range(BITS):
+        plane = slice(bit * LONGS, (bit + 1) * LONGS)
+        wrong |= left[:, None, plane] ^ right[None, :, plane]
+    unlike = np.bitwise_count(wrong.view(np.uint64)).sum(axis=2)
     chance = 2.0**-BITS
-    return (1 - unlike / F.lit(float(HASHES)) - chance) / (1 - chance)
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full shingle sets are similar enough."""
-    sets = Shingles()
-    for batch in batches:
-        keep, last, a = [], None, None
-        for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if left != last:
-                last, a = left, sets.of(left)
-            b = sets.of(right)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= LEAST_PERCENT * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _confirmed(pairs: DataFrame, planes: DataFrame, texts: DataFrame, purpose: str) -> DataFrame:
-    """Those of the pairs ``a, b`` that the signatures and then the full sets confirm."""
-    of_a = planes.select(F.col("rep").alias("a"), F.col("planes").alias("planes_a"))
-    of_b = planes.select(F.col("rep").alias("b"), F.col("planes").alias("planes_b"))
-    likely = pairs.join(of_a, "a").join(of_b, "b")
-    likely = likely.where(estimate("planes_a", "planes_b") >= LEAST_PERCENT / 100 - MARGIN).select("a", "b")
-    likely = stored(likely, f"{purpose}-likely")
-    text_a = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    text_b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return stored(likely.join(text_b, "b").join(text_a, "a").mapInArrow(_linked, "a long, b long"), purpose)
+    return (1 - unlike / HASHES - chance) / (1 - chance)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (the smallest node reachable) of the nodes of ``edges`` (``a, b``).
-
-    Every node takes the smallest label around it and then the label of its label, until nothing
-    changes.  Each round is written, labels are never collected.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()
-    both = stored(both, "components-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = stored(labels, "components")
-    while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
-        near = around.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
-        step = stored(step, "components-step")
-        of = step.select(F.col("node").alias("next"), F.col("next").alias("over"))
-        jumped = step.join(of, "next", "left").select("node", "component", F.least("next", "over").alias("next"))
-        jumped = stored(jumped, "components")
-        changed = jumped.where("component != next").limit(1).count()
-        labels = jumped.select("node", F.col("next").alias("component"))
-        if not changed:
-            return labels
+def _likely(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
+    return estimate(np.array(left, np.int64), np.array(right, np.int64)) >= LEAST_PERCENT / 100 - MARGIN
 
 
-def _mixed_buckets(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members, with their components, of buckets that hold more than one component.
-
-    ``wide`` tells that more than ``MANY`` members lie outside the bucket's largest component, of which
-    ``hub`` is a member: the most central one in the first turn, any in a later one.
-    """
-    named = members.join(labels, members["rep"] == labels["node"], "left").select(
-        "key", "rep", "central", F.coalesce("component", "rep").alias("component")
-    )
-    named = stored(named, "near-members")
-    rank = F.col("central") if turn == 1 else F.xxhash64("rep", "key", F.lit(turn))
-    sizes = named.groupBy("key", "component").agg(
-        F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), -F.col("rep"))).alias("h")
-    )
-    largest = F.max(F.struct("n", F.col("h.r").alias("r"), (-F.col("h.col2")).alias("hub"), "component"))
-    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), largest.alias("l"), F.count("*").alias("components"))
-    buckets = buckets.where("components > 1").select(
-        "key", (F.col("n") - F.col("l.n") > MANY).alias("wide"), F.col("l.hub").alias("hub"),
-        F.col("l.component").alias("hub_component"),
-    )
-    return stored(named.join(buckets, "key"), "near-mixed")
-
-
-def _star_pairs(mixed: DataFrame) -> DataFrame:
-    """For each member the hubs that it meets most often, ``HUBS`` at most (all others come last)."""
-    met = mixed.where("component != hub_component and rep != hub").groupBy("rep", "hub").count()
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.col("count").desc(), "hub"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-
-
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets = Shingles()
-    for batch in batches:
-        for rep, component, text in zip(*(batch.column(c) for c in ("rep", "component", "text")), strict=True):
-            found = sets.of(text.as_py())
-            n = len(found)
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(n, rep.as_py())), pa.array(np.full(n, component.as_py())),
-                    pa.array(found.view(np.int64)), pa.array(np.full(n, n)),
-                ],
-                names=["rep", "component", "key", "size"],
-            )
-
-
-def _rare_shingles(wide: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, rep, component``: each document's rarest shingles, of which linked ones share at least one.
-
-    With similarity ``t`` two sets share ``t`` of either, so the first ``n - t * n + 1`` shingles of both
-    in a common order must meet; with the rarest first, a common passage comes last.
-    """
-    rows = wide.join(texts, "rep").mapInArrow(_shingle_rows, "rep long, component long, key long, size long")
-    rows = stored(rows, "near-shingles")
-    ordered = Window.partitionBy("rep").orderBy("count", "key")  # a document's shingles
-    place = F.row_number().over(ordered)
-    first = F.col("size") - F.ceil(F.col("size") * LEAST_PERCENT / 100) + 1
-    ranked = rows.join(rows.groupBy("key").count(), "key").withColumn("place", place).where(F.col("place") <= first)
-    ranked = stored(ranked.select("key", "rep", "component"), "near-rare-shingles")
-    mixed = ranked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    return ranked.join(mixed.select("key"), "key")
-
-
-def _cross_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs of one bucket that lie in different components.
-
-    After the turns of few comparisons a group of near copies is one component, so few of its members
-    are left to compare with the rest.  The members of ``wide`` buckets, unlike documents with a long
-    common passage, meet by their rarest shingles instead, which loses no link.
-    """
-    plain = mixed.where("not wide").select("key", "rep", "component")
-    wide = _rare_shingles(mixed.where("wide").select("rep", "component").distinct(), texts)
-    found = None
-    for rows in (plain, wide):
-        right = rows.select("key", F.col("rep").alias("b"), F.col("component").alias("component_b"))
-        pairs = rows.join(right, "key").where("rep < b and component != component_b").select(F.col("rep").alias("a"), "b")
-        found = pairs if found is None else found.union(pairs)
-    return found.distinct()
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per document.
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
     0.75.  Equal sets are one class, represented by the smallest id.  Representatives get 200 minima;
-    five of them make a band key, the low two bits of all of them the packed signature.  In each of
-    the ``turns`` but the last a document is compared with ``HUBS`` members of the largest components of
-    its buckets, which are numbers of pairs linear in the rows; in the last turn all pairs of a bucket
-    are that are still in different components.  Candidates pass the
-    signatures' corrected estimate and are confirmed on their full sets.  A pair at exactly 0.75 shares
-    no band with probability 2e-5.
+    five of them make a band key, the low two bits of all of them the packed signature.  Documents that
+    share a band key are candidates.  They meet in leaves of neighbouring documents, where the signatures'
+    corrected estimate picks pairs to be confirmed on their full sets; pairs of one component are not
+    compared, so a group of copies costs in proportion to its members, and all others are, whatever the
+    size of a bucket.  A pair at exactly 0.75 shares no band with probability 2e-5.
 
     A text of fewer words is one shingle; null text or one without words has no shingles and is linked
     with nothing.  Rows of one id count as one document where links are followed, but each gets its row
@@ -316,29 +116,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "n_shingles", "rep", F.when(own, F.col("keys")).alias("keys"), F.when(own, F.col("planes")).alias("planes")
     )
     classed = stored(classed, "near-classes")
-    chosen = classed.where("keys is not null")
-    planes = chosen.select("rep", "planes").dropDuplicates(["rep"])
+    chosen = classed.where("keys is not null").dropDuplicates(["rep"])
     bands = chosen.select("rep", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(bands.join(shared, "key").select("key", "rep", "n"), "near-buckets")
-    # The sum of the sizes of its buckets: the text that others were copied from has the largest.
-    central = members.groupBy("rep").agg(F.sum("n").alias("central"))
-    members = stored(members.select("key", "rep").join(central, "rep"), "near-members")
-    texts = stored(
-        rows.join(central.select(F.col("rep").alias("involved")), F.col("doc_id") == F.col("involved"), "left_semi").select(
-            F.col("doc_id").alias("rep"), "text"
-        ),
-        "near-texts",
-    )
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    links, labels = none, none.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for turn in range(1, turns + 1):
-        mixed = _mixed_buckets(members, labels, turn)
-        pairs = _cross_pairs(mixed, texts) if turn == turns else _star_pairs(mixed)
-        more = _confirmed(pairs, planes, texts, f"near-links-{turn}")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = connected_components(links)
+    members = stored(bands.join(shared, "key"), "near-buckets")
+    sets = full_sets(members, rows).join(chosen.select("rep", "planes"), "rep")
+    sets = stored(sets, "near-sets")
+    links = first_links(sets, LEAST_PERCENT, _likely)
+    labels = connected_components(links)
+    rest = remaining_links(members, sets, labels, LEAST_PERCENT, likely=_likely)
+    if rest.limit(1).count():
+        labels = connected_components(links.union(rest))
     component = F.coalesce("component", "rep", "doc_id")
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(
         "doc_id",

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.llm.common import shuffle_partitions, stored, whole_text
-from netquarry.llm.near_dedup import SHINGLE_WORDS, Shingles, connected_components
+from netquarry.llm.shingles import SHINGLE_WORDS, Shingles, connected_components
 
 LEAST_PERCENT = 80
 # Linked sets share this percentage of the smaller one among their rarest shingles, which are as many more.
@@ -31,10 +31,12 @@ FANOUT_BITS = 5
 SIGNATURE_BITS = 14
 
 Batches = Iterator[pa.RecordBatch]
+# Which pairs of two lists of packed signatures may be linked.
+Likely = Callable[[list[list[int]], list[list[int]]], np.ndarray]
 
 _TREE = (
     "leaf long, node long, reps array<long>, components array<long>, sizes array<long>, widest array<long>, "
-    "sets array<binary>, bits binary, low long, high long, slack long, one long, "
+    "sets array<binary>, planes array<array<long>>, bits binary, low long, high long, slack long, one long, "
     "node_bits binary, node_low long, node_high long, node_slack long, node_one long"
 )
 _SETS = "rep long, size long, widest long, central long, shingles binary"
@@ -179,7 +181,7 @@ def _deal(batches: Batches) -> Batches:
         [
             ("leaf", pa.int64()), ("node", pa.int64()), ("reps", pa.list_(pa.int64())),
             ("components", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("widest", pa.list_(pa.int64())),
-            ("sets", pa.list_(pa.binary())), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()),
+            ("sets", pa.list_(pa.binary())), ("planes", pa.list_(pa.list_(pa.int64()))), ("bits", pa.binary()), ("low", pa.int64()), ("high", pa.int64()),
             ("slack", pa.int64()), ("one", pa.int64()), ("node_bits", pa.binary()), ("node_low", pa.int64()),
             ("node_high", pa.int64()), ("node_slack", pa.int64()), ("node_one", pa.int64()),
         ]
@@ -192,7 +194,7 @@ def _deal(batches: Batches) -> Batches:
         return {
             "leaf": first + number, "node": (first + number) >> FANOUT_BITS, "reps": [d["rep"] for d in docs],
             "components": [d["component"] for d in docs], "sizes": sizes, "widest": [d["widest"] for d in docs],
-            "sets": [d["shingles"] for d in docs], "bits": np.bitwise_or.reduce(words, axis=0).tobytes(),
+            "sets": [d["shingles"] for d in docs], "planes": [d.get("planes") for d in docs], "bits": np.bitwise_or.reduce(words, axis=0).tobytes(),
             "low": min(sizes), "high": max(sizes), "slack": int((np.array(sizes) - counts).max()),
             "one": components.pop() if len(components) == 1 else None,
         }
@@ -295,18 +297,21 @@ def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int) -> DataFram
     return both.mapInArrow(_overlapping(percent), "a long, b long")
 
 
-def _links(percent: int) -> Callable[[Batches], Batches]:
+_HELD = ["reps", "components", "sizes", "sets", "planes"]
+
+
+def _links(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
     """Links between the documents of two leaves, as many as join their components."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _compare(row, percent)
+                yield _compare(row, percent, likely)
 
     return run
 
 
-def _compare(row: dict, percent: int) -> pa.RecordBatch:
+def _compare(row: dict, percent: int, likely: Likely | None) -> pa.RecordBatch:
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -323,12 +328,14 @@ def _compare(row: dict, percent: int) -> pa.RecordBatch:
     most = np.minimum((size_a - count_a)[:, None], (size_b - count_b)[None, :]) + common
     wanted = percent * (size_a[:, None] + size_b[None, :])
     possible = (100 + percent) * most >= wanted
+    if likely is not None:
+        possible &= likely(row["planes_a"], row["planes_b"])
     if row["a"] == row["b"]:
         possible &= np.triu(np.ones_like(possible), 1)
     at_a, at_b = np.nonzero(possible)
-    likely = np.argsort(-(most[at_a, at_b] / wanted[at_a, at_b]), kind="stable")
+    order = np.argsort(-(most[at_a, at_b] / wanted[at_a, at_b]), kind="stable")
     found: list[tuple[int, int]] = []
-    for i, j in zip(at_a[likely].tolist(), at_b[likely].tolist(), strict=True):
+    for i, j in zip(at_a[order].tolist(), at_b[order].tolist(), strict=True):
         x, y = root(of_a[i]), root(of_b[j])
         if x == y:
             continue
@@ -341,31 +348,29 @@ def _compare(row: dict, percent: int) -> pa.RecordBatch:
     )
 
 
-def _alone(percent: int) -> Callable[[Batches], Batches]:
+def _alone(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
     """Links within each leaf."""
 
     def run(batches: Batches) -> Batches:
-        held = ("reps", "components", "sizes", "sets")
         for batch in batches:
             for row in batch.to_pylist():
                 if len(row["reps"]) > 1 and row["one"] is None:
-                    yield _compare({"a": 0, "b": 0} | {f"{c}_{s}": row[c] for c in held for s in "ab"}, percent)
+                    yield _compare({"a": 0, "b": 0} | {f"{c}_{s}": row[c] for c in _HELD for s in "ab"}, percent, likely)
 
     return run
 
 
-def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, purpose: str) -> DataFrame:
+def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Likely | None, purpose: str) -> DataFrame:
     """Links within leaves and between the leaves of the pairs; only the latter are shuffled."""
-    held = ["reps", "components", "sizes", "sets"]
-    within = tree.select("one", *held).mapInArrow(_alone(percent), "a long, b long")
+    within = tree.select("one", *_HELD).mapInArrow(_alone(percent, likely), "a long, b long")
     pairs = stored(pairs.where("a != b"), f"{purpose}-pairs")
     side_a, side_b = (
-        tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in held]).join(
+        tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _HELD]).join(
             pairs.select(s).distinct(), s, "left_semi"
         )
         for s in "ab"
     )
-    between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent), "a long, b long")
+    between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent, likely), "a long, b long")
     return stored(within.union(between), purpose)
 
 
@@ -373,7 +378,7 @@ def _leaf_summaries(tree: DataFrame) -> DataFrame:
     return tree.select(F.col("leaf").alias("id"), "bits", "low", "high", "slack", "one")
 
 
-def first_links(sets: DataFrame, percent: int) -> DataFrame:
+def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) -> DataFrame:
     """Links within each leaf, and between it and the first leaf of its documents' widest keys.
 
     A number of leaf pairs linear in the documents, which joins most of every group of near copies: the
@@ -383,15 +388,21 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     homes = tree.select(F.col("leaf").alias("b"), F.explode("widest").alias("widest")).distinct()
     hubs = homes.groupBy("widest").agg(F.min("b").alias("a"))
     pairs = homes.join(hubs, "widest").where("a != b").select("a", "b").distinct()
-    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, "tree-first-links")
+    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, likely, "tree-first-links")
 
 
 def remaining_links(
-    members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, shared: Column | None = None
+    members: DataFrame,
+    sets: DataFrame,
+    labels: DataFrame,
+    percent: int,
+    shared: Column | None = None,
+    likely: Likely | None = None,
 ) -> DataFrame:
     """Links between documents that share a key (``members``: ``key, rep``) but lie in different components.
 
-    ``shared`` tells, by the larger least set size ``low`` of two leaves, how many keys a link needs.
+    ``shared`` tells, by the larger least set size ``low`` of two leaves, how many keys a link needs;
+    ``likely`` which pairs may be linked at all, by the packed signatures of ``sets``.
 
     Exact: a pair is left out only where sizes or bitmaps rule a link out, or where both documents are
     in one component.
@@ -446,7 +457,7 @@ def remaining_links(
         .withColumn("low", F.greatest("low_a", "low_b"))
     )
     pairs = sized.where(F.col("count") >= (F.lit(1) if shared is None else shared)).select("a", "b")
-    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, "tree-rest-links")
+    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, likely, "tree-rest-links")
 
 
 # ---- the join ---------------------------------------------------------------------------------

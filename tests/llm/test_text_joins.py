@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from netquarry.llm import signature_tree
-from netquarry.llm.near_dedup import Shingles
+from netquarry.llm.shingles import Shingles
 from netquarry.llm.signature_tree import jaccard_components
 from netquarry.llm.spelling import differ_by_one, pivots, spelling_variants
 
