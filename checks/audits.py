@@ -12,7 +12,9 @@ from netquarry.session import work_folder
 from netquarry.sources import read_template
 
 TODAY = "2001-11-05"
-AS_OF = "2001-12-31"
+# Inside the data: later records, and earlier counters, do not count.
+AS_OF = "1999-06-30"
+DAYS = 1500
 _SITE_OF = "array_to_string(string_split({}, '/')[1:3], '/')"
 # The LTE cell a DN belongs to, without its last part.
 _PARENT = "regexp_replace({}, '/LNCEL-.*$', '')"
@@ -107,10 +109,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return summary
 
 
-_SHARE_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.counters_sql()}, {s.site_set_sql()},
+_SHARE_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.counters_sql()}, {s.site_set_sql()},
 {s.cm_sql("LNCEL", "LNCEL_FDD", "LNADJ")},
 ho AS (SELECT sector_name, "distName", regexp_extract("extendedDistName", 'ECI-([0-9]+)/PLMN', 1) AS eci, sum("M8015C8")::BIGINT AS att
-  FROM pm JOIN cur_lte ON "distName" = "moDistName" WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL 3650 DAY AND "M8015C8" > 0
+  FROM pm JOIN cur_lte ON "distName" = "moDistName" WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL {DAYS} DAY AND "M8015C8" > 0
   AND {_SITE_OF.format('"distName"')} IN (SELECT item FROM site_set) GROUP BY 1, 2, 3),
 tot AS (SELECT sector_name, sum(att)::BIGINT AS total FROM ho GROUP BY 1),
 share AS (SELECT ho.sector_name AS "LNCEL_Name", c.name AS "LNCEL_Name_tgt", att AS "INTER_HO_ATT_NB", total AS "Total_ATT", (100 * att // total)::BIGINT AS "Share"
@@ -122,7 +124,7 @@ _CELL_CLASSES = ["LNCEL", "LNCEL_FDD", "LNADJ"]
 
 def _share(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
     return P.handover_share(
-        s.counters(spark, d), s.site_history(spark, d, "LTE"), cells, TODAY, 3650, _sites(spark, d)
+        s.counters(spark, d), s.site_history(spark, d, "LTE"), cells, TODAY, DAYS, _sites(spark, d)
     )
 
 
@@ -131,14 +133,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _share(spark, d, P.lte_cells(s.cm(spark, d, _CELL_CLASSES)))
 
 
+# Lambert's formula on reduced latitudes, step by step.
+_DISTANCE_SQL = """b AS (SELECT *, atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(la1))) AS b1,
+  atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians(la2))) AS b2 FROM found),
+g AS (SELECT *, 2 * asin(sqrt(least(pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(radians(lo2 - lo1) / 2), 2), 1))) AS g FROM b),
+xy AS (SELECT *, (g - sin(g)) * pow(sin((b1 + b2) / 2) * cos((b2 - b1) / 2), 2) / nullif(pow(cos(g / 2), 2), 0) AS x,
+  (g + sin(g)) * pow(cos((b1 + b2) / 2) * sin((b2 - b1) / 2), 2) / nullif(pow(sin(g / 2), 2), 0) AS y FROM g)"""
+
+
 def _conflict_sql(code: str) -> str:
     return f"""{_SHARE_SQL},
 cells AS (SELECT a.mo_distname, a."id_LNBTS" AS bts, a.name, a."phyCellId", f."rootSeqIndex", f."earfcnDL" FROM cm_lncel a JOIN cm_lncel_fdd f
   ON a."id_LNCEL" = f."id_LNCEL" AND a."id_LNBTS" = f."id_LNBTS"),
-placed AS (SELECT c.*, h.site_name, h.latitud, h.longitud FROM cells c JOIN cur_lte h ON c.mo_distname = h."moDistName")
-SELECT o.site_name AS "site_name_Orig", s."LNCEL_Name" AS "LNCEL_Name_Orig", s."LNCEL_Name_tgt" AS "LNCEL_Name_Dest", o."{code}" AS "{code}", s."Share"
-FROM placed o JOIN cm_lnadj j ON o.bts = j."id_LNBTS" JOIN placed t ON t.bts = j."adjEnbId" AND t."earfcnDL" = o."earfcnDL" AND t."{code}" = o."{code}"
-JOIN share s ON s."LNCEL_Name" = o.name AND s."LNCEL_Name_tgt" = t.name WHERE s."Share" >= 10"""
+placed AS (SELECT c.*, h.site_name, h.latitud, h.longitud FROM cells c JOIN asof_lte h ON c.mo_distname = h."moDistName"),
+found AS (SELECT o.site_name AS "site_name_Orig", s."LNCEL_Name" AS "LNCEL_Name_Orig", s."LNCEL_Name_tgt" AS "LNCEL_Name_Dest", o."{code}" AS "{code}", s."Share",
+o.latitud::DOUBLE AS la1, o.longitud::DOUBLE AS lo1, t.latitud::DOUBLE AS la2, t.longitud::DOUBLE AS lo2 FROM placed o JOIN cm_lnadj j ON o.bts = j."id_LNBTS" JOIN placed t ON t.bts = j."adjEnbId" AND t."earfcnDL" = o."earfcnDL" AND t."{code}" = o."{code}"
+JOIN share s ON s."LNCEL_Name" = o.name AND s."LNCEL_Name_tgt" = t.name WHERE s."Share" >= 10),
+{_DISTANCE_SQL}
+SELECT "site_name_Orig", "LNCEL_Name_Orig", "LNCEL_Name_Dest", "{code}", "Share",
+round(6378137.0::DOUBLE * (g - 0.5 / 298.257223563::DOUBLE * (coalesce(x, 0) + coalesce(y, 0))), 2) AS distance_m FROM xy"""
 
 
 def _conflicts(spark: SparkSession, d: str, code: str) -> DataFrame:
@@ -153,7 +166,7 @@ def _conflicts(spark: SparkSession, d: str, code: str) -> DataFrame:
         min_share=10,
         as_of=AS_OF,
     )
-    return found.drop("distance_m")
+    return found.withColumn("distance_m", F.round("distance_m", 2))
 
 
 @check("C05_audit_code_conflicts", _conflict_sql("phyCellId"))
@@ -168,12 +181,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @check(
     "C07_audit_rssi",
-    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()},
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.site_set_sql()},
 low AS (SELECT concat('S', o_custkey, '_', o_orderkey) AS "Cell", min(-l_quantity) AS pucch, min(-l_quantity * 2) AS pusch FROM obs GROUP BY 1),
-ev AS (SELECT DISTINCT site_name FROM cur_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
+ev AS (SELECT DISTINCT site_name FROM asof_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
 r AS (SELECT "Cell", pucch AS "Avg RSSI for PUCCH", pusch AS "Avg RSSI for PUSCH", site_type,
   CASE WHEN site_type = 'Indoor' THEN -60.0 ELSE -80.0 END::DOUBLE AS "Threshold"
-  FROM low JOIN cur_lte ON "Cell" = sector_name WHERE site_name IN (SELECT site_name FROM ev))
+  FROM low JOIN asof_lte ON "Cell" = sector_name WHERE site_name IN (SELECT site_name FROM ev))
 SELECT * FROM r WHERE "Avg RSSI for PUSCH" > "Threshold" """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +205,7 @@ _RTWP_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.counters_s
 avgs AS (SELECT sector_name, "distName", {", ".join(
     f'coalesce(round(avg("M8005C30{c}") / 10, 2), -120) AS "AVG_RTWP_RX_ANT_{i}"' for i, c in enumerate((6, 7, 8, 9), 1)
 )} FROM pm JOIN (SELECT DISTINCT sector_name, "moDistName" FROM cur_lte) ON "distName" = "moDistName"
-  WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL 3650 DAY AND {_SITE_OF.format('"distName"')} IN (SELECT item FROM site_set) GROUP BY 1, 2),
+  WHERE "measTime" > TIMESTAMP '2001-11-05' - INTERVAL {DAYS} DAY AND {_SITE_OF.format('"distName"')} IN (SELECT item FROM site_set) GROUP BY 1, 2),
 ports AS (SELECT *, list_filter(["AVG_RTWP_RX_ANT_1", "AVG_RTWP_RX_ANT_2", "AVG_RTWP_RX_ANT_3", "AVG_RTWP_RX_ANT_4"], lambda x: x <> 0) AS p FROM avgs),
 lv AS (SELECT * EXCLUDE (p), round(list_max(p) - list_min(p), 6) AS "Max_RTWP_Diff", round(list_sum(p) / len(p), 6) AS "Avg_RTWP" FROM ports)
 SELECT 'diff' AS kind, * FROM lv WHERE "Max_RTWP_Diff" >= 90 UNION ALL SELECT 'level', * FROM lv WHERE "Avg_RTWP" >= -85"""
@@ -201,7 +214,7 @@ SELECT 'diff' AS kind, * FROM lv WHERE "Max_RTWP_Diff" >= 90 UNION ALL SELECT 'l
 @check("C08_audit_rtwp", _RTWP_SQL)
 def _(spark: SparkSession, d: str) -> DataFrame:
     unequal, level = P.audit_rtwp(
-        s.counters(spark, d), s.site_history(spark, d, "LTE"), 90, -85, TODAY, 3650, _sites(spark, d)
+        s.counters(spark, d), s.site_history(spark, d, "LTE"), 90, -85, TODAY, DAYS, _sites(spark, d)
     )
     both = unequal.select(F.lit("diff").alias("kind"), "*").unionByName(
         level.select(F.lit("level").alias("kind"), "*")
@@ -213,8 +226,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @check(
     "C09_audit_multi_tac",
-    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()}, {s.cm_sql("LNCEL")}
-SELECT site_name, count(tac) AS "TAC_count", count(DISTINCT tac) AS "TAC_nunique" FROM cur_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.site_set_sql()}, {s.cm_sql("LNCEL")}
+SELECT site_name, count(tac) AS "TAC_count", count(DISTINCT tac) AS "TAC_nunique" FROM asof_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name
 WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set) GROUP BY 1 HAVING count(DISTINCT tac) > 1""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -225,10 +238,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @check(
     "C10_audit_tac_lac",
-    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.history_sql("UMTS")}, {s.site_set_sql("BUILDING")}, {s.cm_sql("LNCEL", "WCEL")},
-ev AS (SELECT DISTINCT site_name FROM cur_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
-t AS (SELECT site_name, longitud, latitud, tac FROM cur_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name),
-l AS (SELECT DISTINCT site_name, "LAC" FROM cur_umts JOIN cm_wcel ON mo_distname = "moDistName" AND name = sector_name),
+    f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.history_sql("UMTS", AS_OF)}, {s.site_set_sql("BUILDING")}, {s.cm_sql("LNCEL", "WCEL")},
+ev AS (SELECT DISTINCT site_name FROM asof_lte WHERE {_PARENT.format('"moDistName"')} IN (SELECT item FROM site_set)),
+t AS (SELECT site_name, longitud, latitud, tac FROM asof_lte JOIN cm_lncel ON mo_distname = "moDistName" AND name = sector_name),
+l AS (SELECT DISTINCT site_name, "LAC" FROM asof_umts JOIN cm_wcel ON mo_distname = "moDistName" AND name = sector_name),
 net AS (SELECT DISTINCT t.site_name, tac, "LAC" FROM t JOIN l ON t.site_name = l.site_name),
 ok AS (SELECT DISTINCT tac, "LAC" FROM net WHERE site_name NOT IN (SELECT site_name FROM ev)),
 pos AS (SELECT DISTINCT site_name, longitud, latitud FROM t)
@@ -245,10 +258,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_MISSING_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.history_sql("UMTS")}, {s.site_set_sql()}, {s.cm_sql("LNRELW")},
+_MISSING_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.history_sql("UMTS", AS_OF)}, {s.site_set_sql()}, {s.cm_sql("LNRELW")},
 exp AS (SELECT a."moDistName" AS mo_distname_src, a.sector_name AS sector_name_src, a.site_name, a.azimuth AS azimuth_src,
   b."moDistName" AS mo_distname_tgt, b.sector_name AS sector_name_tgt, b.azimuth AS azimuth_tgt,
-  abs(((a.azimuth - b.azimuth + 180) % 360 + 360) % 360 - 180) AS dif_az FROM cur_lte a JOIN cur_umts b ON a.site_name = b.site_name
+  abs(((a.azimuth - b.azimuth + 180) % 360 + 360) % 360 - 180) AS dif_az FROM asof_lte a JOIN asof_umts b ON a.site_name = b.site_name
   WHERE {_SITE_OF.format('a."moDistName"')} IN (SELECT item FROM site_set)),
 missing AS (SELECT * FROM exp WHERE dif_az <= 20 AND NOT EXISTS (SELECT 1 FROM cm_lnrelw r
   WHERE regexp_replace(r.mo_distname, '/LNRELW-.*$', '') = mo_distname_src AND r."targetCellDn" = mo_distname_tgt))"""
@@ -277,13 +290,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _missing(spark, d)[0]
 
 
-_TILT_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE")}, {s.site_set_sql()}, {s.cm_sql("CHANNEL", "LNCEL")},
+_TILT_SQL = f"""WITH {s.OBSERVATIONS_SQL}, {s.history_sql("LTE", AS_OF)}, {s.site_set_sql()}, {s.cm_sql("CHANNEL", "LNCEL")},
 unit AS (SELECT cast(o_custkey AS VARCHAR) AS site, cast(l_quantity AS INT) % 12 * 10 AS angle,
   unnest([concat('ANT-', o_orderkey, '-', l_linenumber), concat('ANT-', o_orderkey, '-', l_linenumber + 1)]) AS ant FROM obs),
 ret AS (SELECT DISTINCT l.name, l.mo_distname, c."antlDN", u.angle / 10.0::DOUBLE AS tilt FROM cm_channel c JOIN cm_lncel l
   ON c."id_MRBTS" = l."id_MRBTS" AND c."id_LCELL" = l."lcrId" JOIN unit u ON u.site = l."id_MRBTS" AND u.ant = c."antlDN"
   WHERE {_SITE_OF.format("l.mo_distname")} IN (SELECT item FROM site_set)),
-plan AS (SELECT site_name, sector_name, electrical_tilt FROM cur_lte WHERE {_SITE_OF.format('"moDistName"')} IN (SELECT item FROM site_set))"""
+plan AS (SELECT site_name, sector_name, electrical_tilt FROM asof_lte WHERE {_SITE_OF.format('"moDistName"')} IN (SELECT item FROM site_set))"""
 
 
 _TILT_CLASSES = ["CHANNEL", "LNCEL", "RETU", "ALD"]

@@ -66,13 +66,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @lru_cache(maxsize=64)
 def spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """A table, spread over the cores if it comes in fewer files than there are cores.
-
-    Larger tables are left as they are scanned.
-    """
-    df = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    """A table dealt by the key it is joined on, so that one large file does not mean one task."""
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, folder, name).repartition(parts, key)
 
 
 def cells(
@@ -129,12 +125,22 @@ def site_history(spark: SparkSession, folder: str, technology: str) -> DataFrame
     return lines.select(*_columns(_history_columns(technology)))
 
 
-def history_sql(technology: str) -> str:
-    """CTEs ``hist_<tech>`` and ``cur_<tech>`` (newest record per sector); needs ``obs``."""
+def history_sql(technology: str, as_of: str | None = None) -> str:
+    """CTEs ``hist_<tech>`` and ``cur_<tech>`` (newest record per sector); needs ``obs``.
+
+    With ``as_of`` also ``asof_<tech>``, the newest records up to that time.
+    """
     t = technology.lower()
-    return f"""hist_{t} AS (SELECT {_sql_columns(_history_columns(technology))} FROM obs),
-cur_{t} AS (SELECT h.* FROM hist_{t} h JOIN (SELECT sector_name, max(export_date) AS newest
-  FROM hist_{t} GROUP BY sector_name) m ON h.sector_name = m.sector_name AND h.export_date = m.newest)"""
+
+    def newest(name: str, rows: str) -> str:
+        return f"""{name}_{t} AS (SELECT h.* FROM {rows} h JOIN (SELECT sector_name, max(export_date) AS newest
+  FROM {rows} GROUP BY sector_name) m ON h.sector_name = m.sector_name AND h.export_date = m.newest)"""
+
+    ctes = [f"hist_{t} AS (SELECT {_sql_columns(_history_columns(technology))} FROM obs)", newest("cur", f"hist_{t}")]
+    if as_of is not None:
+        ctes.append(f"past_{t} AS (SELECT * FROM hist_{t} WHERE export_date <= TIMESTAMP '{as_of}')")
+        ctes.append(newest("asof", f"past_{t}"))
+    return ",\n".join(ctes)
 
 
 def _counter_columns(technology: str, site_level: bool) -> dict[str, str]:

@@ -26,7 +26,10 @@ def check_unit(unit: str) -> str:
 
 
 def local_bucket(ts: ColumnLike, unit: str, tz: str) -> Column:
-    """Start of the hour/day/week/... that holds ``ts``, on the wall clock of ``tz``."""
+    """Start of the hour/day/week/... that holds ``ts``, on the wall clock of ``tz``.
+
+    An hour that clocks repeat when they go back is one bucket of two hours, as it has one name.
+    """
     return F.date_trunc(check_unit(unit), F.from_utc_timestamp(as_column(ts), tz))
 
 

@@ -206,11 +206,12 @@ def kpi_history(
 ) -> DataFrame:
     """The last days up to yesterday, turned so that KPIs are rows and days are columns.
 
-    ``kpis`` has one row per ``Date`` (``yyyy-MM-dd HH:mm:ss``).  KPIs the frame lacks are 0, two
+    ``kpis`` has one row per ``Date`` (``yyyy-MM-dd HH:mm:ss``); the window is a plain range on that text,
+    which reaches the scan.  KPIs the frame lacks are 0, two
     composites are added, ``order`` picks and orders the KPI rows below the header rows.
     """
-    start, end = as_date(today) - timedelta(days=days), as_date(today) - timedelta(days=1)
-    window = kpis.where(day_text("Date").between(str(start), str(end)))
+    start = as_date(today) - timedelta(days=days)
+    window = kpis.where((F.col("Date") >= str(start)) & (F.col("Date") < str(as_date(today))))
     needed = list(dict.fromkeys([*wanted, *ACCESS_PARTS, *RAB_PARTS]))
     complete = with_report_schema(window, ["Date", *needed], fill=0.0)
     day = F.to_date(day_text("Date"))

@@ -149,3 +149,10 @@ def test_decode_records(spark):
     df = spark.createDataFrame([('[{"k": 1}, {"j": 2}]',)], "t string")
     got = df.select(F.inline(M.decode_records("t", "k int"))).collect()
     assert [r["k"] for r in got] == [1, None]
+
+
+def test_the_hour_that_clocks_repeat_is_one_bucket(spark):
+    times = spark.createDataFrame([("2024-11-03 05:30:00",), ("2024-11-03 06:30:00",), ("2024-11-03 07:30:00",)], "t string")
+    bucket = D.local_bucket(F.col("t").cast("timestamp"), "hour", "America/New_York")
+    got = [r["b"] for r in times.select(F.date_format(bucket, "HH:mm").alias("b")).orderBy("t").collect()]
+    assert got == ["01:00", "01:00", "02:00"]
