@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,14 @@ from netquarry.llm.common import shuffle_partitions, stored, whole_text
 
 WIDTH = 100
 LEAD = 24
-SAMPLE = 200_000
-HOT = 50_000
+BLOCK = 8
+BUCKET_BYTES = 8_000_000
 LAST_ID = 2**63 - 1
 
 FACTOR = 0x9E3779B97F4A7C15
 
+Batches = Iterator[pa.RecordBatch]
+
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit digests of all strings of ``width`` bytes, by doubling."""
@@ -71,168 +73,193 @@ def _bytes(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["digest", "doc", "text_crc32", "first", "last"]
+class Contents:
+    """Digests of any substrings of a text, from running sums over its bytes."""
+
+    def __init__(self) -> None:
+        self._power, self._inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        while len(self._power) < len(data):
+            n, inverse = len(self._power), pow(FACTOR, -1, 1 << 64)
+            self._power = np.concatenate([self._power, self._power * np.uint64(pow(FACTOR, n, 1 << 64))])
+            self._inverse = np.concatenate([self._inverse, self._inverse * np.uint64(pow(inverse, n, 1 << 64))])
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._power[: len(data)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64)
+        found = (found ^ (found >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return found ^ (found >> np.uint64(27))
+
+
+def _anchor_rows(batches: Batches) -> Batches:
+    """The anchors of every text, with a digest of all bytes that the anchor's strings cover."""
+    names = ["digest", "content", "doc", "text_crc32", "first", "last"]
+    contents = Contents()
     for batch in batches:
         for doc, crc, text in zip(batch.column("doc"), batch.column("text_crc32"), batch.column("text"), strict=True):
-            _, digest, first, last = anchors(_bytes(text))
+            data = _bytes(text)
+            at, digest, first, last = anchors(data)
             n = len(digest)
             if n:
-                columns = [digest, np.full(n, doc.as_py()), np.full(n, crc.as_py()), first.astype(np.int32), last.astype(np.int32)]
+                content = contents.of(data, first, last + WIDTH) ^ (at - first).astype(np.uint64)
+                columns = [digest, content.view(np.int64), np.full(n, doc.as_py()), np.full(n, crc.as_py())]
+                columns += [first.astype(np.int32), last.astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], names=names)
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by digest those that occur twice or more, with ``hot`` for more than ``HOT`` times.
+def _settled(batches: Batches) -> Batches:
+    """Of anchors sorted by digest, content, document and place those that are settled, or still open.
 
-    At most ``HOT`` rows of a digest are held back; once there are more, the others pass through.
+    Of anchors with one content all strings are equal, so those of all but the earliest start earlier
+    elsewhere: settled.  The earliest ones are open if their digest has other contents too, and nothing
+    else is to be done about the rest.  One row is held back, the earliest of the present content while it
+    is the first of its digest.
     """
-    held: list[pa.RecordBatch] = []
-    size, open_digest = 0, None
-
-    def out(part: pa.RecordBatch, hot: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(hot)], [*part.schema.names, "hot"])
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal held, size
-        if size > 1:
-            for part in held:
-                yield out(part, np.full(part.num_rows, size > HOT))
-        held, size = [], 0
-
+    names = ["open", "doc", "text_crc32", "first", "last"]
+    columns = ("digest", "content", "doc", "text_crc32", "first", "last")
+    before: tuple | None = None  # the row in front of the batch
+    held: tuple | None = None  # the earliest row of a digest with one content so far
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        digest = batch.column("digest").to_numpy()
-        starts = np.flatnonzero(np.append(True, digest[1:] != digest[:-1]))
-        sizes = np.diff(np.append(starts, len(digest)))
-        if open_digest is not None and digest[0] != open_digest:
-            yield from close()
-        # The first and the last run may be parts of longer ones; those between are whole.
-        for i in dict.fromkeys((0, len(starts) - 1)):
-            if i:
-                yield from close()
-                if len(starts) > 2:
-                    inner = batch.slice(int(starts[1]), int(starts[-1] - starts[1]))
-                    n = np.repeat(sizes[1:-1], sizes[1:-1])
-                    yield out(inner.filter(pa.array(n > 1)), n[n > 1] > HOT)
-            part = batch.slice(int(starts[i]), int(sizes[i]))
-            held.append(part)
-            size += part.num_rows
-            if size > HOT:
-                for part in held:
-                    yield out(part, np.full(part.num_rows, True))
-                held = []
-        open_digest = digest[-1]
-    yield from close()
-
-
-def _suffix_rows(splitters: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Suffixes at repeated anchors, as long as the strings of the anchor reach, with their bucket.
-
-    A very frequent anchor gives a row for each of its strings, so that the rows of its group differ in
-    what they are dealt by.
+        digest, content, doc, crc, first, last = (batch.column(c).to_numpy() for c in columns)
+        values = (digest, content, doc, crc, first)
+        same = [np.append(before is not None and before[k] == v[0], v[1:] == v[:-1]) for k, v in enumerate(values)]
+        new_digest = ~same[0]
+        new_content = new_digest | ~same[1]
+        twin = ~new_content & same[2] & same[3] & same[4]  # a repeated row of one document
+        settled = ~new_content & ~twin
+        # Contents per digest, within the batch; the group in front of the first new digest goes on from before.
+        group = np.cumsum(new_digest)
+        several = np.bincount(group, new_content, minlength=int(group[-1]) + 1)
+        several[0] += 0 if held is None and before is not None else 1  # one held: one content; none held: many
+        if before is None:
+            several[0] = 0
+        elif held is None:
+            several[0] = 2 if (group == 0).any() else 0
+        is_open = new_content & (several[group] > 1)
+        first_rows = np.flatnonzero(new_digest)
+        keep = settled | is_open
+        out = [pa.array(is_open[keep]), *[pa.array(v[keep]) for v in (doc, crc, first, last)]]
+        if held is not None and several[0] > 1 and (group == 0).any():
+            yield pa.record_batch([pa.array([v]) for v in (True, *held)], names=names).cast(_SETTLED)
+        yield pa.record_batch(out, names=names).cast(_SETTLED)
+        if several[group[-1]] > 1:
+            held = None
+        elif len(first_rows):
+            i = first_rows[-1]
+            held = (doc[i], crc[i], first[i], last[i])
+        before = tuple(v[-1] for v in values)
+
+
+_SETTLED = pa.schema(
+    [("open", pa.bool_()), ("doc", pa.int64()), ("text_crc32", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+)
+
+
+def _suffix_rows(batches: Batches) -> Batches:
+    """Open anchors as suffixes: the bytes they begin with, and those that their strings cover."""
+    names = ["lead", "doc", "text_crc32", "start", "anchor", "body"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    for batch in batches:
+        found: list[tuple] = []
+        for doc, crc, text, places in zip(*(batch.column(c) for c in ("doc", "text_crc32", "text", "found")), strict=True):
+            raw, doc, crc = text.as_py().encode("utf-8", "surrogatepass"), doc.as_py(), crc.as_py()
+            ranges = np.array([(f["first"], f["last"]) for f in places.as_py()], np.int64)
+            at, _, first, _ = anchors(np.frombuffer(raw, np.uint8))
+            anchor = at[np.searchsorted(first, ranges[:, 0])]
+            for (start, last), place in zip(ranges.tolist(), anchor.tolist(), strict=True):
+                found.append((raw[place : place + LEAD], doc, crc, start, place - start, raw[start : last + WIDTH]))
+        columns = zip(*found, strict=True) if found else [[] for _ in names]
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def multikey_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the strings ``data[at : at + width]`` are equal: their indices, and the group of each.
+
+    Multikey quicksort with blocks of eight bytes as characters: the strings of a group are sorted by one
+    block, those of equal blocks are the groups of the next, and strings that are alone drop out.
+    Only strings of one ``group`` are compared.
     """
-    names = ["bucket", "digest", "doc", "text_crc32", "start", "body"]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            columns = [list(c) for c in zip(*found, strict=True)] if found else [[] for _ in names[1:]]
-            bucket = np.searchsorted(splitters, np.array(columns[0], np.int64), "right")
-            return pa.record_batch([pa.array(c, t) for c, t in zip([bucket, *columns], types, strict=True)], names=names)
-
-        for batch in batches:
-            found: list[tuple] = []
-            for i in range(batch.num_rows):
-                doc, crc, text, places = (batch.column(c)[i].as_py() for c in ("doc", "text_crc32", "text", "found"))
-                raw = text.encode("utf-8", "surrogatepass")
-                hot = any(f["hot"] for f in places)
-                whole = rolling(np.frombuffer(raw, np.uint8), WIDTH).view(np.int64) if hot else None
-                for f in places:
-                    first, last = f["first"], f["last"]
-                    if f["hot"]:
-                        found += [(int(whole[s]), doc, crc, s, raw[s : s + WIDTH]) for s in range(first, last + 1)]
-                    else:
-                        found.append((f["digest"], doc, crc, first, raw[first : last + WIDTH]))
-                if len(found) > 20_000:
-                    yield out(found)
-                    found = []
-            yield out(found)
-
-    return suffixes
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of strings that also start earlier, as runs, from one bucket of sorted suffixes.
-
-    Rows come sorted by digest; equal strings lie in rows of one digest.  Several
-    groups are taken together: their strings are sorted by content digest, document and start, and
-    neighbours of equal digest are compared byte by byte.
+    windows = np.lib.stride_tricks.sliding_window_view(data, BLOCK)
+    index, now = np.arange(len(at)), group
+    for offset in (None, *range(0, width - BLOCK, BLOCK), width - BLOCK):
+        if offset is None:
+            order = np.argsort(now, kind="stable")
+            changed = now[order[1:]] != now[order[:-1]]
+        else:
+            block = windows[at[index] + offset].view(">u8").ravel().astype(np.uint64)
+            order = np.lexsort((block, now))
+            changed = (now[order[1:]] != now[order[:-1]]) | (block[order[1:]] != block[order[:-1]])
+        begins = np.append(True, changed)[: len(order)]
+        number = np.cumsum(begins)
+        several = np.bincount(number)[number] > 1 if len(number) else np.empty(0, bool)
+        index, now = index[order[several]], number[several]
+    return index, now
+
+
+def _repeated(batches: Batches) -> Batches:
+    """Starts of strings that also start earlier, as runs, from one bucket of suffixes sorted by their lead.
+
+    Equal strings have one lead, at one distance from their start, and are found by multikey quicksort; the
+    earliest of them stays.  Some leads are taken together.
     """
     names = ["doc", "text_crc32", "first", "last"]
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts)
-        doc, crc, start = (table.column(c).to_numpy() for c in ("doc", "text_crc32", "start"))
-        bodies = table.column("body").to_pylist()
+        doc, crc, start, anchor = (table.column(c).to_numpy() for c in ("doc", "text_crc32", "start", "anchor"))
+        bodies, leads = table.column("body").to_pylist(), table.column("lead").to_pylist()
+        lead = np.cumsum([a != b for a, b in zip(leads, [None, *leads[:-1]], strict=True)])
         sizes = np.array([len(b) for b in bodies])
         data = np.frombuffer(b"".join(bodies), np.uint8)
-        ends = np.cumsum(sizes)
         counts = sizes - WIDTH + 1
         owner = np.repeat(np.arange(len(bodies)), counts)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = (ends - sizes)[owner] + within
-        digest = rolling(data, WIDTH)[at]
-        order = np.lexsort((start[owner] + within, crc[owner], doc[owner], digest))
-        same = digest[order[1:]] == digest[order[:-1]]
-        offsets = np.arange(WIDTH)
-        for i in range(0, int(same.sum()), 1 << 16):
-            pairs = np.flatnonzero(same)[i : i + (1 << 16)]
-            left, right = at[order[pairs]], at[order[pairs + 1]]
-            unlike = (data[left[:, None] + offsets] != data[right[:, None] + offsets]).any(axis=1)
-            if unlike.any():
-                raise ValueError("two strings have one digest")
+        at = (np.cumsum(sizes) - sizes)[owner] + within
+        index, group = multikey_groups(data, at, lead[owner] * WIDTH + anchor[owner] - within)
+        place = (start[owner] + within)[index]
+        docs, crcs = doc[owner[index]], crc[owner[index]]
+        order = np.lexsort((place, crcs, docs, group))
+        index, group, place, docs, crcs = (x[order] for x in (index, group, place, docs, crcs))
+        begins = np.append(True, group[1:] != group[:-1])[: len(group)]
         # Rows of one id and text are one document; its strings do not repeat each other.
-        place = start[owner] + within
-        twin = same & (doc[owner[order[1:]]] == doc[owner[order[:-1]]]) & (crc[owner[order[1:]]] == crc[owner[order[:-1]]])
-        twin &= place[order[1:]] == place[order[:-1]]
-        # A twin of the first string of its group is itself first.
-        is_first = np.append(True, ~same)
-        for i in np.flatnonzero(np.append(False, twin)):
-            is_first[i] = is_first[i - 1]
-        later = ~is_first
+        head = np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0)) if len(group) else np.empty(0, np.int64)
+        first = (docs == docs[head]) & (crcs == crcs[head]) & (place == place[head])
         flag = np.zeros(len(owner), bool)
-        flag[order] = later
-        edge = np.diff(np.concatenate([[0], flag.astype(np.int8), [0]]))
-        begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(begins):
-            # A run must not go on from one row to the next.
-            borders = np.cumsum(counts)[:-1]
-            inner = borders[(flag[borders - 1]) & (flag[np.minimum(borders, len(flag) - 1)])]
-            begins, stops = np.sort(np.append(begins, inner)), np.sort(np.append(stops, inner))
-        row = owner[begins]
-        first = (start[row] + within[begins]).astype(np.int32)
+        flag[index[~first]] = True
+        # Runs within rows.
+        row_begins = np.cumsum(counts) - counts
+        goes_on = np.append(False, flag[:-1])
+        goes_on[row_begins] = False
+        stops_here = np.append(~flag[1:], True)
+        stops_here[row_begins[1:] - 1] = True
+        opened, closed = np.flatnonzero(flag & ~goes_on), np.flatnonzero(flag & stops_here)
+        row = owner[opened]
         return pa.record_batch(
-            [pa.array(doc[row]), pa.array(crc[row]), pa.array(first), pa.array((first + (stops - begins) - 1).astype(np.int32))],
+            [
+                pa.array(doc[row]), pa.array(crc[row]), pa.array((start[row] + within[opened]).astype(np.int32)),
+                pa.array((start[row] + within[closed]).astype(np.int32)),
+            ],
             names=names,
-        )
+        )
 
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("digest").to_numpy()
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        if held and held[-1].column("digest")[-1].as_py() != key[0]:
-            cut = np.append(0, cut)
-        if size + batch.nbytes > 8_000_000 and len(cut):
-            at = int(cut[-1])
+        lead = batch.column("lead")
+        cut = [i for i in range(1, batch.num_rows) if lead[i] != lead[i - 1]]
+        if held and held[-1].column("lead")[-1] != lead[0]:
+            cut = [0, *cut]
+        if size + batch.nbytes > BUCKET_BYTES and cut:
+            at = cut[-1]
             if at:
                 held.append(batch.slice(0, at))
             yield solve(held)
-            held, size = [batch.slice(at)], batch.nbytes
+            held, size = [batch.slice(at)], batch.slice(at).nbytes
         else:
             held.append(batch)
             size += batch.nbytes
@@ -263,11 +290,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """What stays of each document without strings of 100 bytes that start earlier elsewhere.
 
     Suffixes are taken at anchors chosen by content (one in 35 bytes): strings that are equal have
-    equal anchors, so only suffixes at anchors that occur twice or more take part, and a suffix stands
-    for all strings of its anchor.  They are range-partitioned at sampled splitters; a bucket sorts the
-    strings of its suffixes and marks all but the earliest of equal ones.  Equal strings have the same
-    leading key, so none lie on both sides of a boundary.  A frequent anchor (``HOT`` occurrences) is
-    taken apart into its strings, which are dealt by their own bytes.
+    equal anchors at the same distance, and a suffix stands for all strings of its anchor.  Anchors whose
+    strings cover equal bytes are settled without looking at the strings: the earliest stays and all
+    others go, so that a passage with very many copies leaves one suffix.  Those that recur with other
+    bytes around them are range-partitioned by their leading bytes, at splitters that Spark samples; a
+    bucket sorts their strings by multikey quicksort and marks all but the earliest of equal ones.  Equal
+    strings have one lead, so none lie on both sides of a boundary.
+
+    A bucket holds the different suffixes of one lead at once, which are as many as there are different
+    surroundings of 24 equal bytes.
 
     Columns: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.  Null text is empty.  A null id counts
     as the largest.  Rows with the same id and text are one document and keep the same; of rows with the
@@ -282,25 +313,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     n = shuffle_partitions(docs.sparkSession)
     places = rows.select("doc", "text_crc32", "text").mapInArrow(
-        _anchor_rows, "digest long, doc long, text_crc32 long, first int, last int"
-    )
-    recurring = places.repartition(n, "digest").sortWithinPartitions("digest").mapInArrow(
-        _recurring, "digest long, doc long, text_crc32 long, first int, last int, hot boolean"
-    )
-    recurring = stored(recurring, "suffix-anchors")
-    sample = recurring.where(F.pmod(F.xxhash64("digest", "doc", "first"), F.lit(max(1, recurring.count() // SAMPLE))) == 0)
-    # Splitters: as many numbers as there are buckets.
-    cuts = sample.agg(F.percentile_approx("digest", [i / n for i in range(1, n)] or [0.5], F.lit(100_000))).first()[0]
-    splitters = np.array(sorted(cuts or []), np.int64)
-    repeated = recurring.groupBy("doc", "text_crc32").agg(
-        F.collect_list(F.struct("digest", "first", "last", "hot")).alias("found")
+        _anchor_rows, "digest long, content long, doc long, text_crc32 long, first int, last int"
     )
-    suffixes = rows.select("doc", "text_crc32", "text").join(repeated, ["doc", "text_crc32"]).mapInArrow(
-        _suffix_rows(splitters), "bucket int, digest long, doc long, text_crc32 long, start int, body binary"
+    settled = places.repartition(n, "digest").sortWithinPartitions("digest", "content", "doc", "text_crc32", "first")
+    found = stored(settled.mapInArrow(_settled, "open boolean, doc long, text_crc32 long, first int, last int"), "suffix-anchors")
+    place = F.struct("first", "last")
+    unsettled = found.where("open").groupBy("doc", "text_crc32").agg(F.collect_set(place).alias("found"))
+    suffixes = rows.select("doc", "text_crc32", "text").join(unsettled, ["doc", "text_crc32"]).mapInArrow(
+        _suffix_rows, "lead binary, doc long, text_crc32 long, start int, anchor int, body binary"
     )
-    buckets = suffixes.repartitionById(n, "bucket").drop("bucket").sortWithinPartitions("digest")
+    suffixes = stored(suffixes, "suffixes")
+    buckets = suffixes.repartitionByRange(n, "lead").sortWithinPartitions("lead")
     runs = stored(buckets.mapInArrow(_repeated, "doc long, text_crc32 long, first int, last int"), "suffix-runs")
-    of_document = runs.groupBy("doc", "text_crc32").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    whole = found.where("not open").drop("open").union(runs)
+    of_document = whole.groupBy("doc", "text_crc32").agg(F.collect_set(place).alias("runs"))
     return rows.join(of_document, ["doc", "text_crc32"], "left").select("doc_id", "text", "runs").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
