@@ -39,12 +39,20 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not have, whatever the case: ``wanted`` with underscores behind it."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def keep_matching(docs: DataFrame, keys: dict[str, Column], kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key values occur in ``kept`` (columns named as in ``keys``).
 
     Nulls match nulls.  All columns of ``docs`` stay, whatever they are called.
     """
-    names = {name: f"__kept_{name}" for name in keys}
+    names = {name: free_name(docs, f"__kept_{name}") for name in keys}
     right = kept.select(*[F.col(n).alias(alias) for n, alias in names.items()])
     condition: Column | None = None
     for name, value in keys.items():

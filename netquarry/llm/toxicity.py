@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.llm.common import sampled_labels, stored, whole_text
+from netquarry.llm.common import free_name, sampled_labels, stored, whole_text
 
 LABEL_BOUND = 100_000
 THRESHOLD = 0.3
@@ -274,9 +274,12 @@ def _without_covered(found: dict[str, tuple[float, float]]) -> dict[str, float]:
     return kept
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``docs`` with all columns and ``__score``, a probability; null text is the empty text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, into: str = "__score") -> DataFrame:
+    """``docs`` with all columns and ``into``, a probability; null text is the empty text.
+
+    ``into`` must not be a column of ``docs``.  Repeated rows get the same score, an empty table none.
+    """
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,12 +289,16 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 _probability(lexicon, *_signal(folded_words(text.as_py() or "", table), machine))
                 for text in batch.column(at)
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, into])
 
     return docs.mapInArrow(score, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    scored = score_toxicity(docs, learn_lexicon(docs, labels, **options))
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever they are called.
+
+    Null text counts as empty, repeated rows stay or go together, an empty table gives no rows.
+    """
+    score = free_name(docs, "__score")
+    scored = score_toxicity(docs, learn_lexicon(docs, labels, **options), score)
+    return scored.where(F.col(f"`{score}`") < threshold).drop(score)
