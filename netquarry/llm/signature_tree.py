@@ -283,6 +283,23 @@ def _overlapping(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _leaf_pairs(batches: Batches) -> Batches:
+    """Leaves of two nodes that share keys, and how many.  A leaf is not paired with itself."""
+    bits = np.arange(1 << FANOUT_BITS)
+    for batch in batches:
+        found: list[np.ndarray] = []
+        for a, b, held in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "held")), strict=True):
+            left, right, keys = (np.array([h[k] for h in held], np.int64) for k in ("leaves_a", "leaves_b", "keys"))
+            has_a, has_b = (left[:, None] >> bits) & 1, (right[:, None] >> bits) & 1
+            shared = (has_a * keys[:, None]).T @ has_b
+            if a == b:
+                shared = np.triu(shared, 1)
+            x, y = np.nonzero(shared)
+            found.append(np.stack([(a << FANOUT_BITS) | x, (b << FANOUT_BITS) | y, shared[x, y]]))
+        rows = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        yield pa.record_batch([pa.array(r) for r in rows], names=["a", "b", "count"])
+
+
 def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` of tree nodes that may hold a link between components."""
 
@@ -420,9 +437,11 @@ def remaining_links(
     )
     held = live.join(places, "rep")
     low, high = F.min("component").alias("from"), F.max("component").alias("to")
+    # The leaves of a node that hold a key, as bits.
+    leaf = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("leaf").bitwiseAND((1 << FANOUT_BITS) - 1).cast("int"))
     by_node = stored(
         held.groupBy("key", "node").agg(
-            F.collect_set("leaf").alias("leaves"), low, high, F.min("size").alias("low"), F.max("size").alias("high")
+            F.bit_or(leaf).alias("leaves"), low, high, F.min("size").alias("low"), F.max("size").alias("high")
         ),
         "tree-keys",
     )
@@ -440,16 +459,10 @@ def remaining_links(
         F.col("node_high").alias("high"), F.col("node_slack").alias("slack"), F.col("node_one").alias("one"),
     )
     kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
-    # Within one node both orders of a pair are met; a key counts once.  Leaves meet themselves elsewhere.
-    once = (F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))
-    ends = (
-        met.join(kept, ["a", "b"])
-        .select("a", "b", F.explode("leaves_a").alias("x"), "leaves_b")
-        .select("a", "b", "x", F.explode("leaves_b").alias("y"))
-        .where(once)
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    )
-    counted = ends.groupBy("a", "b").count()
+    # Keys by node pair and leaves; the leaves of two nodes are paired where all their keys are together.
+    keys = met.join(kept, ["a", "b"]).groupBy("a", "b", "leaves_a", "leaves_b").agg(F.count("*").alias("keys"))
+    keys = keys.groupBy("a", "b").agg(F.collect_list(F.struct("leaves_a", "leaves_b", "keys")).alias("held"))
+    counted = keys.mapInArrow(_leaf_pairs, "a long, b long, count long")
     lows = tree.select(F.col("leaf"), "low")
     sized = (
         counted.join(lows.select(F.col("leaf").alias("a"), F.col("low").alias("low_a")), "a")
