@@ -67,8 +67,9 @@ def handover_share(
         "sector_name", F.col("moDistName").alias("distName")
     )
     # Attempts are summed per pair of names before the site view is joined in, so the join sees one
-    # row per neighbour instead of one per interval.
-    per_pair = (
+    # row per neighbour instead of one per interval.  Rows and totals of the share read the sums from a
+    # file, so counters and sites are scanned once.
+    per_pair = resolved(
         recent.where(F.col("M8015C8") > 0)
         .groupBy("distName", target_cell_id("extendedDistName").alias("ECI"))
         .agg(
@@ -80,17 +81,15 @@ def handover_share(
         .agg(
             F.sum("INTER_HO_ATT_NB").alias("INTER_HO_ATT_NB"),
             F.sum("INTER_HO_SUCC_NB").alias("INTER_HO_SUCC_NB"),
-        )
+        ),
+        "handover-pairs",
     )
     shares = share_of_total(per_pair, ["sector_name"], "INTER_HO_ATT_NB", "Total_ATT", "Share")
     targets = cells.where(F.col("eutraCelId").isNotNull()).select(
         F.col("eutraCelId").alias("target"), F.col("LNCEL_Name").alias("LNCEL_Name_tgt")
     )
-    # A pair without a target id counts in the total only.  A plain join key would have Spark filter
-    # those pairs out below the sums of one branch, and the counters would be summed twice over;
-    # with a key that is never NULL both branches share the shuffled sums.
-    target_key = F.coalesce("ECI", F.lit(""))
-    return shares.join(targets, target_key == F.col("target")).select(
+    # A pair without a target id counts in the total only.
+    return shares.join(targets, F.col("ECI") == F.col("target")).select(
         F.col("sector_name").alias("LNCEL_Name"),
         "LNCEL_Name_tgt",
         "INTER_HO_ATT_NB",

@@ -44,6 +44,11 @@ class SiteViews:
 History = DataFrame | SiteViews
 
 
+def shared(history: History) -> SiteViews:
+    """The history as views, for a plan that reads one of them more than once."""
+    return history if isinstance(history, SiteViews) else SiteViews(history)
+
+
 def newest_sites(history: History, key: str = CELL_LEVEL, as_of: str | date | None = None) -> DataFrame:
     """The newest records per key of a history, from the shared view if there is one."""
     if isinstance(history, SiteViews):
