@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +93,42 @@ class Contents:
 
 
 def _anchor_rows(batches: Batches) -> Batches:
-    """The anchors of every text, with a digest of all bytes that the anchor's strings cover."""
-    names = ["digest", "content", "doc", "text_crc32", "first", "last"]
+    """The anchors of every text, with a digest of all bytes that the anchor's strings cover.
+
+    Of anchors of one content in a batch all but the earliest are ``sure`` to start earlier elsewhere.  They
+    need not meet any other, so they are dealt by their own place: what recurs in very many documents,
+    or very often in one, is not gathered.
+    """
+    names = ["sure", "digest", "content", "doc", "text_crc32", "first", "last"]
     contents = Contents()
     for batch in batches:
-        for doc, crc, text in zip(batch.column("doc"), batch.column("text_crc32"), batch.column("text"), strict=True):
-            data = _bytes(text)
+        ids = list(zip(batch.column("doc").to_pylist(), batch.column("text_crc32").to_pylist(), strict=True))
+        parts: list[tuple[np.ndarray, ...]] = []
+        for i in sorted(range(len(ids)), key=ids.__getitem__):
+            data = _bytes(batch.column("text")[i])
             at, digest, first, last = anchors(data)
             n = len(digest)
             if n:
                 content = contents.of(data, first, last + WIDTH) ^ (at - first).astype(np.uint64)
-                columns = [digest, content.view(np.int64), np.full(n, doc.as_py()), np.full(n, crc.as_py())]
-                columns += [first.astype(np.int32), last.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=names)
+                parts.append((digest, content.view(np.int64), np.full(n, ids[i][0]), np.full(n, ids[i][1]), first, last))
+        if not parts:
+            continue
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort(columns[1::-1])  # stable: documents and places stay in order
+        digest, content, doc, crc, first, last = (c[order] for c in columns)
+        same = np.append(False, (digest[1:] == digest[:-1]) & (content[1:] == content[:-1]))
+        twin = same & np.append(False, (doc[1:] == doc[:-1]) & (crc[1:] == crc[:-1]) & (first[1:] == first[:-1]))
+        sure = same & ~twin
+        own = (doc.view(np.uint64) * np.uint64(FACTOR)) ^ first.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        digest = np.where(sure, (own ^ (own >> np.uint64(29))).view(np.int64), digest)
+        found = [sure, digest, content, doc, crc, first.astype(np.int32), last.astype(np.int32)]
+        yield pa.record_batch([pa.array(c[~twin]) for c in found], names=names)
 
 
 def _settled(batches: Batches) -> Batches:
     """Of anchors sorted by digest, content, document and place those that are settled, or still open.
 
-    Of anchors with one content all strings are equal, so those of all but the earliest start earlier
+    Sure ones are settled.  Of the other anchors with one content all strings are equal, so those of all but the earliest start earlier
     elsewhere: settled.  The earliest ones are open if their digest has other contents too, and nothing
     else is to be done about the rest.  One row is held back, the earliest of the present content while it
     is the first of its digest.
@@ -120,6 +138,12 @@ def _settled(batches: Batches) -> Batches:
     before: tuple | None = None  # the row in front of the batch
     held: tuple | None = None  # the earliest row of a digest with one content so far
     for batch in batches:
+        sure = batch.column("sure")
+        passed = batch.filter(sure)
+        yield pa.record_batch(
+            [pa.array(np.zeros(passed.num_rows, bool)), *[passed.column(c) for c in names[1:]]], schema=_SETTLED
+        )
+        batch = batch.filter(pc.invert(sure))
         n = batch.num_rows
         if not n:
             continue
@@ -313,7 +337,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     n = shuffle_partitions(docs.sparkSession)
     places = rows.select("doc", "text_crc32", "text").mapInArrow(
-        _anchor_rows, "digest long, content long, doc long, text_crc32 long, first int, last int"
+        _anchor_rows, "sure boolean, digest long, content long, doc long, text_crc32 long, first int, last int"
     )
     settled = places.repartition(n, "digest").sortWithinPartitions("digest", "content", "doc", "text_crc32", "first")
     found = stored(settled.mapInArrow(_settled, "open boolean, doc long, text_crc32 long, first int, last int"), "suffix-anchors")
