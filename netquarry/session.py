@@ -36,6 +36,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Work folders handed out in this process, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
@@ -47,7 +51,23 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="netquarry-")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the work folders handed out to this application; returns how many there were.
+
+    For the end of a run, when what it made has been delivered: frames that read from these folders, such as
+    shared views, cannot be read any more.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    found = 0
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        found += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return found
 
 
 def resolved(df: DataFrame, purpose: str) -> DataFrame:

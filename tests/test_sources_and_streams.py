@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from netquarry import sources as IO
 from netquarry.operators.aggregates import time_rollup
 from netquarry.operators.snapshots import latest_snapshot
-from netquarry.session import prepare, work_folder
+from netquarry import session
+from netquarry.session import prepare, resolved, work_folder
 from netquarry.streaming import stream_rollup
 
 
@@ -112,6 +113,13 @@ def test_prepare_keeps_what_its_owner_set(spark):
         spark.conf.set("spark.sql.session.timeZone", before)
 
 
+def test_work_folders_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "_HANDED_OUT", {})
+    kept, other = resolved(spark.range(3), "a"), resolved(spark.range(4), "b")
+    assert kept.count() + other.count() == 7 and session.clear_work(spark) == 2
+    assert not glob.glob(kept.inputFiles()[0].removeprefix("file://")) and session.clear_work(spark) == 0
+
+
 def test_work_folder_uses_the_shared_setting(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = work_folder(spark, "x"), work_folder(spark, "x")
