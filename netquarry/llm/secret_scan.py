@@ -29,7 +29,7 @@ ENCODINGS = {
     "base64": (r"^[A-Za-z0-9+/]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
     "base64url": (r"^[A-Za-z0-9_-]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_"),
 }
-BINS = 100
+BINS, LEAST_BIN = 100, 2
 BLOCK = 256
 
 
@@ -171,12 +171,14 @@ def with_battery(df: DataFrame, column: str) -> DataFrame:
     return step(df, combined, (*place, "stratum"))
 
 
-def random_limits(tested: DataFrame, rate: float) -> DataFrame:
+def random_limits(tested: DataFrame, rate: float, prior: float) -> DataFrame:
     """``stratum, bin``: strings of a stratum (encoding and class of length) in this bin of p and above pass.
 
     Random strings have even p-values, words small ones.  The number of random strings follows from the
     upper half of the p-values; the limit is the lowest bin from which on at most ``rate`` of the strings
-    are too many for it.  A stratum has at most ``BINS`` bins, which bounds the windows.
+    are too many for it.  In front of bin ``LEAST_BIN``, where one random string in fifty lies, that is all;
+    behind it ``prior`` random strings are taken for granted.  So a lone key is found among words, which
+    may cost about ``prior`` false finds in a stratum, whatever its size.  A stratum has at most ``BINS`` bins, which bounds the windows.
     """
     bin_of = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int")
     bins = (
@@ -187,16 +189,20 @@ def random_limits(tested: DataFrame, rate: float) -> DataFrame:
     stratum = Window.partitionBy("stratum")
     upper = F.sum(F.when(F.col("bin") * 2 >= BINS, F.col("n")).otherwise(0)).over(stratum)
     above = F.sum("n").over(stratum.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    expected = 2 * upper * (1 - F.col("bin") / F.lit(float(BINS)))
+    # Between two bins that hold strings any may be the limit, and the lowest expects most.
+    after = F.coalesce(F.lag("bin").over(stratum.orderBy("bin")) + 1, F.lit(0))
+    low = F.when(F.col("bin") >= LEAST_BIN, F.greatest(after, F.lit(LEAST_BIN))).otherwise(after)
+    granted = F.when(F.col("low") >= LEAST_BIN, F.lit(prior)).otherwise(0.0)
+    expected = (F.col("random") + granted) * (1 - F.col("low") / F.lit(float(BINS)))
     return (
-        bins.withColumns({"above": above, "expected": expected})
-        .where(F.col("above") - F.col("expected") <= rate * F.col("above"))
+        bins.withColumns({"above": above, "random": 2 * upper, "low": low})
+        .where(F.col("above") - expected <= rate * F.col("above"))
         .groupBy("stratum")
-        .agg(F.min("bin").alias("bin"))
+        .agg(F.min("low").alias("bin"))
     )
 
 
-def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.1) -> DataFrame:
+def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = 0.1, prior: float = 2.0) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` and ``n_random``, a row per document.
 
     Base spans follow the fixed patterns.  A further span (``random``) is a run of key characters that
@@ -226,7 +232,7 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     )
     rows = with_battery(rows.withColumn("tested", free), "tested")
     rows = stored(rows.select("doc_id", "base", "tested"), "secrets-tested")
-    limits = random_limits(rows, rate)
+    limits = random_limits(rows, rate, prior)
     limit_map = limits.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "bin"))).alias("limits")).scalar()
     rows = rows.withColumn("limits", limit_map)
     passed = F.filter(
