@@ -237,8 +237,11 @@ def _tree(sets: DataFrame, labels: DataFrame | None, purpose: str) -> DataFrame:
     # Without labels every document is its own component: then the most central ones come first.
     inner = ["component"] if labels is not None else []
     order = [F.col("widest"), *[F.col(c) for c in inner], F.desc("central"), F.col("rep")]
-    ranged = named.repartitionByRange(shuffle_partitions(sets.sparkSession), *order).sortWithinPartitions(*order)
-    return stored(ranged.mapInArrow(_deal, _TREE), purpose)
+    parts = shuffle_partitions(sets.sparkSession)
+    ranged = named.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # No more parts than there are whole nodes, so that nodes are full: neighbouring parts go together.
+    nodes = -(-sets.count() // (LEAF_DOCUMENTS << FANOUT_BITS))
+    return stored(ranged.coalesce(max(1, min(parts, nodes))).mapInArrow(_deal, _TREE), purpose)
 
 
 # ---- dual traversal ---------------------------------------------------------------------------
@@ -458,10 +461,10 @@ def remaining_links(
         F.col("node").alias("id"), F.col("node_bits").alias("bits"), F.col("node_low").alias("low"),
         F.col("node_high").alias("high"), F.col("node_slack").alias("slack"), F.col("node_one").alias("one"),
     )
-    kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
     # Keys by node pair and leaves; the leaves of two nodes are paired where all their keys are together.
-    keys = met.join(kept, ["a", "b"]).groupBy("a", "b", "leaves_a", "leaves_b").agg(F.count("*").alias("keys"))
-    keys = keys.groupBy("a", "b").agg(F.collect_list(F.struct("leaves_a", "leaves_b", "keys")).alias("held"))
+    met = stored(met.groupBy("a", "b", "leaves_a", "leaves_b").agg(F.count("*").alias("keys")), "tree-node-pairs")
+    kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
+    keys = met.join(kept, ["a", "b"]).groupBy("a", "b").agg(F.collect_list(F.struct("leaves_a", "leaves_b", "keys")).alias("held"))
     counted = keys.mapInArrow(_leaf_pairs, "a long, b long, count long")
     lows = tree.select(F.col("leaf"), "low")
     sized = (
