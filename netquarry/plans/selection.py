@@ -18,7 +18,7 @@ NO_CLUSTER = "0"
 MODES = ("set", "baseline", "intersection")
 
 
-def site_directory(histories: Mapping[str, DataFrame]) -> DataFrame:
+def site_directory(histories: Mapping[str, History]) -> DataFrame:
     """``site_name, sector_name, region, cluster, Technology`` of all current, complete cells.
 
     ``histories`` maps a technology tag to its site history.
