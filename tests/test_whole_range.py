@@ -17,6 +17,7 @@ LEFT_OUT = {
     "C07_audit_rssi": "2000-01-01",
     "C08_audit_rtwp": "1996-01-01",
     "C09_audit_multi_tac": "2000-01-01",
+    "C10_audit_tac_lac": "2000-01-01",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
