@@ -18,6 +18,8 @@ LEFT_OUT = {
     "C08_audit_rtwp": "1996-01-01",
     "C09_audit_multi_tac": "2000-01-01",
     "C10_audit_tac_lac": "2000-01-01",
+    "C11_audit_missing_relations_detail": "2000-01-01",
+    "C11_audit_missing_relations_summary": "2000-01-01",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
