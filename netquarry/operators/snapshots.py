@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date, datetime
+from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -51,17 +52,26 @@ def latest_per_key(
 ) -> DataFrame:
     """Rows carrying the newest ``ts`` of their key; ties are all kept, NULL keys drop out.
 
-    The newest time per key is a partial aggregate over two narrow columns, so a key that owns a
-    large share of the history costs nothing extra.  Its result (one row per key) is then matched
-    back: broadcast if small, else by a shuffle in which adaptive execution splits a hot key, ties
-    included.  A ranking window would gather all ties of a key in one task.  ``as_of`` looks only at
-    rows up to that time.
+    The history is read once, and every task keeps only the rows with the newest ``ts`` it has seen of a
+    key (window group limit) before anything is shuffled.  A key that owns a large share of the history
+    sends its newest rows per task; the ties of one key end in one task, which holds them on disk if
+    they are many.  ``as_of`` looks only at rows up to that time.
     """
     past = history
     if as_of is not None:
         past = history.where(F.col(ts) <= F.lit(str(as_of)).cast(history.schema[ts].dataType))
-    newest = past.groupBy(*keys).agg(F.max(ts).alias(ts))
-    return past.join(newest, on=[*keys, ts], how="left_semi")
+    if not keys:
+        return past.join(past.agg(F.max(ts).alias(ts)), on=ts, how="left_semi")
+    ranking = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
+    position = "__position"
+    others = [f"`{c}`" for c in history.columns if c not in (*keys, ts)]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, ts)])
+    return (
+        past.where(known)
+        .withColumn(position, F.rank().over(ranking))
+        .where(F.col(position) == 1)
+        .select(*keys, ts, *others)
+    )
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,7 @@ from netquarry.session import resolved
 
 # Fixed value: the status, and the filler of missing codes, of a pair not seen elsewhere.
 NOT_OK = "NO-OK"
+_CELL_COLUMNS = ("moDistName", "sector_name", "site_name", "longitud", "latitud")
 
 
 def current_cells(site_history: History, as_of: str | date | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def audit_tac_lac(
     A site known at several positions gives a row for each of them.  The coded cells and the network of
     pairs are resolved once; sites are flagged, and a partial count per pair tells which occur elsewhere.
     """
-    lte, umts = current_cells(shared(lte_sites), as_of), current_cells(umts_sites, as_of)
+    lte, umts = current_cells(shared(lte_sites, _CELL_COLUMNS), as_of), current_cells(umts_sites, as_of)
     # Whether any cell of a site is in the set; cells without an area code count too.
     marked = lte.join(_set_of(site_dns, lte), on="parent", how="left")
     evaluated = marked.groupBy("site_name").agg(F.max(F.coalesce("in_set", F.lit(False))).alias("evaluated"))

@@ -21,7 +21,7 @@ from netquarry.functions.text import text_before
 from netquarry.operators.aggregates import offered_to_levels, split_kpis_by_scale, time_rollup
 from netquarry.operators.filters import Members, members, probable_members
 from netquarry.operators.reshape import pivot_values
-from netquarry.plans.views import CELL_LEVEL, SITE_LEVEL, History, SiteViews, shared, site_view
+from netquarry.plans.views import CELL_LEVEL, SITE_LEVEL, VIEW_COLUMNS, History, SiteViews, shared, site_view
 from netquarry.session import resolved
 
 # What a result row may stand for, and the site attribute that names it.
@@ -235,7 +235,7 @@ def kpi_query(
     wanted: dict[tuple[str, str], DataFrame] = {}
     parts = []
     for group in selected_kpis(catalog, kpi_ids):
-        views = known.setdefault(group.technology, shared(site_histories[group.technology]))
+        views = known.setdefault(group.technology, shared(site_histories[group.technology], VIEW_COLUMNS))
         if (at := (group.technology, group.level)) not in wanted:
             chosen = _wanted_sites(views.at(group.level), group.level, cells)
             wanted[at] = chosen if cells is None else resolved(chosen, "wanted-sites")
@@ -276,7 +276,7 @@ def kpi_frame(
     label = {"sector_name": "Cell", "site_name": "Site", None: "Element"}[groupby]
     shown = F.lit(WHOLE_SET) if groupby is None else F.col(groupby)
     frames = []
-    views = shared(site_history)
+    views = shared(site_history, VIEW_COLUMNS)
     for group in selected_kpis(catalog, kpi_ids, technology):
         view = views.at(group.level)
         if sites is not None:

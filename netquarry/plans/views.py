@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -13,17 +14,20 @@ from netquarry.session import resolved
 
 CELL_LEVEL = "sector_name"
 SITE_LEVEL = "site_name"
+# What a view to join counters with is made of.
+VIEW_COLUMNS = ("moDistName", "sector_name", "site_name", "level_2", "band")
 
 
 class SiteViews:
     """The current records of one site history, each view resolved once to a file.
 
     Whatever takes a site history takes this instead; then all that one run asks of it reads the same
-    file, whose size is known, and the history itself is scanned once per view.
+    file, whose size is known, and the history itself is scanned once per view.  ``columns`` are those the
+    run needs; a file keeps no others.
     """
 
-    def __init__(self, history: DataFrame) -> None:
-        self.history = history
+    def __init__(self, history: DataFrame, columns: Sequence[str] | None = None) -> None:
+        self.history = history if columns is None else history.select(*dict.fromkeys([*columns, "export_date"]))
         self._kept: dict[tuple[str, str | None], DataFrame] = {}
 
     def newest(self, key: str = CELL_LEVEL, as_of: str | date | None = None) -> DataFrame:
@@ -34,7 +38,9 @@ class SiteViews:
         return self._kept[name]
 
     def at(self, level: str) -> DataFrame:
-        """Objects to join counters with."""
+        """Objects to join counters with; those of cells are read from the file of their newest records."""
+        if level == CELL_LEVEL:
+            return site_view(self, level)
         name = ("view", level)
         if name not in self._kept:
             self._kept[name] = resolved(site_view(self, level), f"site-view-{level}")
@@ -44,9 +50,9 @@ class SiteViews:
 History = DataFrame | SiteViews
 
 
-def shared(history: History) -> SiteViews:
-    """The history as views, for a plan that reads one of them more than once."""
-    return history if isinstance(history, SiteViews) else SiteViews(history)
+def shared(history: History, columns: Sequence[str] | None = None) -> SiteViews:
+    """The history as views, for a plan that reads one of them more than once, with the columns it needs."""
+    return history if isinstance(history, SiteViews) else SiteViews(history, columns)
 
 
 def newest_sites(history: History, key: str = CELL_LEVEL, as_of: str | date | None = None) -> DataFrame:
