@@ -22,6 +22,7 @@ from netquarry.plans.reports import (
     kpis_to_request,
     sites_by_parent,
 )
+from netquarry.plans.views import VIEW_COLUMNS
 from netquarry.session import work_folder
 from netquarry.sources import kpi_catalog, write_report
 from netquarry.streaming import stream_rollup
@@ -105,6 +106,15 @@ _SITE_VIEW_SQL = """site_view AS (SELECT DISTINCT split_part(h."moDistName", '/L
   ON h.site_name = m.site_name AND h.export_date = m.newest)"""
 
 
+# The column that names the controller of a cell.
+_CONTROLLER = {"LTE": [], "UMTS": ["rnc_name"], "GSM": ["bsc_name"]}
+
+
+def _views(spark: SparkSession, d: str, technology: str) -> P.SiteViews:
+    """The history of a run, resolved once, with the columns that reports need."""
+    return P.SiteViews(s.site_history(spark, d, technology), [*VIEW_COLUMNS, *_CONTROLLER[technology]])
+
+
 def _frame(
     spark: SparkSession,
     d: str,
@@ -158,7 +168,7 @@ SELECT "Date" AS "Period start time", concat('MRBTS-', split_part("Cell", '_', 1
 def _(spark: SparkSession, d: str) -> DataFrame:
     kpis = kpis_to_request("lte_cell")
     half = len(kpis) // 2
-    views = P.SiteViews(s.site_history(spark, d, "LTE"))
+    views = _views(spark, d, "LTE")
     return P.report_lte_cell(
         _frame(spark, d, "LTE", kpis[:half], "sector_name", views=views),
         _frame(spark, d, "LTE", kpis[half:], "sector_name", views=views),
@@ -179,8 +189,10 @@ probe AS (SELECT strftime(t, '%Y-%m-%d %H:%M:%S') AS "Date", site_name AS "Site"
   a::BIGINT AS "{mean_rtt}", m::BIGINT AS "{max_rtt}" FROM per_site JOIN names ON per_site.dn = names.dn)"""
 
 
-def _probes(spark: SparkSession, d: str, technology: str, marker: str, names: list[str], unit: str) -> DataFrame:
-    sites = sites_by_parent(s.site_history(spark, d, technology), marker)
+def _probes(
+    spark: SparkSession, d: str, technology: str, marker: str, names: list[str], unit: str, views: P.SiteViews
+) -> DataFrame:
+    sites = sites_by_parent(views, marker)
     return P.probe_kpis(s.probes(spark, d, technology), sites, unit, START, END, TZ, names)
 
 
@@ -199,8 +211,9 @@ SELECT k."Date" AS "Period start time", concat('MRBTS-', k."Site") AS "MRBTS nam
 FROM k LEFT JOIN probe p ON k."Date" = p."Date" AND k."Site" = p."Site" """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    kpis = _frame(spark, d, "LTE", LTE_SITE_KPIS, "site_name")
-    return P.report_lte_site(kpis, _probes(spark, d, "LTE", "/LNCEL", LTE_PROBE_KPIS, "month"))
+    views = _views(spark, d, "LTE")
+    kpis = _frame(spark, d, "LTE", LTE_SITE_KPIS, "site_name", views=views)
+    return P.report_lte_site(kpis, _probes(spark, d, "LTE", "/LNCEL", LTE_PROBE_KPIS, "month", views))
 
 
 @check(
@@ -212,8 +225,9 @@ SELECT "Date" AS "Period start time", 'PLMN' AS "PLMN name", rnc_name AS "RNC na
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     # The blanked KPI is in the frame on purpose.
-    frame = _frame(spark, d, "UMTS", UMTS_CELL_KPIS, "sector_name")
-    return P.report_umts_cell(frame, s.site_history(spark, d, "UMTS"))
+    views = _views(spark, d, "UMTS")
+    frame = _frame(spark, d, "UMTS", UMTS_CELL_KPIS, "sector_name", views=views)
+    return P.report_umts_cell(frame, views)
 
 
 @check(
@@ -225,9 +239,10 @@ SELECT w."Date" AS "Period start time", 'PLMN' AS "PLMN name", rnc_name AS "RNC
 FROM w LEFT JOIN probe p ON w."Date" = p."Date" AND w."Site" = p."Site" JOIN ids ON w."Site" = ids.site_name""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    kpis = _frame(spark, d, "UMTS", UMTS_SITE_KPIS, "site_name")
-    probe_frame = _probes(spark, d, "UMTS", "/WCEL", UMTS_PROBE_KPIS, "month")
-    return P.report_umts_site(kpis, probe_frame, s.site_history(spark, d, "UMTS"))
+    views = _views(spark, d, "UMTS")
+    kpis = _frame(spark, d, "UMTS", UMTS_SITE_KPIS, "site_name", views=views)
+    probe_frame = _probes(spark, d, "UMTS", "/WCEL", UMTS_PROBE_KPIS, "month", views)
+    return P.report_umts_site(kpis, probe_frame, views)
 
 
 @check(
@@ -238,8 +253,9 @@ SELECT "Date" AS "Period start time", bsc_name AS "BSC name", split_part("Cell",
 {_empty(GSM_CELL_KPIS, {"blck_5a": '"blck_5a"', "trf_1d": '"trf_1d"', "c001033": '"c001033"', "blck_5a_bh": '"blck_5a"', "trf_119": '"trf_1d"'})} FROM w JOIN ids ON "Cell" = sector_name""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    frame = _frame(spark, d, "GSM", kpis_to_request("gsm_cell"), "sector_name")
-    return P.report_gsm_cell(frame, s.site_history(spark, d, "GSM"))
+    views = _views(spark, d, "GSM")
+    frame = _frame(spark, d, "GSM", kpis_to_request("gsm_cell"), "sector_name", views=views)
+    return P.report_gsm_cell(frame, views)
 
 
 def _run_branch(technology: str, report: str, column: str) -> str:
@@ -255,6 +271,9 @@ WHERE l_shipdate >= TIMESTAMP '1998-01-01 05:00:00' AND l_shipdate < TIMESTAMP '
 UNION ALL {_run_branch("UMTS", "umts_cell", "sector_name")} UNION ALL {_run_branch("LTE", "lte_cell", "sector_name")}""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
+    # One run reads each history once.
+    views = {t: _views(spark, d, t) for t in ("LTE", "UMTS", "GSM")}
+
     def frame(technology: str, kpis: list[str], groupby: str, period: ReportRange) -> DataFrame:
         return P.kpi_frame(
             _counters(spark, d, technology),
@@ -263,20 +282,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
             kpis,
             period.start,
             period.end,
-            s.site_history(spark, d, technology),
+            views[technology],
             groupby=groupby,
             unit=period.unit,
             tz=TZ,
         )
 
     def umts_site(period: ReportRange) -> DataFrame:
-        history = s.site_history(spark, d, "UMTS")
-        sites = sites_by_parent(history, "/WCEL")
+        sites = sites_by_parent(views["UMTS"], "/WCEL")
         probe_frame = P.probe_kpis(
             s.probes(spark, d, "UMTS"), sites, period.unit, period.start, period.end, TZ, UMTS_PROBE_KPIS
         )
         kpis = frame("UMTS", UMTS_SITE_KPIS, "site_name", period)
-        return P.report_umts_site(kpis, probe_frame, history)
+        return P.report_umts_site(kpis, probe_frame, views["UMTS"])
 
     def broken(period: ReportRange) -> DataFrame:
         """Fails in a task, while it is being written."""
@@ -292,11 +310,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "lte_cell": lambda p: P.report_lte_cell(frame("LTE", ["LTE_5239a"], "sector_name", p)),
         "lte_site": broken,
         "umts_cell": lambda p: P.report_umts_cell(
-            frame("UMTS", ["RNC_183c"], "sector_name", p), s.site_history(spark, d, "UMTS")
+            frame("UMTS", ["RNC_183c"], "sector_name", p), views["UMTS"]
         ),
         "umts_site": umts_site,
         "gsm_cell": lambda p: P.report_gsm_cell(
-            frame("GSM", ["blck_5a"], "sector_name", p), s.site_history(spark, d, "GSM")
+            frame("GSM", ["blck_5a"], "sector_name", p), views["GSM"]
         ),
     }
     made, failures, period = P.run_reports(builders, "1998-01-01", "1998-12-31", "Hour", deliver)

@@ -194,13 +194,16 @@ def report_lte_site(kpis: DataFrame, probe_frame: DataFrame) -> DataFrame:
 
 
 def controllers(site_history: History, name_column: str) -> DataFrame:
-    """Controller name and the three ids in the DN of every current cell, distinct."""
+    """Controller name and the three ids in the DN of every current cell, distinct.
+
+    The rows are dealt by the cell they are joined on, so one shuffle makes them distinct and joins them.
+    """
     current = newest_sites(site_history)
     return current.select(
         F.col(name_column).alias("controller"),
         *[nth_integer("moDistName", n).alias(f"id_{n}") for n in (1, 2, 3)],
         F.col("sector_name").alias("Cell"),
-    ).distinct()
+    ).repartition("Cell").distinct()
 
 
 def report_umts_cell(
