@@ -77,7 +77,7 @@ def cells(
     """Orders with the nation of their customer, and its names on request."""
     customer = table(spark, folder, "customer")
     orders = (
-        spread(spark, folder, "orders", "o_orderkey")
+        spread(spark, folder, "orders", "o_custkey")
         if evenly
         else table(spark, folder, "orders")
     )
