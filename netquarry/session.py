@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     # Split a hot key even where that costs a further shuffle behind the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A task writes the days and classes of a dump side by side, and sorts its rows only if there are more.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 
