@@ -117,7 +117,8 @@ def antenna_tilts(cm: Snapshots, sites: Members | None = None) -> DataFrame:
 
     Channels tie a cell to antenna lines, units list the lines they move.  Units are taken on the
     newest day of the ALD class.  Only distinct tilts are asked for, so both sides are made distinct
-    before they meet: many copies of a line would otherwise multiply.
+    before they meet: many copies of a line would otherwise multiply.  Rows are dealt by what they are
+    joined on next, here and in the audits, before they are made distinct, so one shuffle serves both.
     """
     channels = (
         latest_snapshot(cm, "CHANNEL")
@@ -126,25 +127,27 @@ def antenna_tilts(cm: Snapshots, sites: Members | None = None) -> DataFrame:
             *map_columns("parameters", ["antlDN"]),
         )
         .where(F.col("LCELL_id").isNotNull())
+        .repartition("MRBTS_id", "LCELL_id")
         .distinct()
     )
-    cells = latest_snapshot(cm, "LNCEL")
-    if sites is not None:
-        cells = in_sites(cells, "mo_distname", sites)
-    cells = cells.select(
+    cells = latest_snapshot(cm, "LNCEL").select(
         *map_columns("ids", {"MRBTS": "MRBTS_id"}),
         "mo_distname",
         *map_columns("parameters", {"lcrId": "LCELL_id", "name": "name"}),
     )
+    if sites is not None:
+        cells = in_sites(cells, "mo_distname", sites)
     units = latest_snapshot(cm, "RETU", dated_by="ALD").select(
         *map_columns("ids", {"MRBTS": "MRBTS_id"}),
         *map_columns("parameters", ["angle"]),
         F.explode(F.element_at("p_lists", F.lit("antlDNList"))).alias("antlDN"),
-    ).distinct()
+    )
+    units = units.repartition("MRBTS_id", "antlDN").distinct()
     return (
         channels.join(cells, on=["MRBTS_id", "LCELL_id"])
         .join(units, on=["MRBTS_id", "antlDN"])
         .select("name", "mo_distname", "antlDN", "angle")
+        .repartition("name")
         .distinct()
         .select(
             "name",
