@@ -38,11 +38,12 @@ def lte_cells(cm: Snapshots) -> DataFrame:
 
 
 def site_adjacency(cm: Snapshots, sites: Members | None = None) -> DataFrame:
-    current = latest_snapshot(cm, "LNADJ")
-    chosen = current if sites is None else in_sites(current, "mo_distname", sites)
-    return chosen.select(
-        *map_columns("ids", {"LNBTS": "LNBTS_id"}), *map_columns("parameters", ["adjEnbId"])
+    # Single values go through the join with the sites, not whole maps.
+    current = latest_snapshot(cm, "LNADJ").select(
+        "mo_distname", *map_columns("ids", {"LNBTS": "LNBTS_id"}), *map_columns("parameters", ["adjEnbId"])
     )
+    chosen = current if sites is None else in_sites(current, "mo_distname", sites)
+    return chosen.drop("mo_distname")
 
 
 def handover_share(
@@ -165,9 +166,11 @@ def audit_missing_relations(
     expected = join_within_angle(
         sources, targets, "site_name", "azimuth_src", "azimuth_tgt", tolerance
     )
-    relations = in_sites(latest_snapshot(cm, "LNRELW"), "mo_distname", sites).select(
-        text_before("mo_distname", "LNRELW", back=1).alias("mo_distname_src"),
-        *map_columns("parameters", {"targetCellDn": "mo_distname_tgt"}),
+    configured = latest_snapshot(cm, "LNRELW").select(
+        "mo_distname", *map_columns("parameters", {"targetCellDn": "mo_distname_tgt"})
+    )
+    relations = in_sites(configured, "mo_distname", sites).select(
+        text_before("mo_distname", "LNRELW", back=1).alias("mo_distname_src"), "mo_distname_tgt"
     )
     detail = missing_relations(expected, relations, ["mo_distname_src", "mo_distname_tgt"])
 
