@@ -39,11 +39,10 @@ class SiteViews:
 
     def at(self, level: str) -> DataFrame:
         """Objects to join counters with; those of cells are read from the file of their newest records."""
-        if level == CELL_LEVEL:
-            return site_view(self, level)
         name = ("view", level)
         if name not in self._kept:
-            self._kept[name] = resolved(site_view(self, level), f"site-view-{level}")
+            view = site_view(self, level)
+            self._kept[name] = view if level == CELL_LEVEL else resolved(view, f"site-view-{level}")
         return self._kept[name]
 
 
