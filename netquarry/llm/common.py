@@ -19,14 +19,23 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
+# Spark deletes the shuffle files of a query when it ends, and not when the driver's memory is next collected.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 
     Cuts the lineage: a lost executor costs a new read of the file and not a new computation, and
-    what several consumers need is computed once.
+    what several consumers need is computed once.  What was shuffled for it is deleted with the write.
     """
-    path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    path, before = work_folder(df.sparkSession, purpose), conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

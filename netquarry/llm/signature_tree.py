@@ -16,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netquarry.llm.common import shuffle_partitions, stored, whole_text
 from netquarry.llm.shingles import SHINGLE_WORDS, Shingles, connected_components
+from netquarry.operators.filters import probable_members
 
 LEAST_PERCENT = 80
 # Linked sets share this percentage of the smaller one among their rarest shingles, which are as many more.
@@ -149,8 +151,9 @@ def full_sets(members: DataFrame, rows: DataFrame) -> DataFrame:
     """``rep, size, widest, central, shingles`` of the documents in ``members`` (``key, rep, n``).
 
     ``widest`` is the key that most documents share with this one, ``central`` counts all that share
-    one: the text that others were copied from has the largest.
+    one: the text that others were copied from has the largest.  Most texts have no member and are not shuffled.
     """
+    rows = probable_members(rows, F.col("doc_id"), members.select("rep"))
     about = members.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("top"), F.sum("n").alias("central"))
     about = about.select("rep", F.col("top.key").alias("widest"), "central")
     return rows.join(about, rows["doc_id"] == about["rep"]).mapInArrow(_full_sets, _SETS)
@@ -503,8 +506,9 @@ def jaccard_components(
         F.min("doc_id").alias("rep"), least.alias("of")
     )
     keyed = chosen.select("rep", F.col("of.n_shingles").alias("size"), F.explode("of.keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(keyed.join(shared, "key"), "tree-met")
+    # Keys are counted where they lie: one shuffle, and the texts of a digest are chosen once.
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    met = stored(counted.where("n > 1"), "tree-met")
     # A document that shares too few of its rarest shingles, with whomever, is linked with nothing.
     enough = met.groupBy("rep", "size").agg(F.count("*").alias("shared"))
     enough = enough.where(F.col("shared") >= least_shared(F.col("size"), percent)).select("rep").distinct()

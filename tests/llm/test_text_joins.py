@@ -3,13 +3,16 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from netquarry.llm import signature_tree
+from netquarry.llm.common import SHUFFLE_CLEANUP, stored
 from netquarry.llm.shingles import Shingles
 from netquarry.llm.signature_tree import jaccard_components
 from netquarry.llm.spelling import differ_by_one, pivots, spelling_variants
@@ -178,3 +181,37 @@ def test_pivots_are_the_cheapest_disjoint_grams():
         chosen = pivots(grams, 2)
         assert sum(w for _, w in chosen) == min(a[1] + b[1] for a, b in pairs)
         assert abs(chosen[0][0] - chosen[1][0]) >= 2
+
+
+def test_keys_and_partners_texts_are_shuffled_once(spark, monkeypatch):
+    plans = {}
+    plain = signature_tree.stored
+
+    def recording(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, purpose)
+
+    monkeypatch.setattr(signature_tree, "stored", recording)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "alone"), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+    # One shuffle by digest, one by key: keys are counted where they lie.
+    assert plans["tree-met"].count("Exchange hashpartitioning(") == 2
+    # Texts pass a bitmap of the documents with partners before they are shuffled.
+    assert "__bits" in plans["tree-sets"]
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for top in disk.localDirs() for f in Path(top.getPath()).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    kept = stored(spark.range(1000).repartition(4, "id"), "cleanup")
+    until = time.monotonic() + 10
+    while (left := files() - before) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not left and kept.count() == 1000
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
