@@ -500,18 +500,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     from netquarry.plans import lte_cells, site_adjacency
 
     cm = s.cm(spark, d, ["LNCEL", "LNCEL_FDD", "LNADJ"])
-    cells = lte_cells(cm)
+    cells = lte_cells(cm, ["LNBTS_id", "LNCEL_Name", "phyCellId", "eutraCelId", "earfcnDL"])
     names = cells.select(
         F.col("eutraCelId").alias("target"), F.col("LNCEL_Name").alias("LNCEL_Name_Dest")
     )
+    # Observations are dealt by order: there they are made distinct, and names are formed after the next shuffle.
     measured = (
         s.observations(spark, d, customer=False)
-        .select(
-            F.expr("concat('S', o_custkey, '_', o_orderkey)").alias("LNCEL_Name_Orig"),
-            F.col("l_partkey").cast("string").alias("target"),
-        )
+        .select("o_custkey", "o_orderkey", "l_partkey")
         .distinct()
-        .join(names, on="target")
+        .join(names, F.col("l_partkey").cast("string") == F.col("target"))
+        .withColumn("LNCEL_Name_Orig", F.expr("concat('S', o_custkey, '_', o_orderkey)"))
     )
     found = J.neighbour_pairs(
         measured.select("LNCEL_Name_Orig", "LNCEL_Name_Dest"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -22,10 +23,11 @@ CELL_PARAMETERS = {"name": "LNCEL_Name", "phyCellId": "phyCellId", "eutraCelId":
 CARRIER_PARAMETERS = ["earfcnDL", "rootSeqIndex", "prachCS", "prachFreqOff", "prachConfIndex"]
 
 
-def lte_cells(cm: Snapshots) -> DataFrame:
+def lte_cells(cm: Snapshots, columns: Sequence[str] | None = None) -> DataFrame:
     """Current cells with their carrier settings, from the two configuration classes.
 
     Several audits of a run, and each of them more than once, read them, so they are resolved to a file.
+    ``columns`` are those that the run needs; no others are shuffled and written.
     """
     ids = map_columns("ids", {"LNCEL": "LNCEL_id", "LNBTS": "LNBTS_id"})
     cells = latest_snapshot(cm, "LNCEL").select(
@@ -34,16 +36,22 @@ def lte_cells(cm: Snapshots) -> DataFrame:
     carriers = latest_snapshot(cm, "LNCEL_FDD").select(
         *ids, *map_columns("parameters", CARRIER_PARAMETERS)
     )
-    return resolved(cells.join(carriers, on=["LNCEL_id", "LNBTS_id"]), "lte-cells")
+    found = cells.join(carriers, on=["LNCEL_id", "LNBTS_id"])
+    return resolved(found if columns is None else found.select(*columns), "lte-cells")
 
 
 def site_adjacency(cm: Snapshots, sites: Members | None = None) -> DataFrame:
+    """Sites and their current adjacent sites, resolved to a file.
+
+    The newest day and its rows then come from one shuffle of the relations; with the conditions of a later
+    join on the rows alone, they would be computed twice.
+    """
     # Single values go through the join with the sites, not whole maps.
     current = latest_snapshot(cm, "LNADJ").select(
         "mo_distname", *map_columns("ids", {"LNBTS": "LNBTS_id"}), *map_columns("parameters", ["adjEnbId"])
     )
     chosen = current if sites is None else in_sites(current, "mo_distname", sites)
-    return chosen.drop("mo_distname")
+    return resolved(chosen.drop("mo_distname"), "site-adjacency")
 
 
 def handover_share(

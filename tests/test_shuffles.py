@@ -94,3 +94,10 @@ def test_tilts_are_dealt_by_what_they_join(spark, plain_joins):
     plan = text_of(frames)
     assert plan.count("Exchange hashpartitioning(name") == 1
     assert plan.count("Exchange hashpartitioning(MRBTS_id") == 4
+
+
+def test_neighbours_are_dealt_once_by_name(spark, plain_joins):
+    """Handovers are made distinct where they lie, and the adjacent sites come from a file."""
+    plan = text_of(all_queries()["J09_neighbour_pairs"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange hashpartitioning(LNCEL_Name_Orig") == 2
+    assert "hashpartitioning(o_custkey" not in plan and "mo_distname" not in plan
