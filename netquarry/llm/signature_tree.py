@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netquarry.llm.common import shuffle_partitions, stored, whole_text
+from netquarry.llm.common import arrow_rows, shuffle_partitions, stored, whole_text
 from netquarry.llm.shingles import SHINGLE_WORDS, Shingles, connected_components
 from netquarry.operators.filters import probable_members
 
@@ -30,6 +30,8 @@ COUNTER_BITS, PIECE_BITS = 20, 12
 # A leaf has this many documents and, unless it is a single one, this many shingles at most.
 LEAF_DOCUMENTS, LEAF_SHINGLES = 32, 1 << 17
 FANOUT_BITS = 5
+# Rows sent to Python at once: a text, a set, or the sets of two leaves.
+BATCH_ROWS = 500
 SIGNATURE_BITS = 14
 
 Batches = Iterator[pa.RecordBatch]
@@ -482,20 +484,8 @@ def remaining_links(
 # ---- the join ---------------------------------------------------------------------------------
 
 
-def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LEAST_PERCENT
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id``, a row per document.
-
-    Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
-    ``percent``; a component is all that links reach, and its id is the smallest in it.  Equal sets are one
-    class, represented by the smallest id.  The result is exact.
-
-    A text of fewer words is one shingle; null text or one without words has no shingles and is linked
-    with nothing.  Rows of one id count as one document where links are followed, but each gets its row
-    and count.  A class of null ids only is linked with nothing and has no component.  Other columns are
-    ignored, an empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of the documents, and the components of those that are linked."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ranks = shingle_ranks(rows)
     schema = "doc_id long, n_shingles long, digest binary, keys array<long>"
@@ -519,6 +509,25 @@ def jaccard_components(
     rest = remaining_links(members, sets, labels, percent, least_shared(F.col("low"), percent))
     if rest.limit(1).count():
         labels = connected_components(links.union(rest))
+    return sketches, labels
+
+
+def jaccard_components(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LEAST_PERCENT
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id``, a row per document.
+
+    Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
+    ``percent``; a component is all that links reach, and its id is the smallest in it.  Equal sets are one
+    class, represented by the smallest id.  The result is exact.
+
+    A text of fewer words is one shingle; null text or one without words has no shingles and is linked
+    with nothing.  Rows of one id count as one document where links are followed, but each gets its row
+    and count.  A class of null ids only is linked with nothing and has no component.  Other columns are
+    ignored, an empty table gives no rows.
+    """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        sketches, labels = _labelled(docs, doc_id, text, percent)
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classed = sketches.drop("keys").join(classes, "digest", "left").drop("digest")
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(

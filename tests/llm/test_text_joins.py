@@ -202,6 +202,21 @@ def test_keys_and_partners_texts_are_shuffled_once(spark, monkeypatch):
     assert "__bits" in plans["tree-sets"]
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain = signature_tree.stored
+
+    def recording(df, purpose):
+        seen.append(int(spark.conf.get(name)))
+        return plain(df, purpose)
+
+    monkeypatch.setattr(signature_tree, "stored", recording)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_components(docs).collect()} == {1}
+    assert seen and max(seen) <= 500 and spark.conf.get(name) == before
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
