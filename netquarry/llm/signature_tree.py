@@ -388,7 +388,15 @@ def _alone(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
 def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Likely | None, purpose: str) -> DataFrame:
     """Links within leaves and between the leaves of the pairs; only the latter are shuffled."""
     within = tree.select("one", *_HELD).mapInArrow(_alone(percent, likely), "a long, b long")
-    pairs = stored(pairs.where("a != b"), f"{purpose}-pairs")
+    # The sets of ``a`` are sent once for every pair: of both leaves that is the one with fewer shingles.
+    weight = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)
+    weights = tree.select(F.struct(weight.alias("weight"), "leaf").alias("of"))
+    for s in "ab":
+        named = weights.select(F.col("of").alias(f"of_{s}"), F.col("of.leaf").alias(s))
+        pairs = pairs.join(named, s)
+    lighter, heavier = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
+    pairs = pairs.where("a != b").select(lighter["leaf"].alias("a"), heavier["leaf"].alias("b"))
+    pairs = stored(pairs, f"{purpose}-pairs")
     side_a, side_b = (
         tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _HELD]).join(
             pairs.select(s).distinct(), s, "left_semi"
