@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import keep_matching, stored, whole_text
+from netquarry.llm.common import arrow_rows, keep_matching, stored, whole_text
 from netquarry.llm.shingles import Shingles, connected_components, mix64
-from netquarry.llm.signature_tree import first_links, full_sets, remaining_links
+from netquarry.llm.signature_tree import BATCH_ROWS, first_links, full_sets, remaining_links
 
 LEAST_PERCENT = 75
 BANDS, ROWS_PER_BAND = 40, 5
@@ -92,22 +92,8 @@ def _likely(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
     return estimate(np.array(left, np.int64), np.array(right, np.int64)) >= LEAST_PERCENT / 100 - MARGIN
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, a row per document.
-
-    Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
-    0.75.  Equal sets are one class, represented by the smallest id.  Representatives get 200 minima;
-    five of them make a band key, the low two bits of all of them the packed signature.  Documents that
-    share a band key are candidates.  They meet in leaves of neighbouring documents, where the signatures'
-    corrected estimate picks pairs to be confirmed on their full sets; pairs of one component are not
-    compared, so a group of copies costs in proportion to its members, and all others are, whatever the
-    size of a bucket.  A pair at exactly 0.75 shares no band with probability 2e-5.
-
-    A text of fewer words is one shingle; null text or one without words has no shingles and is linked
-    with nothing.  Rows of one id count as one document where links are followed, but each gets its row
-    and count.  A null id is never a representative of others.  Other columns are ignored, an empty
-    table gives no rows.
-    """
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their class, and the components of the classes that are linked."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), whole_text(text).alias("text"))
     sketches = stored(rows.mapInArrow(_sketches, _SKETCH), "near-sketches")
     classes = sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -127,6 +113,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = remaining_links(members, sets, labels, LEAST_PERCENT, likely=_likely)
     if rest.limit(1).count():
         labels = connected_components(links.union(rest))
+    return classed, labels
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, a row per document.
+
+    Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
+    0.75.  Equal sets are one class, represented by the smallest id.  Representatives get 200 minima;
+    five of them make a band key, the low two bits of all of them the packed signature.  Documents that
+    share a band key are candidates.  They meet in leaves of neighbouring documents, where the signatures'
+    corrected estimate picks pairs to be confirmed on their full sets; pairs of one component are not
+    compared, so a group of copies costs in proportion to its members, and all others are, whatever the
+    size of a bucket.  A pair at exactly 0.75 shares no band with probability 2e-5.
+
+    A text of fewer words is one shingle; null text or one without words has no shingles and is linked
+    with nothing.  Rows of one id count as one document where links are followed, but each gets its row
+    and count.  A null id is never a representative of others.  Other columns are ignored, an empty
+    table gives no rows.
+    """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        classed, labels = _labelled(docs, doc_id, text)
     component = F.coalesce("component", "rep", "doc_id")
     return classed.join(labels, classed["rep"] == labels["node"], "left").select(
         "doc_id",

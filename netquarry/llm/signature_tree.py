@@ -30,8 +30,9 @@ COUNTER_BITS, PIECE_BITS = 20, 12
 # A leaf has this many documents and, unless it is a single one, this many shingles at most.
 LEAF_DOCUMENTS, LEAF_SHINGLES = 32, 1 << 17
 FANOUT_BITS = 5
-# Rows sent to Python at once: a text, a set, or the sets of two leaves.
-BATCH_ROWS = 500
+# Rows sent to Python at once: a text or a set; fewer where a row holds the sets of one or two leaves, which
+# may be 1 MB each.
+BATCH_ROWS, LEAF_ROWS = 500, 16
 SIGNATURE_BITS = 14
 
 Batches = Iterator[pa.RecordBatch]
@@ -46,6 +47,13 @@ _TREE = (
 _SETS = "rep long, size long, widest long, central long, shingles binary"
 
 
+def _rows(batches: Batches) -> Iterator[dict]:
+    """Rows one by one, so that Python holds one of them beside the batch."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
 # ---- which shingles are rare ------------------------------------------------------------------
 
 
@@ -217,16 +225,15 @@ def _deal(batches: Batches) -> Batches:
     docs: list[dict] = []
     leaves: list[dict] = []
     shingles = done = 0
-    for batch in batches:
-        for doc in batch.to_pylist():
-            if docs and (len(docs) == LEAF_DOCUMENTS or shingles + doc["size"] > LEAF_SHINGLES):
-                leaves.append(leaf_of(docs, done))
-                docs, shingles, done = [], 0, done + 1
-                if done % (1 << FANOUT_BITS) == 0:
-                    yield node_of(leaves)
-                    leaves = []
-            docs.append(doc)
-            shingles += doc["size"]
+    for doc in _rows(batches):
+        if docs and (len(docs) == LEAF_DOCUMENTS or shingles + doc["size"] > LEAF_SHINGLES):
+            leaves.append(leaf_of(docs, done))
+            docs, shingles, done = [], 0, done + 1
+            if done % (1 << FANOUT_BITS) == 0:
+                yield node_of(leaves)
+                leaves = []
+        docs.append(doc)
+        shingles += doc["size"]
     if docs:
         leaves.append(leaf_of(docs, done))
     if leaves:
@@ -265,7 +272,7 @@ def _too_far(percent: int) -> Column:
     return (100 * F.col("high_a") < percent * F.col("low_b")) | (100 * F.col("high_b") < percent * F.col("low_a"))
 
 
-def _overlapping(percent: int) -> Callable[[Batches], Batches]:
+def _overlapping(percent: int, columns: list[str]) -> Callable[[Batches], Batches]:
     """Pairs whose bitmaps leave room for a link.
 
     A set of size ``s`` with ``p`` bits of its own has ``p`` shingles of different bits; those outside the
@@ -286,7 +293,7 @@ def _overlapping(percent: int) -> Callable[[Batches], Batches]:
             )
             most = np.minimum(get["slack_a"], get["slack_b"]) + common
             room = 100 * most >= percent * np.maximum(get["low_a"], get["low_b"])
-            yield batch.select(["a", "b"]).filter(pa.array(room, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(room, pa.bool_()))
 
     return run
 
@@ -308,8 +315,11 @@ def _leaf_pairs(batches: Batches) -> Batches:
         yield pa.record_batch([pa.array(r) for r in rows], names=["a", "b", "count"])
 
 
-def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` of tree nodes that may hold a link between components."""
+def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int, *others: str) -> DataFrame:
+    """Those of the pairs ``a, b`` of tree nodes that may hold a link between components.
+
+    ``others`` are further columns of the summaries that stay, as ``<name>_a`` and ``<name>_b``.
+    """
 
     def side(name: str) -> DataFrame:
         return summaries.select(*[F.col(c).alias(f"{c}_{name}") for c in summaries.columns]).withColumnRenamed(
@@ -319,7 +329,8 @@ def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int) -> DataFram
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     connected = F.coalesce(F.col("one_a") == F.col("one_b"), F.lit(False))
     both = both.where(~_too_far(percent) & ~connected)
-    return both.mapInArrow(_overlapping(percent), "a long, b long")
+    columns = ["a", "b", *[f"{c}_{s}" for c in others for s in "ab"]]
+    return both.mapInArrow(_overlapping(percent, columns), ", ".join(f"{c} long" for c in columns))
 
 
 _HELD = ["reps", "components", "sizes", "sets", "planes"]
@@ -329,9 +340,8 @@ def _links(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
     """Links between the documents of two leaves, as many as join their components."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield _compare(row, percent, likely)
+        for row in _rows(batches):
+            yield _compare(row, percent, likely)
 
     return run
 
@@ -377,26 +387,30 @@ def _alone(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
     """Links within each leaf."""
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if len(row["reps"]) > 1 and row["one"] is None:
-                    yield _compare({"a": 0, "b": 0} | {f"{c}_{s}": row[c] for c in _HELD for s in "ab"}, percent, likely)
+        for row in _rows(batches):
+            if len(row["reps"]) > 1 and row["one"] is None:
+                yield _compare({"a": 0, "b": 0} | {f"{c}_{s}": row[c] for c in _HELD for s in "ab"}, percent, likely)
 
     return run
 
 
+def _surviving_leaves(pairs: DataFrame, tree: DataFrame, percent: int) -> DataFrame:
+    """Those of the leaf pairs that may hold a link, ``a`` being the leaf with fewer shingles."""
+    weight = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)
+    summaries = tree.select(F.col("leaf").alias("id"), "bits", "low", "high", "slack", "one", weight.alias("weight"))
+    kept = _surviving(pairs.where("a != b"), summaries, percent, "weight")
+    of = [F.struct(F.col(f"weight_{s}").alias("weight"), F.col(s).alias("leaf")) for s in "ab"]
+    return kept.select(F.least(*of)["leaf"].alias("a"), F.greatest(*of)["leaf"].alias("b"))
+
+
 def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Likely | None, purpose: str) -> DataFrame:
-    """Links within leaves and between the leaves of the pairs; only the latter are shuffled."""
+    """Links within leaves and between the leaves of the pairs; only the latter are shuffled.
+
+    The sets of ``a`` are sent once for every pair.
+    """
     within = tree.select("one", *_HELD).mapInArrow(_alone(percent, likely), "a long, b long")
-    # The sets of ``a`` are sent once for every pair: of both leaves that is the one with fewer shingles.
-    weight = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)
-    weights = tree.select(F.struct(weight.alias("weight"), "leaf").alias("of"))
-    for s in "ab":
-        named = weights.select(F.col("of").alias(f"of_{s}"), F.col("of.leaf").alias(s))
-        pairs = pairs.join(named, s)
-    lighter, heavier = F.least("of_a", "of_b"), F.greatest("of_a", "of_b")
-    pairs = pairs.where("a != b").select(lighter["leaf"].alias("a"), heavier["leaf"].alias("b"))
-    pairs = stored(pairs, f"{purpose}-pairs")
+    # Dealt anew: a join that was split for its bitmaps leaves many tasks with a few pairs, each with a file.
+    pairs = stored(pairs.repartition("a", "b"), f"{purpose}-pairs")
     side_a, side_b = (
         tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _HELD]).join(
             pairs.select(s).distinct(), s, "left_semi"
@@ -404,11 +418,8 @@ def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Like
         for s in "ab"
     )
     between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent, likely), "a long, b long")
-    return stored(within.union(between), purpose)
-
-
-def _leaf_summaries(tree: DataFrame) -> DataFrame:
-    return tree.select(F.col("leaf").alias("id"), "bits", "low", "high", "slack", "one")
+    with arrow_rows(tree.sparkSession, LEAF_ROWS):
+        return stored(within.union(between), purpose)
 
 
 def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) -> DataFrame:
@@ -421,7 +432,7 @@ def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) ->
     homes = tree.select(F.col("leaf").alias("b"), F.explode("widest").alias("widest")).distinct()
     hubs = homes.groupBy("widest").agg(F.min("b").alias("a"))
     pairs = homes.join(hubs, "widest").where("a != b").select("a", "b").distinct()
-    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, likely, "tree-first-links")
+    return _linked_leaves(_surviving_leaves(pairs, tree, percent), tree, percent, likely, "tree-first-links")
 
 
 def remaining_links(
@@ -486,7 +497,7 @@ def remaining_links(
         .withColumn("low", F.greatest("low_a", "low_b"))
     )
     pairs = sized.where(F.col("count") >= (F.lit(1) if shared is None else shared)).select("a", "b")
-    return _linked_leaves(_surviving(pairs, _leaf_summaries(tree), percent), tree, percent, likely, "tree-rest-links")
+    return _linked_leaves(_surviving_leaves(pairs, tree, percent), tree, percent, likely, "tree-rest-links")
 
 
 # ---- the join ---------------------------------------------------------------------------------

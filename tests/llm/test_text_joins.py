@@ -9,12 +9,13 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from netquarry.llm import signature_tree
+from netquarry.llm import near_dedup, signature_tree
 from netquarry.llm.common import SHUFFLE_CLEANUP, stored
 from netquarry.llm.shingles import Shingles
-from netquarry.llm.signature_tree import jaccard_components
+from netquarry.llm.signature_tree import LEAF_ROWS, jaccard_components
 from netquarry.llm.spelling import differ_by_one, pivots, spelling_variants
 
 SCHEMA = "doc_id long, text string, rep string, key int, word string, n int, component string"
@@ -217,6 +218,39 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert seen and max(seen) <= 500 and spark.conf.get(name) == before
 
 
+@pytest.mark.parametrize("operator", [near_dedup.near_duplicates, jaccard_components])
+def test_sets_of_leaves_go_to_python_in_smaller_batches(spark, monkeypatch, operator):
+    seen, name = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain = signature_tree.stored
+
+    def recording(df, purpose):
+        seen[purpose] = int(spark.conf.get(name))
+        return plain(df, purpose)
+
+    for module in (near_dedup, signature_tree):
+        monkeypatch.setattr(module, "stored", recording)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f g")], "doc_id long, text string")
+    assert operator(docs).count() == 3
+    assert max(seen.values()) <= 500 and spark.conf.get(name) == before
+    assert LEAF_ROWS <= 16 and {seen["tree-first-links"], seen["tree-rest-links"]} == {LEAF_ROWS}
+
+
+def test_rows_of_a_batch_are_made_one_by_one():
+    made = []
+
+    class Batch:
+        num_rows = 3
+
+        def slice(self, at, n):
+            made.append((at, n))
+            return pa.record_batch([pa.array([at])], names=["at"])
+
+    found = signature_tree._rows(iter([Batch()]))
+    assert next(found) == {"at": 0} and made == [(0, 1)]
+    assert list(found) == [{"at": 1}, {"at": 2}]
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
