@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import stored
+from netquarry.llm.common import shuffle_partitions, stored
 
 SHINGLE_WORDS = 5
+# So many edges, in both directions, are worth a task of their own.
+EDGES_PER_TASK = 10_000
 
 # Odd factors of the hashes.
 _BYTE_FACTOR = 0x9E3779B97F4A7C15
@@ -85,20 +87,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of the nodes of ``edges`` (``a, b``).
 
     Every node takes the smallest label around it and then the label of its label, until nothing
-    changes.  Each round is written, labels are never collected.
+    changes.  Each round is written, labels are never collected.  Few edges are taken by few tasks, however many
+    shuffle partitions there are: every task of every round writes a file.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()
     both = stored(both, "components-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    labels = stored(labels, "components")
+    tasks = max(1, min(shuffle_partitions(both.sparkSession), -(-both.count() // EDGES_PER_TASK)))
+    labels = stored(labels.coalesce(tasks), "components")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
         near = around.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
-        step = stored(step, "components-step")
+        step = stored(step.coalesce(tasks), "components-step")
         of = step.select(F.col("node").alias("next"), F.col("next").alias("over"))
         jumped = step.join(of, "next", "left").select("node", "component", F.least("next", "over").alias("next"))
-        jumped = stored(jumped, "components")
+        jumped = stored(jumped.coalesce(tasks), "components")
         changed = jumped.where("component != next").limit(1).count()
         labels = jumped.select("node", F.col("next").alias("component"))
         if not changed:

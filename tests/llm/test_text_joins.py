@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from netquarry.llm import near_dedup, signature_tree
+from netquarry.llm import shingles as shingle_sets
 from netquarry.llm.common import SHUFFLE_CLEANUP, stored
 from netquarry.llm.shingles import Shingles
 from netquarry.llm.signature_tree import LEAF_ROWS, jaccard_components
@@ -251,6 +252,31 @@ def test_rows_of_a_batch_are_made_one_by_one():
     assert list(found) == [{"at": 1}, {"at": 2}]
 
 
+def test_few_links_are_followed_by_few_tasks(spark, monkeypatch):
+    files = []
+    plain = shingle_sets.stored
+
+    def recording(df, purpose):
+        out = plain(df, purpose)
+        if purpose != "components-edges":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(shingle_sets, "stored", recording)
+    monkeypatch.setattr(shingle_sets, "EDGES_PER_TASK", 300)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        edges = spark.range(200).selectExpr("id + 1 as a", "id as b").union(spark.range(300, 310).selectExpr("id as a", "300L as b"))
+        found = {tuple(r) for r in shingle_sets.connected_components(edges).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert found == {(k, 0) for k in range(201)} | {(k, 300) for k in range(300, 310)}
+    # 418 edges in both directions: two tasks, not one for each of the eight shuffle partitions.
+    assert max(files) == 2
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
