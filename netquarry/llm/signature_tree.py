@@ -419,7 +419,8 @@ def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Like
     )
     between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent, likely), "a long, b long")
     with arrow_rows(tree.sparkSession, LEAF_ROWS):
-        return stored(within.union(between), purpose)
+        # Links are few, the tasks that find them may be many.
+        return stored(within.union(between).repartition("a", "b"), purpose)
 
 
 def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) -> DataFrame:
