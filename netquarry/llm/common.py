@@ -56,6 +56,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
+    """Few rows are taken by few tasks, however many shuffle partitions there are: each task starts Python or writes a file."""
+    return max(1, min(shuffle_partitions(spark), -(-rows // per_task)))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id written as text; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import shuffle_partitions, stored
+from netquarry.llm.common import stored, tasks_for
 
 SHINGLE_WORDS = 5
 # So many edges, in both directions, are worth a task of their own.
@@ -87,13 +87,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of the nodes of ``edges`` (``a, b``).
 
     Every node takes the smallest label around it and then the label of its label, until nothing
-    changes.  Each round is written, labels are never collected.  Few edges are taken by few tasks, however many
-    shuffle partitions there are: every task of every round writes a file.
+    changes.  Each round is written, labels are never collected.  Few edges are taken by few tasks: every task of
+    every round writes a file.  ``edges`` are read twice, so they should be stored.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct()
-    both = stored(both, "components-edges")
+    tasks = tasks_for(both.sparkSession, 2 * edges.count(), EDGES_PER_TASK)
+    both = stored(both.coalesce(tasks), "components-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    tasks = max(1, min(shuffle_partitions(both.sparkSession), -(-both.count() // EDGES_PER_TASK)))
     labels = stored(labels.coalesce(tasks), "components")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b")

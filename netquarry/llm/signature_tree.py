@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netquarry.llm.common import arrow_rows, shuffle_partitions, stored, whole_text
+from netquarry.llm.common import arrow_rows, shuffle_partitions, stored, tasks_for, whole_text
 from netquarry.llm.shingles import SHINGLE_WORDS, Shingles, connected_components
 from netquarry.operators.filters import probable_members
 
@@ -27,12 +27,17 @@ LEAST_PERCENT = 80
 MORE_PERCENT = 5
 # Counters of shingles by the high bits of their hash, sent about in pieces.
 COUNTER_BITS, PIECE_BITS = 20, 12
+# The summed counters (8 MB) come to the driver in so many parts, each by a job of its own.
+COUNTER_PARTS = 4
 # A leaf has this many documents and, unless it is a single one, this many shingles at most.
 LEAF_DOCUMENTS, LEAF_SHINGLES = 32, 1 << 17
 FANOUT_BITS = 5
 # Rows sent to Python at once: a text or a set; fewer where a row holds the sets of one or two leaves, which
 # may be 1 MB each.
 BATCH_ROWS, LEAF_ROWS = 500, 16
+# Worth a task of their own: so many members, documents (by their hubs' bitmaps), rows of keys that two nodes share,
+# and pairs of leaves.
+MEMBERS_PER_TASK, DOCUMENTS_PER_TASK, KEYS_PER_TASK, PAIRS_PER_TASK = 5000, 2000, 100, 50
 SIGNATURE_BITS = 14
 
 Batches = Iterator[pa.RecordBatch]
@@ -98,7 +103,7 @@ def shingle_ranks(rows: DataFrame) -> np.ndarray:
     """
     summed = rows.select("text").mapInArrow(_counts, "piece int, counts binary").repartition("piece")
     table = np.zeros((1 << (COUNTER_BITS - PIECE_BITS), 1 << PIECE_BITS), np.int64)
-    for row in summed.mapInArrow(_summed, "piece int, counts binary").toLocalIterator():
+    for row in summed.mapInArrow(_summed, "piece int, counts binary").repartition(COUNTER_PARTS).toLocalIterator():
         table[row["piece"]] = np.frombuffer(row["counts"], np.int64)
     return (16 * np.log2(1 + table.ravel())).astype(np.uint16)
 
@@ -158,7 +163,7 @@ def _full_sets(batches: Batches) -> Batches:
 
 
 def full_sets(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rep, size, widest, central, shingles`` of the documents in ``members`` (``key, rep, n``).
+    """``rep, size, widest, central, shingles`` of the documents in ``members`` (``key, rep, n``, stored).
 
     ``widest`` is the key that most documents share with this one, ``central`` counts all that share
     one: the text that others were copied from has the largest.  Most texts have no member and are not shuffled.
@@ -166,7 +171,8 @@ def full_sets(members: DataFrame, rows: DataFrame) -> DataFrame:
     rows = probable_members(rows, F.col("doc_id"), members.select("rep"))
     about = members.groupBy("rep").agg(F.max(F.struct("n", "key")).alias("top"), F.sum("n").alias("central"))
     about = about.select("rep", F.col("top.key").alias("widest"), "central")
-    return rows.join(about, rows["doc_id"] == about["rep"]).mapInArrow(_full_sets, _SETS)
+    tasks = tasks_for(rows.sparkSession, members.count(), MEMBERS_PER_TASK)
+    return rows.join(about, rows["doc_id"] == about["rep"]).coalesce(tasks).mapInArrow(_full_sets, _SETS)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -315,10 +321,10 @@ def _leaf_pairs(batches: Batches) -> Batches:
         yield pa.record_batch([pa.array(r) for r in rows], names=["a", "b", "count"])
 
 
-def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int, *others: str) -> DataFrame:
+def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int, tasks: int, *others: str) -> DataFrame:
     """Those of the pairs ``a, b`` of tree nodes that may hold a link between components.
 
-    ``others`` are further columns of the summaries that stay, as ``<name>_a`` and ``<name>_b``.
+    At most ``tasks`` tasks compare bitmaps.  ``others`` are further columns of the summaries that stay, as ``<name>_a`` and ``<name>_b``.
     """
 
     def side(name: str) -> DataFrame:
@@ -330,7 +336,7 @@ def _surviving(pairs: DataFrame, summaries: DataFrame, percent: int, *others: st
     connected = F.coalesce(F.col("one_a") == F.col("one_b"), F.lit(False))
     both = both.where(~_too_far(percent) & ~connected)
     columns = ["a", "b", *[f"{c}_{s}" for c in others for s in "ab"]]
-    return both.mapInArrow(_overlapping(percent, columns), ", ".join(f"{c} long" for c in columns))
+    return both.coalesce(tasks).mapInArrow(_overlapping(percent, columns), ", ".join(f"{c} long" for c in columns))
 
 
 _HELD = ["reps", "components", "sizes", "sets", "planes"]
@@ -394,11 +400,11 @@ def _alone(percent: int, likely: Likely | None) -> Callable[[Batches], Batches]:
     return run
 
 
-def _surviving_leaves(pairs: DataFrame, tree: DataFrame, percent: int) -> DataFrame:
+def _surviving_leaves(pairs: DataFrame, tree: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Those of the leaf pairs that may hold a link, ``a`` being the leaf with fewer shingles."""
     weight = F.aggregate("sizes", F.lit(0).cast("long"), lambda total, size: total + size)
     summaries = tree.select(F.col("leaf").alias("id"), "bits", "low", "high", "slack", "one", weight.alias("weight"))
-    kept = _surviving(pairs.where("a != b"), summaries, percent, "weight")
+    kept = _surviving(pairs.where("a != b"), summaries, percent, tasks, "weight")
     of = [F.struct(F.col(f"weight_{s}").alias("weight"), F.col(s).alias("leaf")) for s in "ab"]
     return kept.select(F.least(*of)["leaf"].alias("a"), F.greatest(*of)["leaf"].alias("b"))
 
@@ -409,18 +415,19 @@ def _linked_leaves(pairs: DataFrame, tree: DataFrame, percent: int, likely: Like
     The sets of ``a`` are sent once for every pair.
     """
     within = tree.select("one", *_HELD).mapInArrow(_alone(percent, likely), "a long, b long")
-    # Dealt anew: a join that was split for its bitmaps leaves many tasks with a few pairs, each with a file.
-    pairs = stored(pairs.repartition("a", "b"), f"{purpose}-pairs")
+    pairs = stored(pairs, f"{purpose}-pairs")
+    # A join that was split for the sets leaves many tasks with a few pairs, each with a start of Python and a file.
+    tasks = tasks_for(tree.sparkSession, pairs.count(), PAIRS_PER_TASK)
     side_a, side_b = (
         tree.select(F.col("leaf").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in _HELD]).join(
             pairs.select(s).distinct(), s, "left_semi"
         )
         for s in "ab"
     )
-    between = pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_links(percent, likely), "a long, b long")
+    both = pairs.join(side_a, "a").join(side_b, "b").coalesce(tasks)
+    between = both.mapInArrow(_links(percent, likely), "a long, b long")
     with arrow_rows(tree.sparkSession, LEAF_ROWS):
-        # Links are few, the tasks that find them may be many.
-        return stored(within.union(between).repartition("a", "b"), purpose)
+        return stored(within.union(between), purpose)
 
 
 def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) -> DataFrame:
@@ -433,7 +440,8 @@ def first_links(sets: DataFrame, percent: int, likely: Likely | None = None) ->
     homes = tree.select(F.col("leaf").alias("b"), F.explode("widest").alias("widest")).distinct()
     hubs = homes.groupBy("widest").agg(F.min("b").alias("a"))
     pairs = homes.join(hubs, "widest").where("a != b").select("a", "b").distinct()
-    return _linked_leaves(_surviving_leaves(pairs, tree, percent), tree, percent, likely, "tree-first-links")
+    tasks = tasks_for(sets.sparkSession, sets.count(), DOCUMENTS_PER_TASK)
+    return _linked_leaves(_surviving_leaves(pairs, tree, percent, tasks), tree, percent, likely, "tree-first-links")
 
 
 def remaining_links(
@@ -488,9 +496,10 @@ def remaining_links(
     )
     # Keys by node pair and leaves; the leaves of two nodes are paired where all their keys are together.
     met = stored(met.groupBy("a", "b", "leaves_a", "leaves_b").agg(F.count("*").alias("keys")), "tree-node-pairs")
-    kept = _surviving(met.select("a", "b").distinct(), nodes, percent)
+    tasks = tasks_for(sets.sparkSession, met.count(), KEYS_PER_TASK)
+    kept = _surviving(met.select("a", "b").distinct(), nodes, percent, tasks)
     keys = met.join(kept, ["a", "b"]).groupBy("a", "b").agg(F.collect_list(F.struct("leaves_a", "leaves_b", "keys")).alias("held"))
-    counted = keys.mapInArrow(_leaf_pairs, "a long, b long, count long")
+    counted = keys.coalesce(tasks).mapInArrow(_leaf_pairs, "a long, b long, count long")
     lows = tree.select(F.col("leaf"), "low")
     sized = (
         counted.join(lows.select(F.col("leaf").alias("a"), F.col("low").alias("low_a")), "a")
@@ -498,7 +507,7 @@ def remaining_links(
         .withColumn("low", F.greatest("low_a", "low_b"))
     )
     pairs = sized.where(F.col("count") >= (F.lit(1) if shared is None else shared)).select("a", "b")
-    return _linked_leaves(_surviving_leaves(pairs, tree, percent), tree, percent, likely, "tree-rest-links")
+    return _linked_leaves(_surviving_leaves(pairs, tree, percent, tasks), tree, percent, likely, "tree-rest-links")
 
 
 # ---- the join ---------------------------------------------------------------------------------
@@ -520,8 +529,9 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, percent: int) -> tuple[Da
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     met = stored(counted.where("n > 1"), "tree-met")
     # A document that shares too few of its rarest shingles, with whomever, is linked with nothing.
-    enough = met.groupBy("rep", "size").agg(F.count("*").alias("shared"))
-    enough = enough.where(F.col("shared") >= least_shared(F.col("size"), percent)).select("rep").distinct()
+    # Of texts with one id the shortest decides, which lets through no fewer.
+    enough = met.groupBy("rep").agg(F.count("*").alias("shared"), F.min("size").alias("size"))
+    enough = enough.where(F.col("shared") >= least_shared(F.col("size"), percent)).select("rep")
     members = stored(met.join(enough, "rep", "left_semi").select("key", "rep", "n"), "tree-members")
     sets = stored(full_sets(members, rows), "tree-sets")
     links = first_links(sets, percent)

@@ -277,6 +277,53 @@ def test_few_links_are_followed_by_few_tasks(spark, monkeypatch):
     assert max(files) == 2
 
 
+def test_few_pairs_of_leaves_are_taken_by_few_tasks(spark, monkeypatch):
+    files = {}
+
+    def recording(plain):
+        def run(df, purpose):
+            out = plain(df, purpose)
+            files[purpose] = max(files.get(purpose, 0), len(out.inputFiles()))
+            return out
+
+        return run
+
+    for module in (signature_tree, shingle_sets):
+        monkeypatch.setattr(module, "stored", recording(module.stored))
+    monkeypatch.setattr(signature_tree, "LEAF_DOCUMENTS", 2)
+    rnd = random.Random(5)
+    texts = [t for _ in range(6) for t in family(rnd, 8, 60, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert found == components({k: shingles(t) for k, t in enumerate(texts)}, 80)
+    few = ("tree-sets", "tree-first-links-pairs", "tree-rest-links-pairs", "components-edges")
+    assert {p: files[p] for p in few} == dict.fromkeys(few, 1)
+
+
+def test_counters_come_in_few_jobs(spark):
+    context, name = spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    rows = spark.createDataFrame([(" ".join(f"w{k}{i}" for i in range(200)),) for k in range(40)], "text string")
+    spark.conf.set(name, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    context.setJobGroup("counters", "")
+    try:
+        ranks = signature_tree.shingle_ranks(rows)
+    finally:
+        context._jsc.clearJobGroup()
+        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert (ranks > 0).sum() > 7000
+    # The counters are summed in parallel; each part that then comes to the driver is a job, and was one of 40.
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("counters")) <= 10
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
