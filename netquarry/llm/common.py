@@ -20,6 +20,9 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
+# Whole texts go to Python so many rows at once.
+BATCH_ROWS = 500
+
 # Spark deletes the shuffle files of a query when it ends, and not when the driver's memory is next collected.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

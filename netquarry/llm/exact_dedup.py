@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import BLANKS, keep_matching, shuffle_partitions, stored, whole_text
+from netquarry.llm.common import BATCH_ROWS, BLANKS, arrow_rows, keep_matching, shuffle_partitions, stored, whole_text
 
 LEAD_BYTES = 32
 
@@ -121,7 +121,8 @@ def exact_duplicates(
     ordered = keyed.repartitionByRange(n, lead, digest, *tail_order).sortWithinPartitions(
         lead, digest, F.col("norm"), *tail_order
     )
-    rows = stored(ordered.mapInArrow(_runs, _ROWS), "content-sort")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = stored(ordered.mapInArrow(_runs, _ROWS), "content-sort")
     return _across_boundaries(rows)
 
 

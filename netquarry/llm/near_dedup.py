@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import arrow_rows, keep_matching, stored, whole_text
+from netquarry.llm.common import BATCH_ROWS, arrow_rows, keep_matching, stored, whole_text
 from netquarry.llm.shingles import Shingles, connected_components, mix64
-from netquarry.llm.signature_tree import BATCH_ROWS, first_links, full_sets, remaining_links
+from netquarry.llm.signature_tree import first_links, full_sets, remaining_links
 
 LEAST_PERCENT = 75
 BANDS, ROWS_PER_BAND = 40, 5

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import stored, whole_text
+from netquarry.llm.common import BATCH_ROWS, arrow_rows, stored, whole_text
 
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
@@ -217,12 +217,15 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, **options) -> DataFram
     the empty text, repeated rows are packed as often as they come, other columns are ignored, an
     empty table gives no rows.
     """
-    return pack(stored(token_pieces(docs, capacity), "token-pieces"), capacity, **options)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = stored(token_pieces(docs, capacity), "token-pieces")
+    return pack(pieces, capacity, **options)
 
 
 def packed_sequences(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:
     """The sequences themselves: ``sequence_id, ids, doc_ids, starts``; a group has ``capacity`` ids at most."""
-    pieces = stored(token_pieces(docs, capacity, with_ids=True), "token-pieces")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = stored(token_pieces(docs, capacity, with_ids=True), "token-pieces")
     packed = pack(pieces, capacity, **options)
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return (

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netquarry.llm.common import arrow_rows, shuffle_partitions, stored, tasks_for, whole_text
+from netquarry.llm.common import BATCH_ROWS, arrow_rows, shuffle_partitions, stored, tasks_for, whole_text
 from netquarry.llm.shingles import SHINGLE_WORDS, Shingles, connected_components
 from netquarry.operators.filters import probable_members
 
@@ -32,9 +32,8 @@ COUNTER_PARTS = 4
 # A leaf has this many documents and, unless it is a single one, this many shingles at most.
 LEAF_DOCUMENTS, LEAF_SHINGLES = 32, 1 << 17
 FANOUT_BITS = 5
-# Rows sent to Python at once: a text or a set; fewer where a row holds the sets of one or two leaves, which
-# may be 1 MB each.
-BATCH_ROWS, LEAF_ROWS = 500, 16
+# Rows sent to Python at once are fewer where a row holds the sets of one or two leaves, which may be 1 MB each.
+LEAF_ROWS = 16
 # Worth a task of their own: so many members, documents (by their hubs' bitmaps), rows of keys that two nodes share,
 # and pairs of leaves.
 MEMBERS_PER_TASK, DOCUMENTS_PER_TASK, KEYS_PER_TASK, PAIRS_PER_TASK = 5000, 2000, 100, 50

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netquarry.llm.common import free_name, sampled_labels, stored, whole_text
+from netquarry.llm.common import BATCH_ROWS, arrow_rows, free_name, sampled_labels, stored, whole_text
 
 LABEL_BOUND = 100_000
 THRESHOLD = 0.3
@@ -297,8 +297,10 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, into: str = "__score") ->
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever they are called.
 
-    Null text counts as empty, repeated rows stay or go together, an empty table gives no rows.
+    Null text counts as empty, repeated rows stay or go together, an empty table gives no rows.  The rows that stay
+    are written here, because only then it is known how many rows Python gets at once.
     """
     score = free_name(docs, "__score")
-    scored = score_toxicity(docs, learn_lexicon(docs, labels, **options), score)
-    return scored.where(F.col(f"`{score}`") < threshold).drop(score)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        scored = score_toxicity(docs, learn_lexicon(docs, labels, **options), score)
+        return stored(scored.where(F.col(f"`{score}`") < threshold).drop(score), "toxicity-kept")

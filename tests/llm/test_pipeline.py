@@ -10,7 +10,8 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from netquarry.llm.common import stored  # noqa: E402
+from netquarry.llm import exact_dedup, packing, toxicity  # noqa: E402
+from netquarry.llm.common import BATCH_ROWS, stored  # noqa: E402
 from netquarry.llm.toxicity import drop_toxic  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __score double, __kept_doc_id string, component long, keep_id long, size int"
@@ -78,6 +79,26 @@ def test_stages(spark, folder):
     assert set(mixed) <= set(near) and all(mixed.count(r) <= 2 for r in set(mixed))
 
 
+def test_whole_texts_go_to_python_in_small_batches(spark, folder, monkeypatch):
+    seen, name = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def recording(df, purpose):
+        seen[purpose] = int(spark.conf.get(name))
+        return stored(df, purpose)
+
+    for module in (corpus_pipeline, toxicity, exact_dedup, packing):
+        monkeypatch.setattr(module, "stored", recording)
+    before = spark.conf.get(name)
+    assert corpus_pipeline.run(spark, folder).count() and spark.conf.get(name) == before
+    written = {p: seen[p] for p in ("toxicity-kept", "content-sort", "token-pieces")}
+    assert written == dict.fromkeys(written, BATCH_ROWS) and BATCH_ROWS <= 500
+    # What is planned later knows nothing of these batches, so Python has no part in it.
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        assert "MapIn" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_run(spark, folder):
     packed = corpus_pipeline.run(spark, folder).collect()
     places = {}
