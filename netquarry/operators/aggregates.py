@@ -70,21 +70,28 @@ def disagreeing_values(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def with_group_total(df: DataFrame, group: Sequence[str], part: str, total: str) -> DataFrame:
+def with_group_total(
+    df: DataFrame, group: Sequence[str], part: str, total: str, of: DataFrame | None = None
+) -> DataFrame:
     """The sum of ``part`` over the group beside each row.
 
     Totals are a partial aggregate joined back, so a group with a large share of all rows is never
-    gathered in one place as a window frame would.
+    gathered in one place as a window frame would.  ``of`` has the rows that count, if not those of ``df``.
     """
-    totals = df.groupBy(*group).agg(F.sum(part).alias(total))
+    totals = (df if of is None else of).groupBy(*group).agg(F.sum(part).alias(total))
     return df.join(totals, on=list(group))
 
 
 def share_of_total(
-    df: DataFrame, group: Sequence[str], part: str, total: str = "total", share: str = "share"
+    df: DataFrame,
+    group: Sequence[str],
+    part: str,
+    total: str = "total",
+    share: str = "share",
+    of: DataFrame | None = None,
 ) -> DataFrame:
     """Whole percent (truncated) each row holds of its group's total; NULL if that is 0."""
-    whole = with_group_total(df, group, part, total)
+    whole = with_group_total(df, group, part, total, of)
     truncated = F.expr(f"100 * cast(`{part}` as bigint) div cast(`{total}` as bigint)")
     return whole.withColumn(share, F.when(F.col(total) != 0, truncated))
 

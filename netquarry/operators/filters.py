@@ -39,6 +39,24 @@ def not_members(df: DataFrame, column: str, unwanted: Members) -> DataFrame:
 BITMAP_WORDS = 1 << 17
 
 
+def _place(value: Column) -> Column:
+    """The bit of the bitmap that stands for a value."""
+    return F.pmod(F.xxhash64(value), F.lit(64 * BITMAP_WORDS))
+
+
+def _marks(wanted: DataFrame) -> DataFrame:
+    """One row ``__word, __bits`` per value in the first column of ``wanted``."""
+    name = F.col(f"`{wanted.columns[0]}`")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__place", F.lit(64)).cast("int"))
+    places = wanted.where(name.isNotNull()).select(_place(name).alias("__place"))
+    return places.select(F.shiftright("__place", 6).alias("__word"), one.alias("__bits"))
+
+
+def _bit(bits: Column, place: Column) -> Column:
+    shifted = F.call_function("shiftright", bits, F.pmod(place, F.lit(64)).cast("int"))
+    return shifted.bitwiseAND(F.lit(1))
+
+
 def probable_members(df: DataFrame, column: Column, wanted: DataFrame) -> DataFrame:
     """Rows whose ``column`` may be among the first column of ``wanted``; no member is lost.
 
@@ -46,24 +64,31 @@ def probable_members(df: DataFrame, column: Column, wanted: DataFrame) -> DataFr
     are hashed into a bitmap of fixed size, so it may be broadcast however many names there are; a row
     that only shares a bit passes and is left to the join.
     """
-    bits = 64 * BITMAP_WORDS
-
-    def place(value: Column) -> Column:
-        return F.pmod(F.xxhash64(value), F.lit(bits))
-
-    name = F.col(f"`{wanted.columns[0]}`")
-    marked = wanted.where(name.isNotNull()).select(place(name).alias("__place"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("__place", F.lit(64)).cast("int"))
-    words = marked.groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
-    own = place(column)
-    bit = F.call_function("shiftright", F.col("__bits"), F.pmod(own, F.lit(64)).cast("int"))
+    words = _marks(wanted).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    own = _place(column)
     return (
         df.join(F.broadcast(words), F.shiftright(own, 6) == F.col("__word"))
-        .where(column.isNotNull() & (bit.bitwiseAND(F.lit(1)) == 1))
+        .where(column.isNotNull() & (_bit(F.col("__bits"), own) == 1))
         .drop("__word", "__bits")
     )
 
 
+def maybe_member(column: Column, wanted: DataFrame) -> Column:
+    """Whether ``column`` may be among the first column of ``wanted``: the bitmap as a condition.
+
+    It is a scalar subquery, not a join, so Spark moves it down through joins, ``distinct`` and projections
+    of what is filtered, in front of their shuffles.
+    """
+    empty = wanted.sparkSession.range(BITMAP_WORDS).select(
+        F.col("id").alias("__word"), F.lit(0).cast("long").alias("__bits")
+    )
+    words = _marks(wanted).unionByName(empty).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("__word", "__bits")))
+    bitmap = words.agg(in_order["__bits"].alias("bitmap")).scalar()
+    own = _place(column)
+    return _bit(F.get(bitmap, F.shiftright(own, 6).cast("int")), own) == 1
+
+
 def site_part(dn: ColumnLike, depth: int = 3) -> Column:
     """The first ``depth`` parts of a DN; three of them name a site."""
     return F.substring_index(as_column(dn), "/", depth)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netquarry.functions.numeric import angle_gap
-from netquarry.operators.filters import site_part
+from netquarry.operators.filters import maybe_member, site_part
+from netquarry.session import resolved
 
 KeyPair = str | tuple[str, str]
 
@@ -54,28 +55,42 @@ def neighbour_pairs(
     adjacent: str = "adjEnbId",
     carrier: str = "earfcnDL",
     null_safe: bool = False,
+    sift: bool = False,
 ) -> DataFrame:
     """Those of the measured ``pairs`` whose cells lie on adjacent sites and share carrier and code.
 
     ``pairs`` has the cell names in ``<name>_Orig`` and ``<name>_Dest``; the attributes of both cells
     are added with these suffixes.  The cells are looked up by name and then compared, so work grows
     with the pairs; joining cells on their code would form every pair of cells that has it.
-    ``null_safe`` counts two missing carriers or codes as equal.
+    ``null_safe`` counts two missing carriers or codes as equal.  With ``sift`` the pairs of like cells are
+    resolved to a file first, and adjacent sites that no such pair asks for are not shuffled; cells that are
+    dealt by name stay so.
     """
 
     def same(column: str) -> Column:
         left, right = F.col(f"{column}_Orig"), F.col(f"{column}_Dest")
-        return left.eqNullSafe(right) if null_safe else left == right
+        if null_safe:
+            return left.eqNullSafe(right)
+        # An equality would become a key of the join, and all cells be dealt anew by it.
+        return (left <= right) & (left >= right) if sift else left == right
 
     links = adjacency.select(
         F.col(site).alias(f"{site}_Orig"), F.col(adjacent).alias(f"{site}_Dest")
     )
-    return (
+    ends = [f"{site}_Orig", f"{site}_Dest"]
+    like = (
         pairs.join(suffixed(cells, "_Orig"), on=f"{name}_Orig")
         .join(suffixed(cells, "_Dest"), on=f"{name}_Dest")
         .where(same(carrier) & same(code))
-        .join(links, on=[f"{site}_Orig", f"{site}_Dest"])
     )
+    if sift:
+        like = resolved(like, "like-cells")
+        # Equal values of unequal types have unequal hashes.
+        if [like.schema[e].dataType for e in ends] == [links.schema[e].dataType for e in ends]:
+            links = links.where(maybe_member(F.struct(*ends), like.select(F.struct(*ends))))
+        # Conditions of the join on single sites would make relations and their newest day unlike plans.
+        links = resolved(links, "adjacent-sites")
+    return like.join(links, on=ends)
 
 
 def join_within_angle(

@@ -12,8 +12,8 @@ from netquarry.functions.maps import map_columns
 from netquarry.functions.numeric import angle_gap, distance_m
 from netquarry.functions.text import target_cell_id, text_before
 from netquarry.operators.aggregates import share_of_total
-from netquarry.operators.filters import Members, in_sites, trailing_days
-from netquarry.operators.joins import join_within_angle, missing_relations, neighbour_pairs
+from netquarry.operators.filters import Members, in_sites, maybe_member, probable_members, site_part, trailing_days
+from netquarry.operators.joins import join_within_angle, missing_relations, neighbour_pairs, suffixed
 from netquarry.operators.snapshots import Snapshots, latest_snapshot, one_per_key
 from netquarry.plans.views import History, newest_sites
 from netquarry.session import resolved
@@ -41,17 +41,19 @@ def lte_cells(cm: Snapshots, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def site_adjacency(cm: Snapshots, sites: Members | None = None) -> DataFrame:
-    """Sites and their current adjacent sites, resolved to a file.
+    """Sites and their current adjacent sites.
 
-    The newest day and its rows then come from one shuffle of the relations; with the conditions of a later
-    join on the rows alone, they would be computed twice.
+    Those of all sites are resolved to a file.  The newest day and its rows then come from one shuffle of the
+    relations; with the conditions of a later join on the rows alone, they would be computed twice.  Those of
+    chosen sites are left to the reader, whose conditions go in front of the join with the sites.
     """
     # Single values go through the join with the sites, not whole maps.
     current = latest_snapshot(cm, "LNADJ").select(
         "mo_distname", *map_columns("ids", {"LNBTS": "LNBTS_id"}), *map_columns("parameters", ["adjEnbId"])
     )
-    chosen = current if sites is None else in_sites(current, "mo_distname", sites)
-    return resolved(chosen.drop("mo_distname"), "site-adjacency")
+    if sites is None:
+        return resolved(current.drop("mo_distname"), "site-adjacency")
+    return in_sites(current, "mo_distname", sites).drop("mo_distname")
 
 
 def handover_share(
@@ -68,37 +70,45 @@ def handover_share(
     ``dedupe`` names the key of a counter row where the store may hold copies of it.
     """
     recent = trailing_days(handovers, "measTime", days, today)
-    if sites is not None:
+    current = newest_sites(site_history).select(
+        "sector_name", F.col("moDistName").alias("distName")
+    )
+    by_name = isinstance(sites, DataFrame) and not dedupe
+    if by_name:
+        # The cells, which are fewer than their counters, are joined with the sites.  A bitmap keeps most
+        # counters of other sites out of the shuffle.
+        recent = probable_members(recent, site_part("distName"), sites.select(F.col(f"`{sites.columns[0]}`").cast("string")))
+        current = in_sites(current, "distName", sites)
+    elif sites is not None:
         recent = in_sites(recent, "distName", sites)
     if dedupe:
         recent = one_per_key(recent, dedupe)
-    current = newest_sites(site_history).select(
-        "sector_name", F.col("moDistName").alias("distName")
+    attempts = recent.where(F.col("M8015C8") > 0).select(
+        "distName", target_cell_id("extendedDistName").alias("ECI"), "M8015C8"
     )
     # Attempts are summed per pair of names before the site view is joined in, so the join sees one
-    # row per neighbour instead of one per interval.  Rows and totals of the share read the sums from a
-    # file, so counters and sites are scanned once.
+    # row per neighbour instead of one per interval.  Counters of a large set of sites are dealt by name once,
+    # for the sums and the view.  Records of a cell that tie are counted, so that the sums need not be grouped
+    # again.  Rows and totals of the share read the sums from a file, so counters and sites are scanned once.
+    if by_name:
+        parts = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        attempts = attempts.repartition(parts, "distName")
+    named = current.repartition("distName").groupBy("sector_name", "distName").agg(F.count("*").alias("records"))
     per_pair = resolved(
-        recent.where(F.col("M8015C8") > 0)
-        .groupBy("distName", target_cell_id("extendedDistName").alias("ECI"))
-        .agg(
-            F.sum("M8015C8").cast("bigint").alias("INTER_HO_ATT_NB"),
-            F.sum("M8015C9").cast("bigint").alias("INTER_HO_SUCC_NB"),
-        )
-        .join(current, on="distName")
-        .groupBy("sector_name", "distName", "ECI")
-        .agg(
-            F.sum("INTER_HO_ATT_NB").alias("INTER_HO_ATT_NB"),
-            F.sum("INTER_HO_SUCC_NB").alias("INTER_HO_SUCC_NB"),
-        ),
+        attempts.groupBy("distName", "ECI")
+        .agg(F.sum("M8015C8").cast("bigint").alias("attempts"))
+        .join(named, on="distName")
+        .select("sector_name", "ECI", (F.col("attempts") * F.col("records")).alias("INTER_HO_ATT_NB")),
         "handover-pairs",
     )
-    shares = share_of_total(per_pair, ["sector_name"], "INTER_HO_ATT_NB", "Total_ATT", "Share")
     targets = cells.where(F.col("eutraCelId").isNotNull()).select(
         F.col("eutraCelId").alias("target"), F.col("LNCEL_Name").alias("LNCEL_Name_tgt")
     )
-    # A pair without a target id counts in the total only.
-    return shares.join(targets, F.col("ECI") == F.col("target")).select(
+    # A pair without a target id counts in the total only.  Totals come last, so that the rows stay dealt by
+    # the cell that a reader joins next.
+    known = per_pair.join(targets, F.col("ECI") == F.col("target"))
+    shares = share_of_total(known, ["sector_name"], "INTER_HO_ATT_NB", "Total_ATT", "Share", of=per_pair)
+    return shares.select(
         F.col("sector_name").alias("LNCEL_Name"),
         "LNCEL_Name_tgt",
         "INTER_HO_ATT_NB",
@@ -118,23 +128,31 @@ def audit_code_conflicts(
 ) -> DataFrame:
     """Neighbours on adjacent sites with equal carrier and equal ``code`` and enough handovers.
 
-    The placed cells are both ends of a pair and are resolved once for them.
+    The pairs are found by the names and settings of their cells alone.  Then the cells that are in conflict,
+    and no others, are placed; they are both ends of a pair and are resolved once for them.
     """
-    positions = newest_sites(site_history, as_of=as_of).select(
-        F.col("moDistName").alias("mo_distname"), "site_name", "latitud", "longitud"
-    )
-    placed = resolved(
-        cells.join(positions, on="mo_distname").select(
-            "LNBTS_id", "LNCEL_Name", "earfcnDL", code, "site_name", "latitud", "longitud"
-        ),
-        "placed-cells",
-    )
+    settings = ["LNBTS_id", "LNCEL_Name", "earfcnDL", code]
     pairs = ho_share.where(F.col("Share") >= min_share).select(
         F.col("LNCEL_Name").alias("LNCEL_Name_Orig"),
         F.col("LNCEL_Name_tgt").alias("LNCEL_Name_Dest"),
         "Share",
     )
-    return neighbour_pairs(pairs, placed, adjacency, code).select(
+    # Cells alike in all of these are one here, and all of them again when they are placed.  They are dealt
+    # by name, which is what both ends are joined by.
+    alike = cells.select(*settings).repartition("LNCEL_Name").distinct()
+    found = resolved(neighbour_pairs(pairs, alike, adjacency, code, sift=True), "conflicts")
+    ends = [F.col(f"LNCEL_Name{end}").alias("name") for end in ("_Orig", "_Dest")]
+    named = found.select(ends[0]).union(found.select(ends[1]))
+    concerned = cells.where(maybe_member(F.col("LNCEL_Name"), named)).select("mo_distname", *settings)
+    positions = newest_sites(site_history, as_of=as_of).select(
+        F.col("moDistName").alias("mo_distname"), "site_name", "latitud", "longitud"
+    )
+    if positions.schema["mo_distname"].dataType == concerned.schema["mo_distname"].dataType:
+        positions = positions.where(maybe_member(F.col("mo_distname"), concerned.select("mo_distname")))
+    placed = resolved(concerned.join(positions, on="mo_distname").drop("mo_distname"), "placed-cells")
+    for end in ("_Orig", "_Dest"):
+        found = found.join(suffixed(placed, end), on=[f"{column}{end}" for column in settings])
+    return found.select(
         "site_name_Orig",
         "LNCEL_Name_Orig",
         "LNCEL_Name_Dest",

@@ -142,6 +142,27 @@ def test_handover_share_and_conflicts(spark, rows):
     assert rows(P.audit_code_conflicts(cells, sites, adjacency, share, "rootSeqIndex", 15)) == []
 
 
+def test_tied_records_and_like_cells_count_each(spark, rows):
+    """Two records of a cell that tie are two rows, and so are two cells alike in all but their object."""
+    cm, sites, handovers = cells_and_handovers(spark)
+    tied = sites.unionByName(sites.where("sector_name = 'c1'"))
+    cells = P.lte_cells(cm)
+    wanted = spark.createDataFrame([(SITE.format(1),), (None,)], "item string")
+    listed = P.handover_share(handovers, tied, cells, "2024-01-10", sites=[SITE.format(1)])
+    share = P.handover_share(handovers, tied, cells, "2024-01-10", sites=wanted)
+    assert rows(share) == rows(listed) and rows(share, "LNCEL_Name_tgt", "INTER_HO_ATT_NB", "Total_ATT", "Share") == [
+        ("c2", 120, 200, 60), ("c3", 40, 200, 20), ("c4", 20, 200, 10)
+    ]
+    none = spark.createDataFrame([(SITE.format(99),)], "item string")
+    assert rows(P.handover_share(handovers, tied, cells, "2024-01-10", sites=none)) == []
+    adjacency = P.site_adjacency(cm, wanted)
+    shown = ("site_name_Orig", "LNCEL_Name_Orig", "LNCEL_Name_Dest", "phyCellId", "Share", "distance_m")
+    once = P.audit_code_conflicts(cells, tied, adjacency, share, "phyCellId", 15)
+    assert rows(once, *shown) == [("S1", "c1", "c2", "7", 60, 0.0)] * 2
+    twice = P.audit_code_conflicts(cells.unionByName(cells.where("LNCEL_Name = 'c2'")), tied, adjacency, share, "phyCellId", 15)
+    assert rows(twice, *shown) == [("S1", "c1", "c2", "7", 60, 0.0)] * 4
+
+
 def test_missing_relations(spark, rows):
     src, tgt = SITE.format(1) + "/LNCEL-1", "PLMN-PLMN/RNC-1/WBTS-1/WCEL-{}"
     lte = site_history(spark, {"dn": src, "sector": "l1", "site": "S1", "az": 350.0})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import all_queries
 from checks import audits
 from netquarry import plans as P
+from netquarry.operators.filters import maybe_member
 from netquarry.operators.snapshots import latest_per_key
 from netquarry.plans.reports import controllers
 
@@ -101,3 +102,49 @@ def test_neighbours_are_dealt_once_by_name(spark, plain_joins):
     plan = text_of(all_queries()["J09_neighbour_pairs"](spark, "/root/testdata/sf0.001"))
     assert plan.count("Exchange hashpartitioning(LNCEL_Name_Orig") == 2
     assert "hashpartitioning(o_custkey" not in plan and "mo_distname" not in plan
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Frames in the order in which they are written."""
+    frames = []
+    plain = DataFrameWriter.__init__
+
+    def recording(self, df):
+        frames.append(df)
+        plain(self, df)
+
+    monkeypatch.setattr(DataFrameWriter, "__init__", recording)
+    return frames
+
+
+@pytest.mark.parametrize("name", ["C05_audit_code_conflicts", "C06_audit_root_conflicts"])
+def test_conflicts_are_found_before_cells_are_placed(spark, plain_joins, written, name):
+    all_queries()[name](spark, "/root/testdata/sf0.001")
+    # Pairs of like cells carry no place, and are dealt by each end once; only then are cells placed.
+    like = next(text_of(df) for df in written if "LNCEL_Name_Orig" in df.columns)
+    assert "latitud" not in like and "site_name" not in like
+    assert like.count("Exchange hashpartitioning(LNCEL_Name_Dest") == 1 and "Exchange hashpartitioning(LNCEL_Name_Orig" not in like
+    placed = next(text_of(df) for df in written if "latitud" in df.columns)
+    assert placed.count("Subquery") >= 2 and "xxhash64(mo_distname" in placed
+    # Relations that no pair asks for are left out before they are made distinct, let alone joined with the sites.
+    relations = next(text_of(df) for df in written if df.columns == ["LNBTS_id_Orig", "LNBTS_id_Dest"])
+    joined = [line for line in relations.splitlines() if "SortMergeJoin [l_partkey" in line]
+    assert any("xxhash64" in line for line in joined)
+    # Counters are dealt once by name, not by site, pair and name.
+    sums = next(text_of(df) for df in written if df.columns[0] == "sector_name")
+    assert sums.count("Exchange hashpartitioning(distName") == 2 and "M8015C9" not in sums
+
+
+def test_bitmap_as_a_condition_loses_no_member(spark, rows):
+    numbers = spark.range(20000).select(F.concat(F.lit("d"), "id").alias("name"), (F.col("id") % 7).alias("k"))
+    wanted = numbers.where("k = 3").select("name")
+    passed = numbers.where(maybe_member(F.col("name"), wanted))
+    assert passed.join(wanted, "name", "left_semi").count() == wanted.count() <= passed.count() < 1.02 * wanted.count()
+    assert numbers.where(maybe_member(F.col("name"), wanted.limit(0))).count() == 0
+    # Several columns are a struct, and the condition goes below a distinct.
+    pairs = spark.createDataFrame([("d1", 1)], "x string, y bigint").select(F.struct("x", "y"))
+    found = numbers.distinct().where(maybe_member(F.struct("name", "k"), pairs))
+    plan = text_of(found, "optimizedPlan")
+    assert plan.index("Aggregate [name") < plan.index("Filter")
+    assert rows(found) == [("d1", 1)]
